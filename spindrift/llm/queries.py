@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, ogg, packing, toxicity
+from . import chat, compression, language_model, ogg, packing, toxicity
 from .common import table
 
 
@@ -15,6 +15,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose texts look like the template's own marks."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], rows.schema)
+    return chat.digests(chat.conversations(chat.chain(rows.unionByName(extra))))
+
+
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), 0.5)
@@ -33,4 +45,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score(docs, compression.train(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_best_fit_packing, op8_media_columns, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op5_best_fit_packing, op8_media_columns, op10_quality_classifier)}
