@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compression, language_model, ogg, packing, toxicity
+from . import chat, compression, language_model, ogg, packing, pii, toxicity
 from .common import table
 
 
@@ -40,9 +40,17 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(table(spark, sf_dir, "documents"))
 
 
+#: The pseudonyms' key; a deployment passes its own.
+KEY = "spindrift-demonstration-key"
+
+
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return compression.score(docs, compression.train(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op5_best_fit_packing, op8_media_columns, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op5_best_fit_packing, op8_media_columns, op9_pseudonyms, op10_quality_classifier)}
