@@ -20,16 +20,15 @@ uniform part of the mixture.  Sums are taken in token order.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, fold, prepare, store
+from .counts import exchange, planes, unplanes
 from .words import grams, words
 
 END = np.uint64(0x5DEECE66D1234567)
@@ -47,20 +46,6 @@ class Settings:
     rounds: int = 60
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Small numbers by byte planes, which compress better."""
-    return _squeeze(np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T)
-
-
-def _unplanes(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=0), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
-
-
 BLOCK = "tuning boolean, sizes array<int>, folds array<int>, words binary, tokens binary, n_words long, n_pairs long"
 
 
@@ -88,7 +73,7 @@ def encode(docs: DataFrame, s: Settings) -> DataFrame:
             before = np.roll(local, 1)
             before[np.cumsum(sizes) - sizes] = rank[np.searchsorted(known, END)]
             pairs = len(np.unique(before * len(known) + local))
-            row = [(part << 24) + number, pa.concat_arrays(ids), tuning, sizes, np.concatenate(folds), known[order].astype("<u8").tobytes(), _planes(local), len(known), pairs]
+            row = [(part << 24) + number, pa.concat_arrays(ids), tuning, sizes, np.concatenate(folds), known[order].astype("<u8").tobytes(), planes(local), len(known), pairs]
             number += 1
             as_list = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, t))
             return pa.RecordBatch.from_arrays([pa.array(row[:1], pa.int64()), as_list(row[1], None), pa.array(row[2:3]), as_list(row[3].astype(np.int32), pa.int32()), as_list(row[4].astype(np.int32), pa.int32()), pa.array(row[5:6], pa.binary()), pa.array(row[6:7], pa.binary()), pa.array(row[7:8], pa.int64()), pa.array(row[8:9], pa.int64())], names=schema)
@@ -125,7 +110,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.hashes = np.frombuffer(row["words"], "<u8")
-        self.tokens = _unplanes(row["tokens"]).astype(np.int64)
+        self.tokens = unplanes(row["tokens"]).astype(np.int64)
         self.sizes = np.array(row["sizes"], np.int64)
         self.folds = np.array(row["folds"], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
@@ -155,53 +140,6 @@ class Block:
         return keys, a, b
 
 
-REQUEST = "bucket int, block long, keys binary, a binary, b binary"
-ANSWER = "block long, bucket int, a binary, b binary, n_a long, n_b long, distinct long"
-_WIDTH = 6
-
-
-def exchange(blocks: DataFrame, ask: Callable[[Block], tuple], buckets: int, name: str) -> DataFrame:
-    """Corpus totals of every block's keys, by block and bucket, in the keys' order."""
-
-    def requests(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, a, b = ask(Block(row))
-                bounds = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
-                out: list[list] = [[] for _ in range(5)]
-                for q in np.flatnonzero(np.diff(bounds)).tolist():
-                    own = slice(bounds[q], bounds[q + 1])
-                    short = np.ascontiguousarray((keys[own] >> np.uint64(16)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :_WIDTH]
-                    for column, v in zip(out, (q, row["block"], short.tobytes(), _planes(a[own]), _planes(b[own])), strict=True):
-                        column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in REQUEST.split(", ")])
-
-    def answer(found: pa.Table) -> pa.Table:
-        rows = found.to_pylist()
-        sizes = [len(r["keys"]) // _WIDTH for r in rows]
-        keys = np.zeros((sum(sizes), 8), np.uint8)
-        keys[:, :_WIDTH] = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint8).reshape(-1, _WIDTH)
-        unique, inverse = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-        a, b = (np.bincount(inverse, np.concatenate([_unplanes(r[c]) for r in rows]), len(unique)).astype(np.int64) for c in "ab")
-        out: list[list] = [[] for _ in range(7)]
-        at = 0
-        for r, n in zip(rows, sizes, strict=True):
-            own = inverse[at : at + n]
-            at += n
-            for column, v in zip(out, (r["block"], r["bucket"], _planes(np.minimum(a[own], 0xFFFFFFFF)), _planes(np.minimum(b[own], 0xFFFFFFFF)), 0, 0, 0), strict=True):
-                column.append(v)
-        for column, v in zip(out, (-1, rows[0]["bucket"], b"", b"", int(a.sum()), int(b.sum()), int(np.count_nonzero(a + b))), strict=True):
-            column.append(v)
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in ANSWER.split(", ")])
-
-    asked = blocks.select("block", "sizes", "folds", "words", "tokens").mapInArrow(requests, REQUEST)
-    return store(asked.groupBy("bucket").applyInArrow(answer, ANSWER), name)
-
-
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-
-
 def _answers(*found: tuple[str, DataFrame]) -> DataFrame:
     """Answers of all exchanges, gathered by block."""
     both = None
@@ -213,7 +151,7 @@ def _answers(*found: tuple[str, DataFrame]) -> DataFrame:
 
 def _totals(answers: list[dict], name: str) -> tuple[np.ndarray, np.ndarray]:
     own = sorted((x for x in answers if x["name"] == name), key=lambda x: x["bucket"])
-    return tuple(np.concatenate([_unplanes(x[c]) for x in own]).astype(np.float64) for c in "ab")
+    return tuple(np.concatenate([unplanes(x[c]) for x in own]).astype(np.float64) for c in "ab")
 
 
 def _octave(count: np.ndarray) -> np.ndarray:
@@ -297,10 +235,11 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     size = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_pairs").alias("pairs")).first()
     if not size.words:
         return docs.sparkSession.createDataFrame([], result)
-    found = exchange(blocks, Block.word_keys, 1 + size.words // s.bucket, "lm-words")
+    asking = blocks.select("block", "sizes", "folds", "words", "tokens")
+    found = exchange(asking, lambda row: Block(row).word_keys(), 1 + size.words // s.bucket, "lm-words")
     total = found.where("block < 0").agg(F.sum("n_a").alias("a"), F.sum("n_b").alias("b"), F.sum("distinct").alias("v")).first()
     n_a, n, v = total.a, total.a + total.b, total.v
-    pairs = exchange(blocks, Block.pair_keys, 1 + size.pairs // s.bucket, "lm-pairs")
+    pairs = exchange(asking, lambda row: Block(row).pair_keys(), 1 + size.pairs // s.bucket, "lm-pairs")
     answers = _answers(("word", found), ("pair", pairs))
     joined = blocks.join(answers, "block")
     weights = learn(_cells(joined.where("tuning"), n_a, v), s.rounds)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compression, language_model, ogg, packing, pii, toxicity
+from . import chat, compression, language_model, near_duplicates, ogg, packing, pii, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), 0.5)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), near_duplicates.Settings(numerator=85))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.Settings(tokenizer_path()))
 
@@ -53,4 +57,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score(docs, compression.train(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op5_best_fit_packing, op8_media_columns, op9_pseudonyms, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op4_near_duplicates, op5_best_fit_packing, op8_media_columns, op9_pseudonyms, op10_quality_classifier)}
