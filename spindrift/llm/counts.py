@@ -34,11 +34,13 @@ def unplanes(blob: bytes) -> np.ndarray:
 
 REQUEST = "bucket int, block long, keys binary, a binary, b binary"
 ANSWER = "block long, bucket int, a binary, b binary, n_a long, n_b long, distinct long"
-_WIDTH = 6
 
 
-def exchange(blocks: DataFrame, ask: Callable[[dict], tuple], buckets: int, name: str) -> DataFrame:
-    """Corpus totals of every block's keys, by block and bucket, in the keys' order."""
+def exchange(blocks: DataFrame, ask: Callable[[dict], tuple], buckets: int, name: str, width: int = 6) -> DataFrame:
+    """Corpus totals of every block's keys, by block and bucket, in the keys' order.
+
+    width: bytes of a key that are compared; eight where a chance match would matter.
+    """
 
     def requests(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,16 +50,16 @@ def exchange(blocks: DataFrame, ask: Callable[[dict], tuple], buckets: int, name
                 out: list[list] = [[] for _ in range(5)]
                 for q in np.flatnonzero(np.diff(bounds)).tolist():
                     own = slice(bounds[q], bounds[q + 1])
-                    short = np.ascontiguousarray((keys[own] >> np.uint64(16)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :_WIDTH]
+                    short = np.ascontiguousarray((keys[own] >> np.uint64(64 - 8 * width)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
                     for column, v in zip(out, (q, row["block"], short.tobytes(), planes(a[own]), planes(b[own])), strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in REQUEST.split(", ")])
 
     def answer(found: pa.Table) -> pa.Table:
         rows = found.to_pylist()
-        sizes = [len(r["keys"]) // _WIDTH for r in rows]
+        sizes = [len(r["keys"]) // width for r in rows]
         keys = np.zeros((sum(sizes), 8), np.uint8)
-        keys[:, :_WIDTH] = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint8).reshape(-1, _WIDTH)
+        keys[:, :width] = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint8).reshape(-1, width)
         unique, inverse = np.unique(keys.view("<u8").ravel(), return_inverse=True)
         a, b = (np.bincount(inverse, np.concatenate([unplanes(r[c]) for r in rows]), len(unique)).astype(np.int64) for c in "ab")
         out: list[list] = [[] for _ in range(7)]

@@ -41,12 +41,12 @@ LANGUAGES = ("other", *sorted(FUNCTION_WORDS))
 @dataclass(frozen=True)
 class Settings:
     #: Bound on the labelled rows of each class that fitting reads.
-    per_class: int = 5000
+    per_class: int = 6000
     buckets: int = 1 << 16
     dimensions: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8
-    epochs: int = 12
+    epochs: int = 14
     batch: int = 32
     rate: float = 0.01
     seed: int = 7
@@ -209,18 +209,21 @@ def _cut(logits: np.ndarray, y: np.ndarray, start: float) -> float:
 
 
 def fit(sample: list[tuple[str, int]], settings: Settings = Settings()) -> Model:
-    """Three quarters train the network; the rest set the thresholds by language."""
-    data, offsets = raw(pa.array([t for t, _ in sample], pa.string()))
-    ids, doc, language = _ids(data, offsets, settings.buckets)
+    """Five sixths train the network; the rest set the thresholds by language."""
     y = np.array([v for _, v in sample], int)
-    bounds = np.searchsorted(doc, np.arange(len(sample) + 1))
-    texts = [(ids[bounds[i] : bounds[i + 1]], int(y[i]), int(language[i])) for i in range(len(sample))]
     if not len(y) or y.min() == y.max():
         s = settings
         return Model(s, np.zeros((s.buckets, s.dimensions), np.float32), [np.zeros((w, s.dimensions, s.filters), np.float32) for w in s.widths], [np.zeros(s.filters, np.float32) for _ in s.widths], np.zeros(len(s.widths) * s.filters), 0.0, {})
-    keep = np.arange(len(texts)) % 4 == 3
+    texts, language = [], []
+    for lo, hi, data, offsets in chunks(pa.array([t for t, _ in sample], pa.string())):  # bounds the driver's memory
+        ids, doc, own = _ids(data, offsets, settings.buckets)
+        bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
+        texts += [(ids[bounds[i] : bounds[i + 1]], int(y[lo + i]), int(own[i])) for i in range(hi - lo)]
+        language.append(own)
+    language = np.concatenate(language)
+    keep = np.arange(len(texts)) % 6 == 5
     model = _train([t for t, k in zip(texts, keep, strict=True) if not k], settings)
-    logits = _logits(ids, doc, len(texts), model)
+    logits = np.array([_logits(t[0], np.zeros(len(t[0]), np.int64), 1, model)[0] for t in texts])
     overall = _cut(logits[keep], y[keep], 0.0)
     spread = float(np.std(logits[keep])) or 1.0
     for k, name in enumerate(LANGUAGES):
