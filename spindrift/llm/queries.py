@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, compression, language_model, near_duplicates, ogg, packing, pii, suffixes, toxicity
+from . import chat, compression, decontamination, language_model, near_duplicates, ogg, packing, pii, suffixes, toxicity
 from .common import table
 
 
@@ -44,6 +45,12 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, sf_dir, "documents"), suffixes.Settings(length=200))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and item that it copies, with its best passage."""
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "end_word", "n_seeds")).alias("best"), F.count("*").alias("n_passages")).select("doc_id", "item_id", "best.*", "n_passages")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(table(spark, sf_dir, "documents"))
 
@@ -61,4 +68,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score(docs, compression.train(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op4_near_duplicates, op5_best_fit_packing, op6_suffix_array_dedup, op8_media_columns, op9_pseudonyms, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op4_near_duplicates, op5_best_fit_packing, op6_suffix_array_dedup, op7_decontamination, op8_media_columns, op9_pseudonyms, op10_quality_classifier)}
