@@ -349,3 +349,18 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     out = everyone.where("sig is not null").join(classes, "sig").select("doc_id", "n", "component_id")
     out = out.unionByName(everyone.where("sig is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One document of each group of near duplicates, with all columns.
+
+    Of rows that repeat a kept doc_id one stays; rows without an id all stay.
+    """
+    found = near_duplicates(docs, s)
+    found = store(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("doc_id is not null and (not kept or n > 1)"), "removed")
+    kept = docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    if not found.where("kept").limit(1).count():
+        return kept
+    repeated = found.where("kept").select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)

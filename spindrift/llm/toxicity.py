@@ -257,3 +257,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", (fold(docs["doc_id"]) == 0).alias("held_out"), docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The documents that score below the threshold, with all their columns, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(text)
+            p = np.concatenate([_scores(data, offsets, shared.value) for _, _, data, offsets in chunks(column)] or [np.zeros(0)])
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
