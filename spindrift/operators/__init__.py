@@ -1 +1 @@
-
+"""DataFrame operators: rank, resolve, fuse, link, batch and plan."""
