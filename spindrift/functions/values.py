@@ -42,13 +42,13 @@ def minutes_of_seconds(c: Column) -> Column:
 def rating_milli(c: Column) -> Column:
     """Of five up to 5, else of ten; rounded, 0 to 1000."""
     scaled = F.when(c <= 5, c * 200).otherwise(c * 100)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1000.0), F.round(scaled))).cast("int")
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1000.0), F.round(scaled))).cast("int"))
 
 
 def community_bonus(score_milli: Column, votes: Column) -> Column:
     steps = F.least(F.floor(F.greatest(score_milli - 650, F.lit(0)) / 25), F.lit(10)).cast("int")
     tier = F.when(votes < 100, 0).when(votes < 1000, 2).when(votes < 10000, 4).otherwise(6)
-    return F.coalesce(F.when(votes >= 25, steps + tier), F.lit(0)).cast("int")
+    return F.coalesce(F.when((votes >= 25) & score_milli.isNotNull(), steps + tier), F.lit(0)).cast("int")
 
 
 def area(width: Column, height: Column) -> Column:
