@@ -9,10 +9,9 @@
    enter the inverted lists.  For sketches that hold the whole set ``needed``
    is exact; for others it lies six standard deviations of the hypergeometric
    overlap below its mean, which loses a link with a probability under 1e-7.
-3. Lists of up to ``small`` classes give all their pairs.  In longer lists
-   pivots are compared with every member; members already connected need no
-   further comparison, and further pivots come from those that are not, until
-   each list is connected or every member has been a pivot.
+3. Lists of up to ``small`` classes give all their pairs.  The members of longer
+   lists are dealt into blocks, and pairs of blocks are compared set against
+   set; a spanning forest of what is similar is all that leaves a task.
 4. The union sketch of a pair estimates its similarity and drops clear misses;
    the exact Jaccard similarity of the full sets decides.
 5. Connected components by least labels over the confirmed links.
@@ -31,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, prepare, store
@@ -53,6 +52,9 @@ class Settings:
     #: Documents of a block, and keys of a counting bucket.
     block: int = 20_000
     bucket: int = 500_000
+    #: Rows and bytes of sets in a block of a long list's group.
+    block_rows: int = 256
+    block_bytes: int = 4 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,32 +311,63 @@ def links(docs: DataFrame, blocks: DataFrame, s: Settings) -> tuple[DataFrame, D
     right = short.select("value", F.col("sig").alias("b"), F.col("n").alias("n_b"))
     pairs = left.join(right, "value").where((F.col("a") < F.col("b")) & _similar_sizes(F.col("n_a"), F.col("n_b"), s)).select("a", "b", "n_a", "n_b").distinct()
     confirmed = verifier.links(pairs)
-    labels = None
-    open_lists = store(long.select("value", "sig", "n"), "long-lists")
-    asked, rounds = 4, 0
-    while open_lists.limit(1).count():
-        labels = components(nodes, confirmed)
-        marked = open_lists.join(labels, "sig")
-        # A list whose members all have one label is done; in the others, members outside the
-        # commonest label are asked first.  Counts and pivots come from partial aggregates.
-        tally = marked.groupBy("value", "label").agg(F.count("*").alias("c"))
-        unlike = tally.groupBy("value").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top")).where("labels > 1").select("value", F.col("top.label").alias("top"))
-        marked = store(marked.join(unlike, "value").withColumn("minor", F.col("label") != F.col("top")), "long-lists")
-        salt = F.pmod(F.hash("sig"), F.lit(64))
-        first = marked.where("minor").withColumn("salt", salt)
-        first = first.withColumn("r", F.row_number().over(Window.partitionBy("value", "salt").orderBy("sig"))).where(F.col("r") <= asked)
-        first = first.withColumn("r", F.row_number().over(Window.partitionBy("value").orderBy("r", "sig"))).where(F.col("r") <= asked)
-        pivots = store(first.select("value", F.col("sig").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p")), "pivots")
-        asked_pairs = marked.select("value", "sig", "n", "label").join(pivots, "value").where((F.col("label") != F.col("label_p")) & _similar_sizes(F.col("n"), F.col("n_p"), s))
-        p, q = F.col("p"), F.col("sig")
-        asked_pairs = asked_pairs.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), F.when(p < q, F.col("n_p")).otherwise(F.col("n")).alias("n_a"), F.when(p < q, F.col("n")).otherwise(F.col("n_p")).alias("n_b")).distinct()
-        confirmed = store(confirmed.unionByName(verifier.links(asked_pairs)), "links")
-        open_lists = store(marked.join(pivots.select("value", F.col("p").alias("sig")), ["value", "sig"], "left_anti").select("value", "sig", "n"), "long-lists")
-        rounds += 1
-        asked = min(asked * 2, 256)
+    if long.limit(1).count():
+        confirmed = confirmed.unionByName(blockwise_links(nodes, long, verifier, s))
     return classes, components(nodes, confirmed)
 
 
+def blockwise_links(nodes: DataFrame, long: DataFrame, verifier: Verifier, s: Settings) -> DataFrame:
+    """Links among the members of long lists, which several lists usually have in common.
+
+    Lists with common members make one group.  A group is dealt into blocks of
+    bounded size by a hash, and each pair of blocks is compared at once, set
+    against set; only a spanning forest of what is similar leaves a task, so
+    neither all pairs of a group nor the whole group is ever in one place.
+    """
+    heads = long.groupBy("value").agg(F.min("sig").alias("a"))
+    star = long.join(heads, "value").where(F.col("a") != F.col("sig")).select("a", F.col("sig").alias("b")).distinct()
+    own = long.select("sig").distinct()
+    groups = components(nodes.join(own, "sig", "left_semi"), star).select("sig", F.col("label.sig").alias("group"))
+    members_ = store(groups.join(verifier._whole(), "sig"), "long-members")
+    sizes = members_.groupBy("group").agg(F.count("*").alias("rows"), F.sum(F.octet_length("x")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("rows") / s.block_rows), F.ceil(F.col("bytes") / s.block_bytes)).cast("int")
+    dealt = members_.join(sizes.select("group", blocks.alias("blocks")), "group").withColumn("mine", F.pmod(F.hash("sig"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "sig", "x")
+
+    def compare(found: pa.Table) -> pa.Table:
+        sets = [_wide(x) for x in found["x"].to_pylist()]
+        sigs = found["sig"].to_pylist()
+        n = np.array([len(x) for x in sets])
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), n)
+        shared = count[column] > 1
+        row, column = row[shared], column[shared]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        width = 4096
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [lo, lo + width])
+            if a < b:
+                x = np.zeros((len(sets), width), np.float32)
+                x[row[a:b], column[a:b] - lo] = 1
+                common += x @ x.T
+        union = n[:, None] + n[None, :] - common
+        alike = common * s.denominator >= union * s.numerator
+        np.fill_diagonal(alike, True)
+        label = np.arange(len(sets))
+        while True:
+            least = np.where(alike, label[None, :], len(sets)).min(1)
+            if (least == label).all():
+                break
+            label = least
+        far = np.flatnonzero(label != np.arange(len(sets)))
+        return pa.table([pa.array([sigs[k] for k in label[far]], pa.binary()), pa.array([sigs[k] for k in far], pa.binary())], names=["a", "b"])
+
+    return store(dealt.groupBy("group", "i", "j").applyInArrow(compare, "a binary, b binary").distinct(), "long-links")
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = docs.select("doc_id", "text")
