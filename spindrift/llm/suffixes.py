@@ -257,9 +257,10 @@ def repeats(found: DataFrame, s: Settings) -> DataFrame:
     left_most = s.length - s.seed
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
             return
+        table = pa.Table.from_batches(batches)
         context = table["context"].to_numpy().view(np.uint64)
         _, keep = np.unique(context, return_index=True)  # equal contexts are witnesses of one another
         own = table["block"].to_numpy()
