@@ -24,7 +24,7 @@ HOSTS = {
 # Other names of link types.
 ALIASES = {"ali": "aliyun", "189": "tianyi", "139": "mobile", "123pan": "123", "others": "other"}
 # Words that a transport URL must not contain.
-FORBIDDEN = ("bearer", "nako_at_", "source_locator", "file://", "local://")
+FORBIDDEN = ("bearer", "source_locator", "file://", "local://")
 
 
 def normalize_url(c: Column) -> Column:
@@ -79,11 +79,14 @@ def is_exact_link(c: Column) -> Column:
     return ascii_lower(trimmed(c)).rlike(r"^(?:magnet:\?|ed2k://|https?://)")
 
 
-def is_safe_url(c: Column) -> Column:
-    """http(s), a host, no user name, no white space, none of the forbidden words."""
+def is_safe_url(c: Column, token_prefixes: tuple[str, ...] = ()) -> Column:
+    """http(s), a host, no user name, no white space, none of the forbidden words.
+
+    token_prefixes: what a deployment's own access tokens begin with; these are forbidden too.
+    """
     low = ascii_lower(trimmed(c))
     safe = low.rlike(r"^https?://[^/]") & ~low.rlike(r"(?U)\s") & ~F.regexp_extract(low, r"^https?://([^/]*)", 1).contains("@")
-    for word in FORBIDDEN:
+    for word in (*FORBIDDEN, *token_prefixes):
         safe = safe & ~low.contains(word)
     return safe
 
