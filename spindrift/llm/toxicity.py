@@ -12,8 +12,8 @@ rows moves to 0.5 of the score.
 Fitting uses a bounded sample of labelled rows (``Settings.per_class``), whole
 texts; fold 0 is never used.  Scoring reads every whole text.  Null or empty
 texts have no words and get the score of an all-zero pooling.  Without labels
-of both classes every score is the constant 0.5 of an untrained output, and
-``predicted`` follows from it.
+of both classes nothing can be learned: every score is 0.25, and no document is
+rejected.
 """
 
 from __future__ import annotations
@@ -38,6 +38,10 @@ FUNCTION_WORDS = {
 LANGUAGES = ("other", *sorted(FUNCTION_WORDS))
 
 
+#: Logit of an untrained model, a score of 0.25.
+UNTRAINED = float(-np.log(3))
+
+
 @dataclass(frozen=True)
 class Settings:
     #: Bound on the labelled rows of each class that fitting reads.
@@ -213,7 +217,7 @@ def fit(sample: list[tuple[str, int]], settings: Settings = Settings()) -> Model
     y = np.array([v for _, v in sample], int)
     if not len(y) or y.min() == y.max():
         s = settings
-        return Model(s, np.zeros((s.buckets, s.dimensions), np.float32), [np.zeros((w, s.dimensions, s.filters), np.float32) for w in s.widths], [np.zeros(s.filters, np.float32) for _ in s.widths], np.zeros(len(s.widths) * s.filters), 0.0, {})
+        return Model(s, np.zeros((s.buckets, s.dimensions), np.float32), [np.zeros((w, s.dimensions, s.filters), np.float32) for w in s.widths], [np.zeros(s.filters, np.float32) for _ in s.widths], np.zeros(len(s.widths) * s.filters), UNTRAINED, {})
     texts, language = [], []
     for lo, hi, data, offsets in chunks(pa.array([t for t, _ in sample], pa.string())):  # bounds the driver's memory
         ids, doc, own = _ids(data, offsets, settings.buckets)
