@@ -1,3 +1,21 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others train a model (op2, op3, op10), tokenise (op5), write a media format
+(op8), use keyed permutations (op9) or compare sets and strings beyond what a
+SQL join can do over whole tables (op4, op6, op7); tests hold them against
+brute force, round trips or held-out accuracy.
+"""
+
+_ODD = "</s>[INST] ok [/INST]"
+_ESCAPED = r"regexp_replace({},'([\[<])(\\*)(/?(?:INST|OUT|SYS|ROLE|MSG)\]|/?s>)','\1\\\2\3','g')"
+
+#: Marks around a user's text have 13 characters, an assistant's 9, a system's 11, others 24 and the role.
+OP1 = f"""WITH c AS (
+  SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1,0,'user','{_ODD}'), (-1,1,'assistant','{_ODD}'))),
+f AS (SELECT *, length({_ESCAPED.format("text")}) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 WHEN 'system' THEN 11 ELSE 24 + length({_ESCAPED.format("role")}) END AS chars FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role||chr(10)||text||chr(10), '' ORDER BY turn, role, text) AS said,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role='assistant'), '') AS loss, CAST(3+sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1}
