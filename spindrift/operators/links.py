@@ -32,9 +32,19 @@ def merged(rows: DataFrame) -> DataFrame:
 
 
 def grouped(links: DataFrame) -> DataFrame:
-    """One row for each type in declared order, its links sorted by normalized URL."""
+    """The links with their type's declared order, by type and then normalized URL.
+
+    Rows stay rows: a type's links are never gathered into one value.
+    """
+    order = F.array_position(F.array(*map(F.lit, LINK_TYPES)), F.col("link_type")).cast("int")
+    return links.withColumn("type_order", order).orderBy("type_order", "normalized_url")
+
+
+def type_summary(links: DataFrame) -> DataFrame:
+    """Count, ends and total length of each type's links."""
     order = F.array_position(F.array(*map(F.lit, LINK_TYPES)), F.col("link_type")).cast("int")
-    return links.groupBy("link_type").agg(F.array_sort(F.collect_list("normalized_url")).alias("urls")).withColumn("type_order", order)
+    totals = (F.count("*").alias("n_links"), F.min("normalized_url").alias("first_url"), F.max("normalized_url").alias("last_url"), F.sum(F.length("normalized_url")).cast("bigint").alias("chars"))
+    return links.groupBy("link_type").agg(*totals).withColumn("type_order", order)
 
 
 def source_requested(sources: Column, provider: Column) -> Column:

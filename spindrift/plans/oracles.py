@@ -129,7 +129,7 @@ b AS (SELECT DISTINCT score, title, id FROM w ORDER BY score DESC, title, id LIM
 s AS (SELECT w.* FROM w JOIN b USING (id))
 SELECT normalized_url, arg_min(url, (-score, title, s.id, place)) AS url, arg_min(link_type, (-score, title, s.id, place)) AS link_type, array_to_string(list_sort(list(DISTINCT source)),',') AS sources FROM s GROUP BY normalized_url"""
 LINK_GROUPS = f"""WITH {_LINKS}, m AS (SELECT normalized_url, arg_min(link_type, (-score, title, id, place)) AS link_type FROM j GROUP BY normalized_url)
-SELECT link_type, CAST(list_position([{','.join(f"'{x}'" for x in LINK_TYPES)}], link_type) AS INTEGER) AS type_order, count(*) AS n_links, md5(array_to_string(list_sort(list(normalized_url)),chr(10))) AS urls_md5 FROM m GROUP BY link_type"""
+SELECT link_type, CAST(list_position([{','.join(f"'{x}'" for x in LINK_TYPES)}], link_type) AS INTEGER) AS type_order, count(*) AS n_links, min(normalized_url) AS first_url, max(normalized_url) AS last_url, CAST(sum(length(normalized_url)) AS BIGINT) AS chars FROM m GROUP BY link_type"""
 
 QUERY_PAYLOADS = """WITH p AS (SELECT p_partkey AS id, p_name, p_partkey AS k FROM part)
 SELECT id, trim(regexp_replace(p_name||' x',' +',' ','g')) AS title, CAST(CASE WHEN k%4=3 THEN -1 ELSE k%120+1900 END AS INTEGER) AS year, CASE WHEN k%5=0 THEN 'fr' ELSE 'en-US' END AS language,

@@ -103,8 +103,7 @@ def link_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All links of all results, merged and counted by type in declared order."""
-    merged = links.merged(links.typed(_results(spark, sf_dir)))
-    return links.grouped(merged).select("link_type", "type_order", F.size("urls").cast("bigint").alias("n_links"), F.md5(F.array_join("urls", "\n")).alias("urls_md5"))
+    return links.type_summary(links.merged(links.typed(_results(spark, sf_dir))))
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
