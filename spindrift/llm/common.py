@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; bounds a Python worker's memory where texts are long.
 ARROW_ROWS = 1000
+ARROW_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches that Python workers receive."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

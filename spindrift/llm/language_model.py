@@ -40,7 +40,7 @@ _BINS = 96
 @dataclass(frozen=True)
 class Settings:
     #: Tokens of a block of whole documents.
-    block: int = 2_000_000
+    block: int = 600_000
     #: Keys of a bucket.
     bucket: int = 500_000
     rounds: int = 60
