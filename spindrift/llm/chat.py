@@ -44,10 +44,11 @@ def paths(nodes: DataFrame) -> DataFrame:
     state = store(state, "paths")
     while state.where("up is not null").limit(1).count():
         above = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"), F.col("path").alias("head"), F.col("dead").alias("gone"))
-        path = F.when(F.col("n").isNotNull(), F.concat("head", "path")).otherwise(F.col("path"))
-        joined = state.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select("tree", "node", F.col("further").alias("up"), path.alias("path"), (F.col("dead") | F.coalesce("gone", F.lit(False))).alias("dead"))
+        # Only rows with something above them are joined; the others are done.
+        joined = state.where("up is not null").join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("further").alias("up"), F.concat("head", "path").alias("path"), (F.col("dead") | F.col("gone")).alias("dead"))
         cyclic = F.col("dead") | (F.size(F.array_distinct("path")) < F.size("path"))
-        state = store(joined.select("tree", "node", F.when(~cyclic, F.col("up")).alias("up"), F.when(cyclic, F.array("node")).otherwise(F.col("path")).alias("path"), cyclic.alias("dead")), "paths")
+        grown = joined.select("tree", "node", F.when(~cyclic, F.col("up")).alias("up"), F.when(cyclic, F.array("node")).otherwise(F.col("path")).alias("path"), cyclic.alias("dead"))
+        state = store(state.where("up is null").unionByName(grown), "paths")
     answered = nodes.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     return state.where(~F.col("dead")).join(answered, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti").select("tree", F.col("node").alias("leaf"), "path")
 
