@@ -378,10 +378,23 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         classes = store(classes.join(named, "sig", "left").select("sig", F.coalesce("least", "doc").alias("component_id")), "components")
     else:
         classes = classes.select("sig", F.col("doc").alias("component_id"))
-    everyone = members(blocks)
-    out = everyone.where("sig is not null").join(classes, "sig").select("doc_id", "n", "component_id")
-    out = out.unionByName(everyone.where("sig is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    # Blocks ask once for each of their classes, so a class of very many copies is as many
+    # rows as there are blocks, and the documents themselves are not dealt by class.
+    asked = blocks.select("block", F.explode(F.array_distinct("sigs")).alias("sig")).where("sig is not null")
+    named = asked.join(classes.select("sig", "component_id"), "sig").groupBy("block").agg(F.collect_list(F.struct("sig", "component_id")).alias("named"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for i, row in enumerate(batch.select(["sizes", "sigs", "named"]).to_pylist()):
+                ids = batch.column("ids").slice(i, 1).flatten()
+                of = {x["sig"]: x["component_id"] for x in row["named"] or []}
+                own = [d.as_py() if g is None else of[g] for d, g in zip(ids, row["sigs"], strict=True)]
+                kept = [d.as_py() is not None and d.as_py() == c for d, c in zip(ids, own, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(row["sizes"], pa.int64()), pa.array(own, ids.type), pa.array(kept, pa.bool_())], names=["doc_id", "n_shingles", "component_id", "kept"])
+
+    joined = blocks.select("block", "ids", "sizes", "sigs").join(named, "block", "left").drop("block")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_shingles long, component_id {kind}, kept boolean")
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
