@@ -108,7 +108,8 @@ def _anchors(data: np.ndarray, lo: int, offsets: np.ndarray, s: Settings) -> Anc
     last = np.append(first[1:], len(starts)) - 1
     a, b, at = starts[first], starts[last], place[first]
     context = _hash(total, down, a - lo, b - lo + s.length) ^ mix((at - (a - lo)).astype(np.uint64))
-    return Anchors(text[first], a, at + lo, b - a, seeds[at], context)
+    # Least hashes are small ones; mixed again, they fall evenly into buckets.
+    return Anchors(text[first], a, at + lo, b - a, mix(seeds[at]), context)
 
 
 def text_blocks(docs: DataFrame, s: Settings) -> DataFrame:
