@@ -321,6 +321,32 @@ def test_pseudonyms(spark, nothing):
     assert pii.pseudonymise(nothing, "key").count() == 0
 
 
+#: Each form alone in a text, with no more digits than it needs.
+ALONE = [
+    ("call +49 89 123 456 now", "phone"),
+    ("call (030) 123 456 now", "phone"),
+    ("card 45 32 01 51 12 83 03 66 ok", "card"),
+    ("iban AD11 A1B2 C3D4 E5F6 ok", "iban"),
+    ("from 1.2.3.4 ok", "ip"),
+    ("born 31/12/1999 ok", "date"),
+    ("ssn 123-45-6789 ok", "ssn"),
+    ("mail a@b.cd ok", "email"),
+]
+
+
+def test_pseudonyms_of_each_form_alone(spark):
+    def with_check_digits(text):
+        head = text[:2] + "00"
+        compact = text[4:].replace(" ", "") + head
+        return f"{text[:2]}{98 - int(''.join(str(int(c, 36)) for c in compact)) % 97:02d}{text[4:]}"
+
+    iban = "AD11 A1B2 C3D4 E5F6"
+    texts = [t.replace(iban, with_check_digits(iban)) for t, _ in ALONE]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()
+    for r, t, (_, kind) in zip(rows, texts, ALONE, strict=True):
+        assert {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]} == {kind: 1} and r.text != t
+
+
 def test_permutations_invert(spark):
     ids = spark.range(50 * 40).select("id", pii.permute_pair(F.col("id"), 50, 40, "t", "k").alias("p"))
     assert ids.select(F.countDistinct("p"), F.min("p"), F.max("p")).first()[:] == (2000, 0, 1999)
