@@ -14,6 +14,13 @@ code), IPv4 addresses, United States social security numbers, calendar dates
 from 1900-01-01 on for 72,900 days (dates elsewhere stay), and the local part
 of e-mail addresses (letters stay letters, digits digits).  Separators stay.
 
+Forms are looked for one after the other in what is still in clear.  In a run
+of groups every stretch of whole groups is tried, so a number beside other
+groups is found: for IBANs first the length of the country, for cards a number
+without separators, then from the left the longest stretch.  A stretch with
+foreign groups passes a card's check by chance one time in ten; it is replaced
+whole then, and nothing stays in clear, but that card is not linked to others.
+
 Null texts stay null with counts of 0; empty texts stay empty; texts without a
 match are returned as they are.
 """
@@ -36,7 +43,25 @@ FORMS = {
     "card": r"\d(?:[ -]?\d){12,18}",
 }
 KINDS = tuple(FORMS)
-ANY = r"(?<![A-Za-z0-9_+])(?:" + "|".join(FORMS.values()) + r")(?![A-Za-z0-9_])"
+BEFORE, AFTER = r"(?<![A-Za-z0-9_+])", r"(?![A-Za-z0-9_])"
+#: Groups of digits, or of an IBAN's characters, of which a stretch can be a number.
+CARD_RUN = BEFORE + r"(?=\d(?:[ -]?\d){12})\d++" + AFTER + r"(?:[ -]\d++" + AFTER + ")*+"
+IBAN_RUN = BEFORE + r"[A-Z]{2}\d{2}[A-Z0-9]*+" + AFTER + r"(?: [A-Z0-9]++" + AFTER + ")*+"
+# Characters of a country's IBANs.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: Failed matches that no later form may take groups from.
+STAYS = {"date": r"^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])$", "ssn": "^"}
+#: What each form implies; cheaper to look for than the form.
+HINTS = {"email": "@", "iban": r"[A-Z]{2}\d{2}", "date": r"\d{4}", "ssn": r"-\d{4}", "ip": r"\d\.\d", "phone": r"\+\d|\(\d{2}", "card": r"\d(?:[ -]?\d){12}"}
 #: Implied by every form: an e-mail's sign, an IBAN's head, a phone's head, an address's point, or
 #: four digits with a card's separators at most (cards, dates and social security numbers have them).
 HINT = r"@|[A-Z]{2}\d{2}|\+\d|\(\d{2}|\d\.\d|\d(?:[ -]?\d){3}"
@@ -187,29 +212,109 @@ def _email(m: Column, key: str) -> tuple[Column, Column]:
 _MAKERS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
 
 
-def pseudonym(match: Column, key: str) -> Column:
-    """(kind, text) of a match: its first form whose check it passes; no kind, and unchanged, without one."""
-    out = F.struct(F.lit(None).cast("string").alias("kind"), match.alias("text"))
-    for kind in reversed(KINDS):
-        valid, text = _MAKERS[kind](match, key)
-        out = F.when(match.rlike(f"^(?:{FORMS[kind]})$") & valid, F.struct(F.lit(kind).alias("kind"), text.alias("text"))).otherwise(out)
-    return out
+def pseudonym(match: Column, kind: str, key: str) -> Column:
+    """(kind, text) of a match of a form; no kind, and unchanged, where it fails the form's check.
+
+    What still looks like a date or a social security number has the kind "" and is no card's group.
+    """
+    valid, text = _MAKERS[kind](match, key)
+    out = F.when(valid, _part(text, kind))
+    return (out.when(match.rlike(STAYS[kind]), _part(match, "")) if kind in STAYS else out).otherwise(_part(match))
+
+
+def _part(text: Column, kind: str | None = None) -> Column:
+    return F.struct(F.lit(kind).cast("string").alias("kind"), text.alias("text"))
+
+
+PARTS = "array<struct<kind:string,text:string>>"
+
+
+def _joined(parts: Column) -> Column:
+    """Parts with neighbouring clear ones made one, so that later forms see them whole."""
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        both = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(_part(F.concat(last["text"], x["text"]))))
+        return F.when((F.size(done) > 0) & x["kind"].isNull() & F.try_element_at(done, F.lit(-1))["kind"].isNull(), both).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(parts, F.array().cast(PARTS), step)
+
+
+def _around(text: Column, pattern: str, make) -> Column:
+    """The parts of a clear text: what lies between the pattern's matches, and what ``make`` has of each match."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), make)
+    between = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.concat(F.array(_part(p)), F.coalesce(m, F.array().cast(PARTS))))
+    return F.when(text.rlike(pattern), _joined(F.flatten(between))).otherwise(F.array(_part(text)))
+
+
+def _stretches(run: Column, word: str, most: int, kind: str, key: str, prefer) -> Column:
+    """The parts of a run of groups: from its start on, the stretches of whole groups that are valid.
+
+    ``prefer`` gives the stretches that begin at a group, of up to ``most`` groups, in the order to try.
+    """
+    pieces = F.regexp_extract_all(run, F.lit(f"{word}|[ -]"), F.lit(0))  # groups, and separators between them
+
+    def scan(pieces: Column) -> Column:
+        stretch = lambda i, n: F.array_join(F.slice(pieces, i, n), "")
+
+        def step(state: Column, i: Column) -> Column:
+            lengths = F.sequence(F.lit(1), F.least(F.lit(2 * most - 1), F.size(pieces) - i + 1), F.lit(2))
+            tried = F.filter(F.transform(lengths, lambda n: F.struct(n.alias("n"), stretch(i, n).alias("text"))), lambda x: x["text"].rlike(f"^(?:{FORMS[kind]})$") & _MAKERS[kind](x["text"], key)[0])
+            first = F.try_element_at(F.when(i >= state["next"], prefer(tried)), F.lit(1))
+            take = lambda first: F.when(first.isNotNull(), F.struct((i + first["n"]).cast("int").alias("next"), F.concat(state["parts"], F.array(F.struct(F.lit(True).alias("valid"), first["text"].alias("text")))).alias("parts"))).when(i >= state["next"], F.struct((i + 1).cast("int").alias("next"), F.concat(state["parts"], F.array(F.struct(F.lit(False).alias("valid"), F.element_at(pieces, i).alias("text")))).alias("parts"))).otherwise(state)
+            return _let(first, take)
+
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<valid:boolean,text:string>>").alias("parts"))
+        places = F.sequence(F.lit(1), F.size(pieces))
+        # Separators are places too, at which no stretch begins.
+        return F.aggregate(places, start, step, lambda s: F.transform(s["parts"], lambda x: F.when(x["valid"], pseudonym(x["text"], kind, key)).otherwise(_part(x["text"]))))
+
+    return _let(pieces, scan)
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _longest(tried: Column) -> Column:
+    return F.reverse(tried)
+
+
+def _by_country(tried: Column) -> Column:
+    """Stretches of the length that the country's IBANs have, then the longest."""
+    lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+    own = lambda x: F.length(F.replace(x["text"], F.lit(" "), F.lit(""))) == F.try_element_at(lengths, F.substring(x["text"], 1, 2))
+    return F.concat(F.filter(tried, own), F.reverse(tried))
+
+
+def _passes(key: str):
+    """(hint, pattern, parts of a match) in the order they are applied to what is still in clear."""
+    alone = lambda kind, form: (HINTS[kind], BEFORE + f"(?:{form})" + AFTER, lambda m: F.array(pseudonym(m, kind, key)))
+    yield alone("email", FORMS["email"])
+    yield HINTS["iban"], IBAN_RUN, lambda m: _stretches(m, "[A-Z0-9]+", 10, "iban", key, _by_country)
+    for kind in ("date", "ssn", "ip", "phone"):
+        yield alone(kind, FORMS[kind])
+    # Cards without separators come first: a group beside them is not theirs.
+    yield alone("card", r"\d{14,19}")
+    yield HINTS["card"], CARD_RUN, lambda m: _stretches(m, r"\d+", 19, "card", key, _longest)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The documents with the text replaced, and columns n_<kind> and n_replaced."""
     text = F.col(text_col).cast("string")
-    found = F.when(text.rlike(HINT), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key)))
-    # The matches are computed once, in a projection of their own, and only where a form can be.
-    marked = docs.withColumn("__found", F.when(F.size(found) > 0, found))
-    between = F.split(text, ANY, -1)
-    whole = F.array_join(F.zip_with(between, F.transform("__found", lambda x: x["text"]), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    parts = F.array(_part(text))
+    for hint, pattern, make in _passes(key):
+        parts = F.flatten(F.transform(parts, lambda x: F.when(x["kind"].isNull() & x["text"].rlike(hint), _around(x["text"], pattern, make)).otherwise(F.array(x))))  # noqa: B023
+    # The parts are computed once, in a projection of their own, and only where a form can be.
+    marked = docs.withColumn("__found", F.when(text.rlike(HINT), parts))
+    whole = F.array_join(F.transform("__found", lambda x: x["text"]), "")
 
     def count(test) -> Column:
         return F.coalesce(F.size(F.filter("__found", lambda x: test(x["kind"]))).cast("long"), F.lit(0).cast("long"))
 
     counts = {f"n_{k}": count(lambda kind, k=k: kind == k) for k in KINDS}
-    counts["n_replaced"] = count(lambda kind: kind.isNotNull())
+    counts["n_replaced"] = count(lambda kind: kind != "")
     counts = {k: F.when(F.col("__found").isNull(), F.lit(0).cast("long")).otherwise(v) for k, v in counts.items()}
     out = marked.withColumns(counts)
     return out.withColumn(text_col, F.when(F.col("n_replaced") > 0, whole).otherwise(text)).drop("__found")

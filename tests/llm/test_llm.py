@@ -347,6 +347,37 @@ def test_pseudonyms_of_each_form_alone(spark):
         assert {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]} == {kind: 1} and r.text != t
 
 
+CARD, GROUPED, IBAN = "4532015112830366", "4532 0151 1283 0366", "DE89 3704 0044 0532 0130 00"
+#: Values beside other groups: the text, the values in it that must go, and their kinds.
+BESIDE = [
+    (f"card {CARD} 12/27", [CARD], {"card": 1}),
+    (f"{GROUPED} 123", [GROUPED], {"card": 1}),
+    (f"no 12 {CARD}", [CARD], {"card": 1}),
+    (f"no 12 {GROUPED} 9 x", [GROUPED], {"card": 1}),
+    (f"{GROUPED} {GROUPED}", [GROUPED], {"card": 2}),
+    ("ES91 2100 0418 4502 0005 1332 EUR", ["2100 0418"], {"iban": 1}),
+    ("AT61 1904 3002 3457 3201 BIC", ["1904 3002"], {"iban": 1}),
+    (f"IT12 {IBAN} AND MORE", ["3704 0044"], {"iban": 1}),
+    (f"REF AB12 CDEF GHIJ KLMN OPQR STUV {IBAN}", ["3704 0044"], {"iban": 1}),
+    (f"{CARD} 123-45-6789", [CARD, "123-45-6789"], {"card": 1, "ssn": 1}),
+    ("1234 123-45-6789", ["123-45-6789"], {"ssn": 1}),
+    ("12345 2020-02-29", ["2020-02-29"], {"date": 1}),
+    ("4532-01-51 1283 0366", ["1283 0366"], {"card": 1}),
+    ("1 " * 3000 + CARD + "x", [], {}),
+]
+
+
+def test_pseudonyms_beside_other_groups(spark):
+    rows = pii.pseudonymise(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(BESIDE)], "doc_id long, text string"), "key").orderBy("doc_id").collect()
+    for r, (text, values, kinds) in zip(rows[:-1], BESIDE, strict=False):
+        assert {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]} == kinds, text
+        assert not any(v in r.text for v in values) and len(r.text) == len(text)
+        assert re.sub(r"\d", "9", r.text) == re.sub(r"\d", "9", text)
+    assert len(rows[-1].text) == len(BESIDE[-1][0]) and rows[-1].text.endswith(CARD + "x")
+    alone = pii.pseudonymise(spark.createDataFrame([(CARD,)], "text string"), "key").first().text
+    assert alone in rows[0].text and alone in rows[2].text and alone in rows[9].text, "equal values stay linked"
+
+
 def test_permutations_invert(spark):
     ids = spark.range(50 * 40).select("id", pii.permute_pair(F.col("id"), 50, 40, "t", "k").alias("p"))
     assert ids.select(F.countDistinct("p"), F.min("p"), F.max("p")).first()[:] == (2000, 0, 1999)
