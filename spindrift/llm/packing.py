@@ -55,9 +55,19 @@ class Encoder:
     are encoded whole.  The rank file's merges give the same ids as the
     tokenizer file's, and faster; without a rank file the tokenizer itself
     encodes.
+
+    special: texts that hold one of the tokenizer file's added tokens are encoded
+    whole by the tokenizer, which gives that token's own id; else such strings
+    are characters like others.
     """
 
-    def __init__(self, path: str, remembered: int):
+    def __init__(self, path: str, remembered: int, special: bool = False):
+        self.added: list[bytes] = []
+        if special:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(path)
+            self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         rank_file = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(rank_file):
             import tiktoken
@@ -85,6 +95,18 @@ class Encoder:
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(1, np.int64)
 
+    def _holds_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts hold an added token."""
+        found = np.zeros(len(offsets) - 1, bool)
+        raw_bytes = data.tobytes() if self.added else b""
+        for token in self.added:
+            at = raw_bytes.find(token)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                found[text] |= at + len(token) <= offsets[text + 1]
+                at = raw_bytes.find(token, at + 1)
+        return found
+
     def _learn(self, runs: list[bytes], keys: np.ndarray) -> None:
         """Encode new runs; those that begin with white space and end without it go in one piece."""
         blank = b"\t\n\v\f\r "
@@ -115,7 +137,8 @@ class Encoder:
         if len(self.keys) > self.most:
             self.forget()
         n = len(offsets) - 1
-        whole = odd_space(data, offsets)
+        added = self._holds_added(data, offsets)
+        whole = odd_space(data, offsets) | added
         starts = np.zeros(0, np.int64)
         if len(data):
             blank = SPACE[data]
@@ -142,7 +165,11 @@ class Encoder:
         if whole.any():
             parts, bounds = [], np.concatenate([[0], np.cumsum(lengths)])
             for i in range(n):
-                parts.append(self.plain(data[offsets[i] : offsets[i + 1]].tobytes().decode()) if whole[i] else ids[bounds[i] : bounds[i + 1]])
+                if not whole[i]:
+                    parts.append(ids[bounds[i] : bounds[i + 1]])
+                    continue
+                text_ = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+                parts.append(np.array(self.tokenizer.encode(text_, add_special_tokens=False).ids, np.uint32) if added[i] else self.plain(text_))
             return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         return ids, np.concatenate([[0], np.cumsum(lengths)])
 
@@ -176,7 +203,7 @@ def pieces(docs: DataFrame, settings: Settings) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder = Encoder(settings.tokenizer, settings.remembered)
+        encoder = Encoder(settings.tokenizer, settings.remembered, special=True)
         part = TaskContext.get().partitionId()
         seen = np.zeros(settings.sequence + 1, np.int64)
         for batch in batches:

@@ -196,6 +196,23 @@ def test_encoder_equals_tokenizer():
             assert x.ids == ids[bounds[i] : bounds[i + 1]].tolist()
 
 
+def test_encoder_equals_default_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    rng = random.Random(2)
+    alphabet = [*"aZ9 '\n\t\r \x1c!,.é漢", "\u00a0", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["a <|endoftext|> b", "", "x<|endof", "text|> y"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30))) for _ in range(2000)]
+    expected = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    ids, bounds = packing.Encoder(path, 500, special=True).encode(*common.raw(pa.array(texts)))
+    for i, own in enumerate(expected):
+        assert own == ids[bounds[i] : bounds[i + 1]].tolist()
+    docs = spark.createDataFrame(list(enumerate(texts[:20])), "doc_id long, text string")
+    for r in packing.pack(docs, packing.Settings(path)).where("piece = 0").collect():
+        assert r.ids_crc32 == zlib.crc32(np.array([*expected[r.doc_id], 2], "<u4").tobytes())
+
+
 @pytest.mark.parametrize("dealt, bucket, length", [(4000, 40_000, 200), (2, 7, 200), (3, 50, 100)])
 def test_suffixes(docs, texts, dealt, bucket, length):
     s = suffixes.Settings(length=length, seed=length // 3, dealt=dealt, bucket=bucket, block=2000)
