@@ -236,7 +236,7 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     if not size.words:
         return docs.sparkSession.createDataFrame([], result)
     asking = blocks.select("block", "sizes", "folds", "words", "tokens")
-    found = exchange(asking, lambda row: Block(row).word_keys(), 1 + size.words // s.bucket, "lm-words")
+    found = exchange(asking, lambda row: Block(row).word_keys(), 1 + size.words // s.bucket, "lm-words", 8)
     total = found.where("block < 0").agg(F.sum("n_a").alias("a"), F.sum("n_b").alias("b"), F.sum("distinct").alias("v")).first()
     n_a, n, v = total.a, total.a + total.b, total.v
     pairs = exchange(asking, lambda row: Block(row).pair_keys(), 1 + size.pairs // s.bucket, "lm-pairs")

@@ -57,6 +57,16 @@ def nothing(spark):
 LABELS = "doc_id long, quality int, toxic int"
 
 
+def test_language_model_tells_words_of_close_hashes_apart(spark):
+    a, b = "2df8a100", "5ffd2800"  # equal in the first 48 bits of their hashes
+    h, _, _, _ = words.words(*common.raw(pa.array([f"{a} {b}"])))
+    assert h[0] >> np.uint64(16) == h[1] >> np.uint64(16) and h[0] != h[1]
+    training, held_out = (next(i for i in range(100) if FOLD(i) == k) for k in (0, 1))
+    docs = spark.createDataFrame([(training, a), (held_out, b)], "doc_id long, text string")
+    known = {r.doc_id: r.n_known for r in language_model.score(docs).collect()}
+    assert known == {training: 2, held_out: 1}, "of the held-out text only its end is known"
+
+
 def test_word_hashes_tell_words_apart(texts):
     data, offsets = common.raw(pa.array(texts, pa.string()))
     h, doc, s, e = words.words(data, offsets)
