@@ -13,20 +13,31 @@ international and parenthesised phone numbers (the digits after the country
 code), IPv4 addresses, United States social security numbers, calendar dates
 from 1900-01-01 on for 72,900 days (dates elsewhere stay), and the local part
 of e-mail addresses (letters stay letters, digits digits).  Separators stay.
-
-Forms are looked for one after the other in what is still in clear.  In a run
-of groups every stretch of whole groups is tried, so a number beside other
-groups is found: for IBANs first the length of the country, for cards a number
-without separators, then from the left the longest stretch.  A stretch with
-foreign groups passes a card's check by chance one time in ten; it is replaced
-whole then, and nothing stays in clear, but that card is not linked to others.
-
-Null texts stay null with counts of 0; empty texts stay empty; texts without a
-match are returned as they are.
+Dates with slashes are read day first; those that have no such day are read
+month first and become another date that only the month-first reading allows.
+
+Forms are looked for one after the other in what is still in clear: a pass puts
+one private-use character in the place of each value it takes out, and the
+values return in reverse order at the end, so a text of any length costs time
+in proportion.  In a run of groups every stretch of whole groups is tried, so a
+number beside other groups is found: for IBANs first the length of the country,
+for cards a number without separators, then from the left the longest stretch.
+A stretch with foreign groups passes a card's check by chance one time in ten;
+it is replaced whole then, and nothing stays in clear, but that card is not
+linked to others.
+
+Defined results: null texts stay null with counts of 0; empty texts stay empty;
+texts without a match are returned as they are; repeated rows are replaced
+alike; an empty table gives an empty result; the table's other columns stay as
+they are.  A count column whose name the table has already (in any case of
+letters) gets underscores at its end.  The patterns repeat without recursion,
+so very long texts are safe.  The key's digest is all that a query plan shows.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +45,7 @@ ROUNDS = 8
 
 # The forms of personal numbers, dates and addresses, in the order they are tried.
 FORMS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,10}[A-Za-z]{2,24}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "date": r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})",
     "ssn": r"\d{3}-\d{2}-\d{4}",
@@ -67,7 +78,19 @@ HINTS = {"email": "@", "iban": r"[A-Z]{2}\d{2}", "date": r"\d{4}", "ssn": r"-\d{
 HINT = r"@|[A-Z]{2}\d{2}|\+\d|\(\d{2}|\d\.\d|\d(?:[ -]?\d){3}"
 
 
+#: A pass puts its own private-use character where it took a value out.
+MARKS = "\ue000\ue001\ue002\ue003\ue004\ue005\ue006\ue007"
+#: Such characters in a text become this one and a character further on.
+GUARD, SHIFT = "\ue00f", 0x10
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _digest(key: str, *parts: Column) -> Column:
+    """key: a digest of the caller's key."""
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *parts).cast("binary"), 256)
 
 
@@ -82,7 +105,10 @@ def _shift(text: Column, digest: Column, sign: int) -> Column:
         by = F.lit(sign) * F.conv(F.substring(digest, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("int")
         code = F.ascii(c)
         in_class = lambda first, size: F.char((F.pmod(code - first + by, F.lit(size)) + first).cast("long"))
-        return F.when(c.between("0", "9"), in_class(48, 10)).when(c.between("a", "z"), in_class(97, 26)).when(c.between("A", "Z"), in_class(65, 26)).otherwise(c)
+        out = c
+        for a, b, first, size in (("0", "9", 48, 10), ("a", "z", 97, 26), ("A", "Z", 65, 26)):
+            out = F.when(c.between(a, b), in_class(first, size)).otherwise(out)
+        return out
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -94,7 +120,8 @@ def permute(text: Column, label: str, key: str, inverse: bool = False) -> Column
 
     def step(state: Column, i: Column) -> Column:
         a, b = (state["a"], state["b"]) if not inverse else (state["b"], state["a"])
-        moved = F.when(F.length(a) > 0, _shift(a, _digest(key, F.lit(label), i.cast("string"), b), -1 if inverse else 1)).otherwise(a)
+        digest = _digest(key, F.lit(label), i.cast("string"), b)
+        moved = F.when(F.length(a) > 0, _let(digest, lambda d: _shift(a, d, -1 if inverse else 1))).otherwise(a)
         return F.struct(b.alias("a"), moved.alias("b")) if not inverse else F.struct(moved.alias("a"), b.alias("b"))
 
     rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1)) if not inverse else F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1))
@@ -123,7 +150,8 @@ def _digits(text: Column) -> Column:
 def _luhn_sum(digits: Column) -> Column:
     """The sum over digits whose last one is doubled (the check digit not among them)."""
     places = F.split(F.reverse(digits), "")
-    doubled = F.transform(places, lambda c, i: F.when(i % 2 == 0, F.element_at(F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), c.cast("int") + 1)).otherwise(c.cast("int")))
+    twice = F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)))
+    doubled = F.transform(places, lambda c, i: F.when(i % 2 == 0, F.element_at(twice, c.cast("int") + 1)).otherwise(c.cast("int")))
     return F.aggregate(doubled, F.lit(0), lambda s, x: s + x)
 
 
@@ -134,8 +162,13 @@ def _check_digit(digits: Column) -> Column:
 def _fill(template: Column, characters: Column, replaced: str) -> Column:
     """The template with its characters of the class ``replaced`` taken from ``characters`` in order."""
     state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
-    put = lambda s, c: F.when(c.rlike(replaced), F.struct(F.concat(s["out"], F.substring(characters, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at")))
-    return F.aggregate(F.split(template, ""), state, put, lambda s: s["out"])
+
+    def put(characters: Column, s: Column, c: Column) -> Column:
+        mine = c.rlike(replaced)
+        char = F.when(mine, F.substring(characters, s["at"], F.lit(1))).otherwise(c)
+        return F.struct(F.concat(s["out"], char).alias("out"), (s["at"] + F.when(mine, 1).otherwise(0)).alias("at"))
+
+    return _let(characters, lambda known: F.aggregate(F.split(template, ""), state, lambda s, c: put(known, s, c), lambda s: s["out"]))
 
 
 def _mod97(text: Column) -> Column:
@@ -151,18 +184,21 @@ def _card(m: Column, key: str) -> tuple[Column, Column]:
     d = _digits(m)
     body = F.substring(d, F.lit(1), F.length(d) - 1)
     valid = F.substring(d, F.length(d), F.lit(1)) == _check_digit(body)
-    moved = permute(body, "card", key)
-    return valid, _fill(m, F.concat(moved, _check_digit(moved)), r"\d")
+    whole = _let(permute(body, "card", key), lambda moved: F.concat(moved, _check_digit(moved)))
+    return valid, _fill(m, whole, r"\d")
 
 
 def _iban(m: Column, key: str) -> tuple[Column, Column]:
     compact = F.replace(m, F.lit(" "), F.lit(""))
     valid = F.length(compact).between(15, 34) & (_mod97(_iban_rotated(compact, F.substring(compact, 3, 2))) == 1)
     account = F.substring(compact, F.lit(5), F.length(compact))
-    moved = F.concat(F.substring(compact, 1, 2), F.lit("00"), _fill(account, permute(_digits(account), "iban", key), r"\d"))
-    check = F.lpad((F.lit(98) - _mod97(_iban_rotated(moved, F.lit("00")))).cast("string"), 2, "0")
-    whole = F.concat(F.substring(moved, 1, 2), check, F.substring(moved, F.lit(5), F.length(moved)))
-    return valid, _fill(m, whole, "[A-Z0-9]")
+    unchecked = F.concat(F.substring(compact, 1, 2), F.lit("00"), _fill(account, permute(_digits(account), "iban", key), r"\d"))
+
+    def checked(moved: Column) -> Column:
+        check = F.lpad((F.lit(98) - _mod97(_iban_rotated(moved, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(F.substring(moved, 1, 2), check, F.substring(moved, F.lit(5), F.length(moved)))
+
+    return valid, _fill(m, _let(unchecked, checked), "[A-Z0-9]")
 
 
 def _phone(m: Column, key: str) -> tuple[Column, Column]:
@@ -177,31 +213,50 @@ def _ip(m: Column, key: str) -> tuple[Column, Column]:
     valid = F.forall(octets, lambda x: x.rlike("^(?:0|[1-9][0-9]{0,2})$") & (x.cast("int") < 256))
     index = F.aggregate(octets, F.lit(0).cast("long"), lambda s, x: s * 256 + x.cast("long"))
     moved = permute_pair(index, 65536, 65536, "ip", key)
-    return valid, F.array_join(F.transform(F.array(*map(F.lit, (24, 16, 8, 0))), lambda k: F.pmod(F.floor(moved / F.pow(F.lit(2.0), k)).cast("long"), F.lit(256).cast("long")).cast("string")), ".")
+    octet = lambda x, k: F.pmod(F.floor(x / F.pow(F.lit(2.0), k)).cast("long"), F.lit(256).cast("long")).cast("string")
+    return valid, _let(moved, lambda x: F.array_join(F.transform(F.array(*map(F.lit, (24, 16, 8, 0))), lambda k: octet(x, k)), "."))
 
 
 def _ssn(m: Column, key: str) -> tuple[Column, Column]:
     area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group >= 1) & (serial >= 1)
     index = ((area - 1 - F.when(area > 666, 1).otherwise(0)) * 99 + group - 1) * 9999 + serial - 1
-    moved = permute_pair(index, 898 * 99, 9999, "ssn", key)
-    place = F.floor(moved / (99 * 9999))
-    new_area = place + 1 + F.when(place >= 665, 1).otherwise(0)
     pad = lambda x, n: F.lpad(x.cast("long").cast("string"), n, "0")
-    return valid, F.concat_ws("-", pad(new_area, 3), pad(F.floor(moved / 9999) % 99 + 1, 2), pad(moved % 9999 + 1, 4))
+
+    def written(moved: Column) -> Column:
+        place = F.floor(moved / (99 * 9999))
+        new_area = place + 1 + F.when(place >= 665, 1).otherwise(0)
+        return F.concat_ws("-", pad(new_area, 3), pad(F.floor(moved / 9999) % 99 + 1, 2), pad(moved % 9999 + 1, 4))
+
+    return valid, _let(permute_pair(index, 898 * 99, 9999, "ssn", key), written)
 
 
 def _date(m: Column, key: str) -> tuple[Column, Column]:
     first = F.to_date(F.lit("1900-01-01"))
-    shape = F.when(m.rlike(r"^\d{4}-"), 0).when(m.rlike(r"^\d{4}/"), 1).when(m.rlike(r"^\d{2}\."), 2).otherwise(3)
-    iso = F.when(shape <= 1, F.replace(m, F.lit("/"), F.lit("-"))).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
-    day = iso.try_cast("date")
-    index = F.datediff(day, first)
-    valid = F.coalesce(index.between(0, 72_899), F.lit(False))
-    moved = F.date_add(first, permute_pair(index, 270, 270, "date", key).cast("int"))
-    y, mo, d = (F.lpad(f(moved).cast("string"), n, "0") for f, n in ((F.year, 4), (F.month, 2), (F.dayofmonth, 2)))
-    out = F.when(shape == 0, F.concat_ws("-", y, mo, d)).when(shape == 1, F.concat_ws("/", y, mo, d)).when(shape == 2, F.concat_ws(".", d, mo, y)).otherwise(F.concat_ws("/", d, mo, y))
-    return valid, out
+    year, a, b = F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2)
+    day_first = F.concat_ws("-", year, b, a)
+    dated = lambda iso: F.coalesce(F.datediff(iso.try_cast("date"), first), F.lit(-1))
+    in_range = lambda index: index.between(0, 72_899)
+    shape = (
+        F.when(m.rlike(r"^\d{4}-"), 0).when(m.rlike(r"^\d{4}/"), 1).when(m.rlike(r"^\d{2}\."), 2)
+        .when(day_first.try_cast("date").isNotNull(), 3).otherwise(4)
+    )
+    iso = F.when(shape <= 1, F.replace(m, F.lit("/"), F.lit("-"))).when(shape <= 3, day_first).otherwise(F.concat_ws("-", year, a, b))
+    index = dated(iso)
+    moves = lambda index: permute_pair(index, 270, 270, "date", key)
+    late = lambda index: F.dayofmonth(F.date_add(first, index.cast("int"))) > 12
+    # Month-first dates walk along the permutation's cycle to the next day that cannot be read day first.
+    walk = lambda index: F.aggregate(F.sequence(F.lit(0), F.lit(63)), moves(index), lambda x, _: F.when(late(x), x).otherwise(moves(x)))
+    moved = F.date_add(first, F.when(shape == 4, walk(index)).otherwise(moves(index)).cast("int"))
+
+    def written(x: Column) -> Column:
+        y, mo, d = (F.lpad(f(x).cast("string"), n, "0") for f, n in ((F.year, 4), (F.month, 2), (F.dayofmonth, 2)))
+        out = F.concat_ws("/", mo, d, y)
+        for k, (mark, *parts) in enumerate([("-", y, mo, d), ("/", y, mo, d), (".", d, mo, y), ("/", d, mo, y)]):
+            out = F.when(shape == k, F.concat_ws(mark, *parts)).otherwise(out)
+        return out
+
+    return in_range(index), _let(moved, written)
 
 
 def _email(m: Column, key: str) -> tuple[Column, Column]:
@@ -212,6 +267,15 @@ def _email(m: Column, key: str) -> tuple[Column, Column]:
 _MAKERS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
 
 
+PARTS = "array<struct<kind:string,text:string>>"
+#: Values that a fold gathers before they are put with the others.
+_CHUNK = 256
+
+
+def _part(text: Column, kind: str | None = None) -> Column:
+    return F.struct(F.lit(kind).cast("string").alias("kind"), text.alias("text"))
+
+
 def pseudonym(match: Column, kind: str, key: str) -> Column:
     """(kind, text) of a match of a form; no kind, and unchanged, where it fails the form's check.
 
@@ -222,59 +286,44 @@ def pseudonym(match: Column, kind: str, key: str) -> Column:
     return (out.when(match.rlike(STAYS[kind]), _part(match, "")) if kind in STAYS else out).otherwise(_part(match))
 
 
-def _part(text: Column, kind: str | None = None) -> Column:
-    return F.struct(F.lit(kind).cast("string").alias("kind"), text.alias("text"))
-
-
-PARTS = "array<struct<kind:string,text:string>>"
-
-
-def _joined(parts: Column) -> Column:
-    """Parts with neighbouring clear ones made one, so that later forms see them whole."""
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        both = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(_part(F.concat(last["text"], x["text"]))))
-        return F.when((F.size(done) > 0) & x["kind"].isNull() & F.try_element_at(done, F.lit(-1))["kind"].isNull(), both).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(parts, F.array().cast(PARTS), step)
-
-
-def _around(text: Column, pattern: str, make) -> Column:
-    """The parts of a clear text: what lies between the pattern's matches, and what ``make`` has of each match."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), make)
-    between = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.concat(F.array(_part(p)), F.coalesce(m, F.array().cast(PARTS))))
-    return F.when(text.rlike(pattern), _joined(F.flatten(between))).otherwise(F.array(_part(text)))
-
-
 def _stretches(run: Column, word: str, most: int, kind: str, key: str, prefer) -> Column:
     """The parts of a run of groups: from its start on, the stretches of whole groups that are valid.
 
     ``prefer`` gives the stretches that begin at a group, of up to ``most`` groups, in the order to try.
     """
-    pieces = F.regexp_extract_all(run, F.lit(f"{word}|[ -]"), F.lit(0))  # groups, and separators between them
+    taken = "array<struct<valid:boolean,text:string>>"
 
-    def scan(pieces: Column) -> Column:
-        stretch = lambda i, n: F.array_join(F.slice(pieces, i, n), "")
+    def scan(pieces: Column) -> Column:  # groups, and separators between them, at which no stretch begins
+        # Element by element: a slice would walk the whole run each time.
+        stretch = lambda i, n: F.array_join(F.transform(F.sequence(i, i + n - 1), lambda j: F.element_at(pieces, j)), "")
 
         def step(state: Column, i: Column) -> Column:
             lengths = F.sequence(F.lit(1), F.least(F.lit(2 * most - 1), F.size(pieces) - i + 1), F.lit(2))
-            tried = F.filter(F.transform(lengths, lambda n: F.struct(n.alias("n"), stretch(i, n).alias("text"))), lambda x: x["text"].rlike(f"^(?:{FORMS[kind]})$") & _MAKERS[kind](x["text"], key)[0])
+            fits = lambda x: x["text"].rlike(f"^(?:{FORMS[kind]})$") & _MAKERS[kind](x["text"], key)[0]
+            tried = F.filter(F.transform(lengths, lambda n: F.struct(n.alias("n"), stretch(i, n).alias("text"))), fits)
             first = F.try_element_at(F.when(i >= state["next"], prefer(tried)), F.lit(1))
-            take = lambda first: F.when(first.isNotNull(), F.struct((i + first["n"]).cast("int").alias("next"), F.concat(state["parts"], F.array(F.struct(F.lit(True).alias("valid"), first["text"].alias("text")))).alias("parts"))).when(i >= state["next"], F.struct((i + 1).cast("int").alias("next"), F.concat(state["parts"], F.array(F.struct(F.lit(False).alias("valid"), F.element_at(pieces, i).alias("text")))).alias("parts"))).otherwise(state)
-            return _let(first, take)
-
-        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<valid:boolean,text:string>>").alias("parts"))
-        places = F.sequence(F.lit(1), F.size(pieces))
-        # Separators are places too, at which no stretch begins.
-        return F.aggregate(places, start, step, lambda s: F.transform(s["parts"], lambda x: F.when(x["valid"], pseudonym(x["text"], kind, key)).otherwise(_part(x["text"]))))
-
-    return _let(pieces, scan)
-
-
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+            put = lambda n, valid, text: F.struct(
+                (i + n).cast("int").alias("next"),
+                F.concat(state["parts"], F.array(F.struct(F.lit(valid).alias("valid"), text.alias("text")))).alias("parts"),
+            )
+            return _let(
+                first,
+                lambda x: F.when(x.isNotNull(), put(x["n"], True, x["text"]))
+                .when(i >= state["next"], put(F.lit(1), False, F.element_at(pieces, i)))
+                .otherwise(state),
+            )
+
+        def chunk(state: Column, lo: Column) -> Column:
+            places = F.sequence(lo, F.least(lo + _CHUNK - 1, F.size(pieces)))
+            start = F.struct(state["next"].alias("next"), F.array().cast(taken).alias("parts"))
+            own = F.aggregate(places, start, step)
+            return _let(own, lambda x: F.struct(x["next"].alias("next"), F.concat(state["parts"], F.array(x["parts"])).alias("parts")))
+
+        begin = F.struct(F.lit(1).alias("next"), F.array().cast(f"array<{taken}>").alias("parts"))
+        end = lambda x: F.when(x["valid"], pseudonym(x["text"], kind, key)).otherwise(_part(x["text"]))
+        return F.aggregate(F.sequence(F.lit(1), F.size(pieces), F.lit(_CHUNK)), begin, chunk, lambda s: F.transform(F.flatten(s["parts"]), end))
+
+    return _let(F.regexp_extract_all(run, F.lit(f"{word}|[ -]"), F.lit(0)), scan)
 
 
 def _longest(tried: Column) -> Column:
@@ -300,21 +349,58 @@ def _passes(key: str):
     yield HINTS["card"], CARD_RUN, lambda m: _stretches(m, r"\d+", 19, "card", key, _longest)
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """The documents with the text replaced, and columns n_<kind> and n_replaced."""
-    text = F.col(text_col).cast("string")
-    parts = F.array(_part(text))
-    for hint, pattern, make in _passes(key):
-        parts = F.flatten(F.transform(parts, lambda x: F.when(x["kind"].isNull() & x["text"].rlike(hint), _around(x["text"], pattern, make)).otherwise(F.array(x))))  # noqa: B023
-    # The parts are computed once, in a projection of their own, and only where a form can be.
-    marked = docs.withColumn("__found", F.when(text.rlike(HINT), parts))
-    whole = F.array_join(F.transform("__found", lambda x: x["text"]), "")
-
-    def count(test) -> Column:
-        return F.coalesce(F.size(F.filter("__found", lambda x: test(x["kind"]))).cast("long"), F.lit(0).cast("long"))
-
-    counts = {f"n_{k}": count(lambda kind, k=k: kind == k) for k in KINDS}
-    counts["n_replaced"] = count(lambda kind: kind != "")
-    counts = {k: F.when(F.col("__found").isNull(), F.lit(0).cast("long")).otherwise(v) for k, v in counts.items()}
-    out = marked.withColumns(counts)
-    return out.withColumn(text_col, F.when(F.col("n_replaced") > 0, whole).otherwise(text)).drop("__found")
+def _guarded(text: Column) -> Column:
+    """The text without private-use marks of its own."""
+    out = F.regexp_replace(text, f"([{MARKS}{GUARD}])", f"{GUARD}$1")
+    for c in MARKS + GUARD:
+        out = F.replace(out, F.lit(GUARD + c), F.lit(GUARD + chr(ord(c) + SHIFT)))
+    return F.when(text.rlike(f"[{MARKS}{GUARD}]"), out).otherwise(text)
+
+
+def _unguarded(text: Column) -> Column:
+    out = text
+    for c in MARKS + GUARD:  # the guard's own code last, or it would form new ones
+        out = F.replace(out, F.lit(GUARD + chr(ord(c) + SHIFT)), F.lit(c))
+    return F.when(text.contains(GUARD), out).otherwise(text)
+
+
+def _marked(mark: str):
+    """A match's parts with the mark for each value that is taken out."""
+    return lambda parts: F.array_join(F.transform(parts, lambda x: F.when(x["kind"].isNull(), x["text"]).otherwise(F.lit(mark))), "")
+
+
+def _free(name: str, taken: set[str]) -> str:
+    """The name, with underscores at its end while the table has it."""
+    while name.lower() in taken:
+        name += "_"
+    taken.add(name.lower())
+    return name
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:
+    """The documents with the text replaced; counts: also columns n_<kind> and n_replaced."""
+    names = docs.columns
+    taken = {c.lower() for c in names}
+    counted = {k: _free(f"n_{k}", taken) for k in (*KINDS, "replaced")}
+    clear, passes = _free("__clear", taken), list(_passes(hashlib.sha256(key.encode()).hexdigest()))
+    found = [_free(f"__found_{i}", taken) for i in range(len(passes))]
+    own = F.col(f"`{text_col}`").cast("string")
+    out = docs.withColumn(clear, F.when(own.rlike(HINT), _guarded(own)))
+    for mark, name, (hint, pattern, make) in zip(MARKS, found, passes, strict=True):
+        # Each pass's values are computed once, in a projection of their own.
+        text = F.col(clear)
+        matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), make)
+        out = out.withColumn(name, F.when(text.rlike(hint) & text.rlike(pattern), matches))
+        marked = F.transform(name, _marked(mark))
+        left = F.zip_with(F.split(text, pattern, -1), marked, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
+        taken_out = F.filter(F.flatten(name), lambda x: x["kind"].isNotNull())
+        out = out.withColumns({clear: F.when(F.col(name).isNotNull(), F.array_join(left, "")).otherwise(text), name: taken_out})
+    of_kind = lambda f, k: F.coalesce(F.size(F.filter(f, lambda x: x["kind"] == k)), F.lit(0))
+    out = out.withColumns({counted[k]: sum((of_kind(f, k) for f in found), F.lit(0)).cast("long") for k in KINDS})
+    out = out.withColumn(counted["replaced"], sum((F.col(counted[k]) for k in KINDS), F.lit(0).cast("long")))
+    whole = F.col(clear)
+    for mark, name in reversed(list(zip(MARKS, found, strict=True))):
+        back = F.zip_with(F.split(whole, mark, -1), F.col(name)["text"], lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
+        whole = F.when(F.size(name) > 0, F.array_join(back, "")).otherwise(whole)
+    out = out.withColumn(text_col, F.when(F.col(counted["replaced"]) > 0, _unguarded(whole)).otherwise(own))
+    return out.select(*(f"`{c}`" for c in names), *(counted.values() if counts else ()))

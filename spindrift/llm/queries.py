@@ -55,12 +55,17 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(table(spark, sf_dir, "documents"))
 
 
-#: The pseudonyms' key; a deployment passes its own.
-KEY = "spindrift-demonstration-key"
+#: Session setting with the pseudonyms' key, and the key of tests and demonstrations.
+KEY_SETTING, DEMONSTRATION_KEY = "spark.spindrift.pseudonyms.key", "spindrift-demonstration-key"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The deployment's own key; only where it has set none, the demonstration key."""
+    return spark.conf.get(KEY_SETTING, None) or DEMONSTRATION_KEY
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
