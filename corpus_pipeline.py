@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import decontamination, near_duplicates, packing, pii, toxicity
 from spindrift.llm.common import prepare, store, table
-from spindrift.llm.queries import KEY, tokenizer_path
+from spindrift.llm.queries import pseudonym_key, tokenizer_path
 
 #: No single SQL statement expresses the trained and the tokenised stages.
 ORACLE_SQL = None
@@ -38,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses replaced within their formats."""
-    out = pii.pseudonymise(docs, KEY)
+    out = pii.pseudonymise(docs, pseudonym_key(spark), counts=False)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
