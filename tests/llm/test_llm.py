@@ -243,27 +243,6 @@ def test_suffixes_empty(nothing):
     assert suffixes.deduplicate(nothing).count() == 0
 
 
-def test_decontamination(spark, nothing):
-    rng = random.Random(3)
-    vocabulary = [f"w{k}" for k in range(4000)]
-    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [make(45) for _ in range(30)] + [make(2), [], make(40)]
-    items.append(items[0])
-    edited = list(items[1])
-    for k in range(2, 45, 6):
-        edited[k] = "changed"
-    dropped = [w for k, w in enumerate(items[2]) if k % 7]
-    texts = [" ".join(make(200))] + [" ".join([*make(50), *x, *make(50)]) for x in (items[0], edited, dropped, items[3][:10])] + ["", None] + [" ".join(make(300)) for _ in range(20)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(50, None)], "item_id long, text string")
-    for s in (decontamination.Settings(), decontamination.Settings(item_bytes=900)):
-        got = {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(docs, bench, s).collect()}
-        assert set(got) == {(1, 0), (1, 33), (2, 1), (3, 2)}
-        assert got[1, 0] == 1.0 and 0.6 < got[2, 1] < 0.9
-    assert decontamination.leaks(docs.limit(0), bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
-    assert decontamination.leaks(nothing, bench).count() == 0
-
-
 def test_alignment_equals_plain_smith_waterman():
     rng = np.random.default_rng(0)
     s = decontamination.Settings()
