@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; bounds a Python worker's memory where texts are long.
@@ -54,26 +54,49 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` (text, label) rows of each class, for fitting.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, class_bytes: int) -> tuple[DataFrame, float | None]:
+    """A bounded sample for fitting, as (text, label, place), and the share of 1 among all labelled ids.
 
-    Rows of fold 0 are left out.  The ids are chosen from the labels alone, in
-    the order of a hash of the id, so the choice is fixed and the broadcast of
-    ids and the fetched texts are bounded by ``2 * per_class`` rows.
+    Rows of fold 0 are left out.  An id counts once, with its smallest label and
+    its smallest text.  The ids are chosen from the labels alone, in the order of
+    a hash of the id, at most ``per_class`` of each class, so the choice is fixed
+    and the broadcast of ids is bounded; of their texts those are taken, in that
+    order, with which a class stays within ``class_bytes`` bytes.  ``place`` is
+    that order.  Ids of any type are compared as text.
     """
     spark = docs.sparkSession
-    usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(
-        F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id")) != 0)
-    ).dropDuplicates(["doc_id"])
-    ids = []
-    for value in (0, 1):
-        order = F.xxhash64(F.col("doc_id"))
-        ids += usable.where(F.col("label") == value).orderBy(order, "doc_id").limit(per_class).collect()
-    if not ids:
-        return []
-    chosen = spark.createDataFrame([(r.doc_id, r.label) for r in ids], "doc_id long, label int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    return [(r.text, r.label) for r in sorted(rows, key=lambda r: r.doc_id)]
+    usable = labels.select(F.col("doc_id").cast("string").alias("id"), F.col(label).cast("int").alias("label"), fold(F.col("doc_id")).alias("fold"))
+    usable = usable.where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (F.col("fold") != 0)).groupBy("id").agg(F.min("label").alias("label"))
+    usable = usable.withColumn("order", F.xxhash64("id"))
+    ids = [r for y in (0, 1) for r in usable.where(F.col("label") == y).orderBy("order", "id").limit(per_class).collect()]
+    chosen = spark.createDataFrame([tuple(r) for r in ids], "id string, label int, order long")
+    texts = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(chosen), "id").groupBy("id", "label", "order").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy("order", "id"))  # at most per_class rows each
+    sample = texts.withColumn("so_far", so_far).where(F.col("so_far") <= class_bytes)
+    share = usable.agg(F.avg("label").alias("p")).first().p
+    return sample.select("text", "label", F.struct("order", "id").alias("place")), share
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method, with a ridge for each column."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (weight * (p - y)) + ridge * w
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        step = np.linalg.solve(hessian, gradient)
+        w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def to_share(y: np.ndarray, share: float | None) -> np.ndarray:
+    """Weights that give the rows of a balanced sample the real share of 1."""
+    own = y.mean()
+    share = own if share is None else min(max(share, 0.001), 0.999)
+    return np.where(y == 1, share / max(own, 1e-9), (1 - share) / max(1 - own, 1e-9))
 
 
 def filled(column: pa.Array) -> pa.Array:

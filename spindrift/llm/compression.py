@@ -1,14 +1,22 @@
 """Quality by compression: zstandard dictionaries of good and of bad labelled text.
 
-A text that shares its habits with the good examples compresses better with
-the good dictionary.  The difference of the two compressed sizes, divided by
-the text's size, is calibrated into a probability by logistic regression over
-a few functions of the two normalised sizes.
-
-Fitting uses a bounded sample of labelled rows (``Settings.per_class``), whole
-texts.  Scoring reads every whole text; null counts as empty.  An empty text
-gets the calibrated value of size differences of zero.  Without labelled rows
-of both classes every score is the share of good ones (0.5 without any).
+A text that shares its habits with the good examples compresses better with a
+good dictionary.  Pairs of dictionaries, one of good and one of bad text, are
+built from parts of the sample; the score's only input is the mean over the
+pairs of the normalised size difference (bad - good) / (bad + good).  A logistic
+regression on that difference, its square and its cube makes it a probability.
+It is fitted on differences by the pairs that were not built from the text.
+
+Fitting uses a bounded sample of labelled rows (``Settings.per_class`` and
+``class_bytes``), whole texts; rows weigh as the classes' real shares do.
+
+Defined results: null counts as empty, and an empty text gets the calibrated
+value of its two empty frames, a difference of zero; equal texts get equal
+scores, repeated rows a row each; very long texts are compressed whole; of
+conflicting labels or texts of one doc_id the smaller counts in fitting; other
+columns of either table play no part; an empty table gives an empty result.
+Without labelled rows of both classes every score is the share of good ones
+(0.5 without any).
 """
 
 from __future__ import annotations
@@ -20,47 +28,48 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import filled, fold, labelled_sample
+from .common import filled, fold, labelled_sample, logistic, to_share
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Bound on the labelled rows of each class that fitting reads.
+    #: Bounds on the labelled rows of each class that fitting reads, and on their bytes.
     per_class: int = 4000
-    dictionary_bytes: int = 65536
+    class_bytes: int = 16 << 20
+    #: Pairs of dictionaries, and the bytes of each dictionary.
+    pairs: int = 4
+    dictionary_bytes: int = 16384
     level: int = 3
-    steps: int = 60
     ridge: float = 1e-3
 
 
 @dataclass(frozen=True)
 class Model:
-    good: bytes
-    bad: bytes
+    #: (good, bad) dictionaries.
+    pairs: tuple[tuple[bytes, bytes], ...]
     weights: tuple[float, ...]
     level: int
 
 
 class Compressor:
-    """The two compressors of a model, built once in each worker."""
+    """The compressors of a model, built once in each worker."""
 
-    def __init__(self, good: bytes, bad: bytes, level: int):
-        make = lambda d: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO), write_content_size=False, write_dict_id=False)
-        self.good, self.bad, self.plain = make(good), make(bad), zstandard.ZstdCompressor(level=1, write_content_size=False)
+    def __init__(self, pairs: tuple[tuple[bytes, bytes], ...], level: int):
+        def make(dictionary: bytes) -> zstandard.ZstdCompressor:
+            data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_AUTO)
+            return zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_dict_id=False)
 
-    def sizes(self, text: bytes) -> tuple[int, int, int, int]:
-        return len(text), len(self.good.compress(text)), len(self.bad.compress(text)), len(self.plain.compress(text))
+        self.pairs = [(make(good), make(bad)) for good, bad in pairs]
 
+    def differences(self, text: bytes) -> list[float]:
+        """By each pair: the normalised difference of the compressed sizes, above 0 for texts more like the good."""
+        sizes = ((len(good.compress(text)), len(bad.compress(text))) for good, bad in self.pairs)
+        return [(b - g) / (b + g) for g, b in sizes]
 
-def features(sizes: np.ndarray) -> np.ndarray:
-    """The calibrator's inputs; the normalised size difference is the second column."""
-    n, good, bad, plain = (sizes[:, k].astype(float) for k in range(4))
-    unit = np.maximum(n, 1)
-    d, g, p = (bad - good) / unit, good / unit, plain / unit
-    size = np.log(n + 1) / 10
-    clipped = np.minimum(g, 1.5)
-    ratio = np.log((good + 20) / (bad + 20))
-    return np.column_stack([np.ones_like(d), d, np.abs(d), ratio, clipped, clipped**2, np.minimum(p, 1.5), np.minimum(p, 1.5) ** 2, size, size**2, d * size, ratio * size, clipped * size])
+
+def _columns(difference: np.ndarray) -> np.ndarray:
+    z = 10 * difference
+    return np.column_stack([np.ones_like(z), z, z**2, z**3])
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
@@ -71,66 +80,48 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return b"\n".join(texts)[-size:].ljust(8, b"\n")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int, ridge: float) -> np.ndarray:
-    """Newton's method; columns are scaled first."""
-    scale = np.maximum(np.abs(x).max(0), 1e-9)
-    z = x / scale
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (weight * (p - y)) + ridge * w
-        hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-8:
-            break
-    return w / scale
-
-
-def fit(sample: list[tuple[str, int]], prior: float | None = None, settings: Settings = Settings()) -> Model:
-    """Half of the sample builds the dictionaries, the other half calibrates.
-
-    prior: the share of good rows among all labelled ones; the calibrator's
-    rows are weighted to it, as the sample is balanced.
-    """
-    texts = [(t.encode(), y) for t, y in sample]
-    good, bad = [t for t, y in texts if y == 1], [t for t, y in texts if y == 0]
-    if not good or not bad:
-        share = (len(good) / len(texts)) if texts else 0.5
-        share = min(max(share, 0.001), 0.999)
-        return Model(b"\n" * 8, b"\n" * 8, (float(np.log(share / (1 - share))),) + (0.0,) * 12, settings.level)
-    cut = lambda rows: rows[: max(1, len(rows) // 4)]
-    g, b = _dictionary(cut(good), settings.dictionary_bytes), _dictionary(cut(bad), settings.dictionary_bytes)
-    rest = [(t, 1) for t in good[len(cut(good)) :] or good] + [(t, 0) for t in bad[len(cut(bad)) :] or bad]
-    c = Compressor(g, b, settings.level)
-    x = features(np.array([c.sizes(t) for t, _ in rest]))
-    y = np.array([v for _, v in rest], float)
-    prior = y.mean() if prior is None else min(max(prior, 0.001), 0.999)
-    weight = np.where(y == 1, prior / y.mean() if y.mean() else 1, (1 - prior) / (1 - y.mean()) if y.mean() < 1 else 1)
-    return Model(g, b, tuple(_logistic(x, y, weight, settings.steps, settings.ridge)), settings.level)
-
-
-def probability(sizes: np.ndarray, model: Model) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(features(sizes) @ np.array(model.weights), -30, 30)))
+def fit(sample: list[tuple[str, int]], share: float | None = None, settings: Settings = Settings()) -> Model:
+    """share: of good rows among all labelled ones; the sample's rows are weighted to it."""
+    s = settings
+    by_class = [[t.encode() for t, y in sample if y == k] for k in (0, 1)]
+    if not all(by_class):
+        own = min(max(len(by_class[1]) / len(sample), 0.001), 0.999) if sample else 0.5
+        return Model((), (float(np.log(own / (1 - own))), 0.0, 0.0, 0.0), s.level)
+    parts = max(1, min(s.pairs, *map(len, by_class)))
+    pairs = tuple(tuple(_dictionary(own[k::parts], s.dictionary_bytes) for own in reversed(by_class)) for k in range(parts))
+    c = Compressor(pairs, s.level)
+    d = np.array([c.differences(t) for own in by_class for t in own])
+    y = np.concatenate([np.full(len(own), k, float) for k, own in enumerate(by_class)])
+    if parts > 1:
+        others = np.concatenate([np.arange(len(own)) % parts for own in by_class])[:, None] != np.arange(parts)
+        d = (d * others).sum(1, keepdims=True) / (parts - 1)
+    weights = logistic(_columns(d.mean(1)), y, to_share(y, share), np.full(4, s.ridge))
+    return Model(pairs, tuple(weights.tolist()), s.level)
 
 
-def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    from pyspark.sql import functions as F
+def probability(differences: list[list[float]], model: Model) -> np.ndarray:
+    mean = np.array([np.mean(d) if d else 0.0 for d in differences])
+    return 1 / (1 + np.exp(-np.clip(_columns(mean) @ np.array(model.weights), -30, 30)))
 
-    sample = labelled_sample(docs, labels, "quality", settings.per_class)
-    all_rows = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)).agg(F.avg(F.col("quality").cast("double")).alias("p")).first()
-    return fit(sample, all_rows.p, settings)
+
+def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
+    sample, share = labelled_sample(docs, labels, "quality", settings.per_class, settings.class_bytes)
+    rows = sorted(sample.collect(), key=lambda r: r.place)  # at most per_class rows and class_bytes bytes a class
+    return fit([(r.text, r.label) for r in rows], share, settings)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the settings
+    result = f"doc_id {kind}, held_out boolean, score double, predicted int"
 
     def run(batches):
-        c = Compressor(model.good, model.bad, model.level)
+        m = shared.value
+        c = Compressor(m.pairs, m.level)
         for batch in batches:
-            sizes = np.array([c.sizes(t.encode()) for t in filled(batch.column(2)).to_pylist()]).reshape(-1, 4)
-            p = probability(sizes, model)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            p = probability([c.differences(t.encode()) for t in filled(batch.column(2)).to_pylist()], m)
+            columns = [batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", (fold(docs["doc_id"]) == 0).alias("held_out"), docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", (fold(docs["doc_id"]) == 0).alias("held_out"), docs["text"].cast("string").alias("text")).mapInArrow(run, result)

@@ -1,19 +1,24 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
-A word's embedding is the sum of two rows of one table, each picked by its own
-hash, so that a rare word which shares one row with a frequent one still
-differs from it.  Convolutions of several widths with max pooling over the
-whole text feed a logistic output.
+A word's embedding is the sum of rows of one table, picked by hashes of the
+word and of its first letters, so that forms of one stem are known by it.
+Convolutions of several widths with max pooling over the whole text feed a
+logistic output.
 
 Thresholds are calibrated by language: the language is told from the text's
-own function words (never from a column), and each language's cut on labelled
-rows moves to 0.5 of the score.
-
-Fitting uses a bounded sample of labelled rows (``Settings.per_class``), whole
-texts; fold 0 is never used.  Scoring reads every whole text.  Null or empty
-texts have no words and get the score of an all-zero pooling.  Without labels
-of both classes nothing can be learned: every score is 0.25, and no document is
-rejected.
+own function words (never from a column), and a score of 0.5 lies where a
+logistic regression on out-of-fold logits puts it for that language.
+
+Fitting uses a bounded sample of labelled rows (``Settings.per_class`` and
+``class_bytes``), whole texts, of which the driver gets hashes only; fold 0 is
+never used.  Scoring reads every whole text.
+
+Defined results: null and empty texts have no words and get the score of an
+all-zero pooling; equal texts get equal scores, repeated rows a row each; very
+long texts are read whole; of conflicting labels or texts of one doc_id the
+smaller counts in fitting; other columns of either table play no part; an empty
+table gives an empty result.  Without labels of both classes nothing can be
+learned: every score is 0.25, and no document is rejected.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, fold, labelled_sample, raw
-from .words import PUNCTUATED, words
+from .common import chunks, fold, labelled_sample, logistic, raw, to_share
+from .words import LOWER, PUNCTUATED, hashes, mix, words
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -46,13 +51,26 @@ UNTRAINED = float(-np.log(3))
 class Settings:
     #: Bound on the labelled rows of each class that fitting reads.
     per_class: int = 6000
+    #: Bound on the bytes of each class's texts.
+    class_bytes: int = 24 << 20
+    #: Rows of the embedding table; hashes are kept in 16 bits.
     buckets: int = 1 << 16
+    #: Lengths in bytes of the beginnings of words that have rows of their own.
+    heads: tuple[int, ...] = (3, 5)
     dimensions: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8
-    epochs: int = 14
+    #: Passes over the sample, and the steps that fitting takes at least.
+    epochs: int = 6
+    least_steps: int = 600
     batch: int = 32
     rate: float = 0.01
+    #: Weight decay of the embedding rows that a step touches.
+    decay: float = 0.2
+    #: Parts of which each is scored by a network trained on the others.
+    parts: int = 3
+    #: Ridge on the languages' shifts of the threshold.
+    shrink: float = 4.0
     seed: int = 7
 
 
@@ -70,9 +88,9 @@ class Model:
     cuts: dict[str, tuple[float, float]]
 
 
-def _ids(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The two buckets and the text number of each word, and the language number of each text."""
-    h, doc, _, _ = words(data, offsets, PUNCTUATED)
+def _ids(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets (words x rows) and the text number of each word, and the language number of each text."""
+    h, doc, starts, ends = words(data, offsets, PUNCTUATED)
     n = len(offsets) - 1
     votes = np.zeros((n, len(LANGUAGES)), np.int64)
     keys, owner = _function_hashes()
@@ -81,7 +99,9 @@ def _ids(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarra
     for k in range(len(LANGUAGES) - 1):
         votes[:, k + 1] = np.bincount(doc[hit[owner[at[hit], k]]], minlength=n)
     language = np.where(votes.max(1) > 0, votes.argmax(1), 0) if n else np.zeros(0, np.int64)
-    return np.column_stack([h % np.uint64(buckets), (h >> np.uint64(32)) % np.uint64(buckets)]).astype(np.int32), doc, language
+    low = LOWER[data]
+    heads = [mix(hashes(low, starts, np.minimum(ends, starts + k)) + np.uint64(k)) for k in s.heads]
+    return np.column_stack([x % np.uint64(s.buckets) for x in (h, *heads)]).astype(np.uint16), doc, language
 
 
 _HASHES: list = []
@@ -103,7 +123,7 @@ def _function_hashes() -> tuple[np.ndarray, np.ndarray]:
 def _pooled(ids: np.ndarray, doc: np.ndarray, n: int, model: Model) -> np.ndarray:
     """Max-pooled, rectified filter answers: n x all filters; 0 where a text is too short."""
     out = []
-    x = model.embedding[ids[:, 0]] + model.embedding[ids[:, 1]]
+    x = model.embedding[ids].sum(1)
     for width, kernel, bias in zip(model.settings.widths, model.kernels, model.biases, strict=True):
         pooled = np.zeros((n, model.settings.filters), np.float32)
         count = len(ids) - width + 1
@@ -141,16 +161,17 @@ def _train(texts: list[tuple[np.ndarray, int, int]], s: Settings) -> Model:
     groups = Counter((y, k) for _, y, k in texts)
     weights = {g: min(8.0, len(texts) / (len(groups) * c)) for g, c in groups.items()}
     order = np.arange(len(texts))
-    for epoch in range(s.epochs):
+    epochs = max(s.epochs, -(-s.least_steps * s.batch // len(texts)))
+    for epoch in range(epochs):
         rng.shuffle(order)
-        rate = s.rate * (1 - epoch / s.epochs)
+        rate = s.rate * (1 - epoch / epochs)
         for at in range(0, len(order), s.batch):
             rows = [texts[i] for i in order[at : at + s.batch]]
             ids = np.concatenate([r[0] for r in rows]).astype(np.int64)
             size = np.array([len(r[0]) for r in rows])
             doc, n = np.repeat(np.arange(len(rows)), size), len(rows)
             y = np.array([r[1] for r in rows], np.float32)
-            x = e[ids[:, 0]] + e[ids[:, 1]]
+            x = e[ids].sum(1)
             pooled, chosen = [], []
             for width, kernel, bias in zip(s.widths, f, b, strict=True):
                 count = len(ids) - width + 1
@@ -179,8 +200,8 @@ def _train(texts: list[tuple[np.ndarray, int, int]], s: Settings) -> Model:
                 for place in range(width):
                     vectors = x[pos + place]
                     np.add.at(grad[place].T, k, vectors * value[:, None])
-                    at_e += [ids[pos + place, 0], ids[pos + place, 1]]
-                    de += [kernel[place].T[k] * value[:, None]] * 2
+                    at_e += list(ids[pos + place].T)
+                    de += [kernel[place].T[k] * value[:, None]] * ids.shape[1]
                 df.append(grad)
                 bias = np.zeros(s.filters, np.float32)
                 np.add.at(bias, k, value)
@@ -195,59 +216,69 @@ def _train(texts: list[tuple[np.ndarray, int, int]], s: Settings) -> Model:
                 grad = np.zeros((len(rows_e), s.dimensions), np.float32)
                 np.add.at(grad, inverse, np.concatenate(de))
                 ev[rows_e] += (grad**2).mean(1)
-                e[rows_e] -= 10 * rate * grad / (np.sqrt(ev[rows_e])[:, None] + 1e-6)
+                e[rows_e] -= 10 * rate * grad / (np.sqrt(ev[rows_e])[:, None] + 1e-6) + rate * s.decay * e[rows_e]
     return Model(s, e, f, b, o.astype(np.float64), float(c[0]), {})
 
 
-def _cut(logits: np.ndarray, y: np.ndarray, start: float) -> float:
-    """The threshold with the fewest weighted errors; the middle of the best gap."""
-    if not len(y) or y.min() == y.max():
-        return start
-    order = np.argsort(logits, kind="stable")
-    v, t = logits[order], y[order].astype(float)
-    errors = np.r_[0, np.cumsum(t) / t.sum()] + np.r_[(1 - t).sum(), (1 - t).sum() - np.cumsum(1 - t)] / max((1 - t).sum(), 1)
-    edges = np.r_[v[0] - 1, (v[1:] + v[:-1]) / 2, v[-1] + 1]
-    errors[1:-1][v[1:] == v[:-1]] = np.inf
-    best = np.flatnonzero(errors <= errors.min() + 1e-12)
-    return float(edges[best[len(best) // 2]])
-
-
-def fit(sample: list[tuple[str, int]], settings: Settings = Settings()) -> Model:
-    """Five sixths train the network; the rest set the thresholds by language."""
-    y = np.array([v for _, v in sample], int)
+def fit(texts: list[tuple[np.ndarray, int, int]], settings: Settings = Settings(), share: float | None = None) -> Model:
+    """The network learns from all texts (their words' buckets, label, language number).
+
+    Networks trained on the other parts score every text out of fold; a logistic
+    regression on those logits sets slope and threshold, and for each language a
+    shift of the threshold that a ridge holds near 0 where few rows speak for it.
+    Rows weigh as the classes' real shares do.
+    """
+    s = settings
+    y = np.array([t[1] for t in texts], float)
     if not len(y) or y.min() == y.max():
-        s = settings
-        return Model(s, np.zeros((s.buckets, s.dimensions), np.float32), [np.zeros((w, s.dimensions, s.filters), np.float32) for w in s.widths], [np.zeros(s.filters, np.float32) for _ in s.widths], np.zeros(len(s.widths) * s.filters), UNTRAINED, {})
-    texts, language = [], []
-    for lo, hi, data, offsets in chunks(pa.array([t for t, _ in sample], pa.string())):  # bounds the driver's memory
-        ids, doc, own = _ids(data, offsets, settings.buckets)
-        bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
-        texts += [(ids[bounds[i] : bounds[i + 1]], int(y[lo + i]), int(own[i])) for i in range(hi - lo)]
-        language.append(own)
-    language = np.concatenate(language)
-    keep = np.arange(len(texts)) % 6 == 5
-    model = _train([t for t, k in zip(texts, keep, strict=True) if not k], settings)
-    logits = np.array([_logits(t[0], np.zeros(len(t[0]), np.int64), 1, model)[0] for t in texts])
-    overall = _cut(logits[keep], y[keep], 0.0)
-    spread = float(np.std(logits[keep])) or 1.0
-    for k, name in enumerate(LANGUAGES):
-        own = keep & (language == k)
-        # A language with few labelled rows of either class takes the common threshold.
-        enough = min((y[own] == 1).sum(), (y[own] == 0).sum()) >= 20
-        model.cuts[name] = (_cut(logits[own], y[own], overall) if enough else overall, 3 / spread)
+        zero = [np.zeros((w, s.dimensions, s.filters), np.float32) for w in s.widths]
+        empty = Model(s, np.zeros((s.buckets, s.dimensions), np.float32), zero, [np.zeros(s.filters, np.float32) for _ in s.widths], np.zeros(len(s.widths) * s.filters), UNTRAINED, {})
+        return empty
+    logits, part = np.zeros(len(y)), np.arange(len(y)) % s.parts
+    for k in range(s.parts):
+        model = _train([t for t, p in zip(texts, part, strict=True) if p != k], s)
+        for i in np.flatnonzero(part == k).tolist():
+            logits[i] = _logits(texts[i][0], np.zeros(len(texts[i][0]), np.int64), 1, model)[0]
+    model = _train(texts, s)
+    language = np.array([t[2] for t in texts])
+    x = np.column_stack([logits, np.ones(len(y)), *(language == k for k in range(len(LANGUAGES)))]).astype(float)
+    w = logistic(x, y, to_share(y, share), np.array([1e-3, 1e-3, *[s.shrink] * len(LANGUAGES)]))
+    slope = max(w[0], 1e-3)
+    model.cuts = {name: (float(-(w[1] + w[2 + k]) / slope), float(slope)) for k, name in enumerate(LANGUAGES)}
     return model
 
 
 def _scores(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     n = len(offsets) - 1
-    ids, doc, language = _ids(data, offsets, model.settings.buckets)
+    ids, doc, language = _ids(data, offsets, model.settings)
     logits = _logits(ids, doc, n, model)
     cut = np.array([model.cuts.get(name, (0.0, 1.0)) for name in LANGUAGES])
     return 1 / (1 + np.exp(-np.clip((logits - cut[language, 0]) * cut[language, 1], -30, 30)))
 
 
+def encode(column: pa.Array, labels: list[int], s: Settings) -> list[tuple[np.ndarray, int, int]]:
+    """(words' buckets, label, language number) of every text."""
+    out = []
+    for lo, hi, data, offsets in chunks(column):
+        ids, doc, language = _ids(data, offsets, s)
+        bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
+        out += [(ids[bounds[i] : bounds[i + 1]], int(labels[lo + i]), int(language[i])) for i in range(hi - lo)]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    return fit(labelled_sample(docs, labels, "toxic", settings.per_class), settings)
+    sample, share = labelled_sample(docs, labels, "toxic", settings.per_class, settings.class_bytes)
+
+    def run(batches):
+        for batch in batches:
+            ids, y, language = zip(*encode(batch.column(0), batch.column(1).to_pylist(), settings), strict=True) if batch.num_rows else ([], [], [])
+            blobs = pa.array([x.tobytes() for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([blobs, pa.array(y, pa.int32()), pa.array(language, pa.int32()), batch.column(2)], names=["ids", "label", "language", "place"])
+
+    found = sample.mapInArrow(run, f"ids binary, label int, language int, place {sample.schema['place'].dataType.simpleString()}")
+    rows = sorted(found.collect(), key=lambda r: r.place)  # at most per_class rows and twice class_bytes bytes a class
+    width = 1 + len(settings.heads)
+    return fit([(np.frombuffer(r.ids, np.uint16).reshape(-1, width), r.label, r.language) for r in rows], settings, share)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

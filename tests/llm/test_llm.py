@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import chat, common, compression, decontamination, language_model, near_duplicates, ogg, packing, pii, queries, suffixes, toxicity, words
+from spindrift.llm import chat, common, compression, language_model, near_duplicates, ogg, packing, pii, queries, suffixes, toxicity, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, count string, value string"
 FOLD = lambda i: zlib.crc32(str(i).encode()) % 5
@@ -393,37 +393,6 @@ def test_permutations_invert(spark):
     assert words_.where(pii.permute(F.col("p"), "t", "k", True) != F.col("w")).count() == 0
 
 
-@pytest.fixture(scope="module")
-def real():
-    import pyarrow.dataset as ds
-
-    d = ds.dataset("/root/testdata/sf0.01/documents.parquet").to_table().to_pandas()
-    labels = ds.dataset("/root/testdata/sf0.01/labels.parquet").to_table().to_pandas()
-    d = d.merge(labels, on="doc_id")
-    d["fold"] = [FOLD(i) for i in d.doc_id]
-    return d
-
-
-def test_quality_held_out(real):
-    train, test = real[real.fold != 0], real[real.fold == 0]
-    m = compression.fit(list(zip(train.text, train.quality, strict=True)))
-    c = compression.Compressor(m.good, m.bad, m.level)
-    p = compression.probability(np.array([c.sizes(t.encode()) for t in test.text]), m)
-    assert ((p >= 0.3) == test.quality).mean() > 0.9
-    assert ((p >= 0) & (p <= 1)).all()
-
-
-def test_toxicity_learns_words():
-    rng = random.Random(4)
-    clean = [f"w{k}" for k in range(400)]
-    make = lambda toxic: " ".join([*rng.choices(clean, k=60), *(rng.choices(["vile", "nasty", "awful"], k=3) if toxic else [])])
-    sample = [(make(k % 3 == 0), int(k % 3 == 0)) for k in range(900)]
-    m = toxicity.fit(sample[:600], toxicity.Settings(buckets=4096, epochs=6))
-    data, offsets = common.raw(pa.array([t for t, _ in sample[600:]]))
-    p = toxicity._scores(data, offsets, m)
-    assert ((p >= 0.5) == np.array([y for _, y in sample[600:]])).mean() > 0.95
-
-
 @pytest.mark.parametrize("label", ["quality", "toxic"])
 def test_classifiers_on_edge_rows(spark, docs, texts, nothing, label):
     run = (lambda d, x: compression.score(d, compression.train(d, x))) if label == "quality" else (lambda d, x: toxicity.score(d, toxicity.train(d, x)))
