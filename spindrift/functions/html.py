@@ -1,134 +1,328 @@
-"""Facts from HTML pages: an Arrow-batched function over the standard library's parser.
+"""Facts from HTML pages: Arrow-batched functions over the standard library's parser.
 
 Spark has no HTML operator, and selectors need the element tree, so this is the
-one place where text goes to Python, in batches.
+one place where text goes to Python, in batches.  What is found there are plain
+texts; numbers, dates and matches are made of them by column expressions.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Where a page's fields are looked for, in order: element, attribute test, attribute to read.
+from . import text as T
+from . import values as V
+
+# Where a page's fields are looked for, in order: selector, and the attribute to read (None: the text).
 RECIPE = {
-    "title": (("meta", "property", "og:title", "content"), ("meta", "name", "twitter:title", "content"), ("h1", None, None, None), ("title", None, None, None)),
-    "overview": (("meta", "property", "og:description", "content"), ("meta", "name", "description", "content")),
-    "release_date": (("meta", "property", "video:release_date", "content"), ("time", None, None, "datetime")),
-    "poster": (("meta", "property", "og:image", "content"),),
-    "canonical": (("link", "rel", "canonical", "href"), ("meta", "property", "og:url", "content")),
+    "title": (('meta[property="og:title"]', "content"), ('meta[name="twitter:title"]', "content"), ("h1", None), ('.title, .movie-title, .video-title, [itemprop="name"]', None), ("title", None)),
+    "overview": (('meta[name="description"]', "content"), ('meta[property="og:description"]', "content"), ('[itemprop="description"], .summary, .overview, .description, .synopsis', None)),
+    "release_date": (("time[datetime]", "datetime"), ('[itemprop="datePublished"]', "content"), (".release-date, .air-date, .published-date", None)),
+    "runtime": (('[itemprop="duration"]', "content"), ('[itemprop="duration"], .runtime, .duration', None)),
+    "genres": ((".genres a, .genre a, a[href*=\"genre\"]", None), ('.genres, .genre, [itemprop="genre"]', None)),
+    "tags": ((".tags a, .tag, a[href*=\"tag\"], [rel=\"tag\"]", None), (".keyword, .keywords a", None)),
+    "poster_urls": (('meta[property="og:image"]', "content"), ('meta[name="twitter:image"]', "content"), ('[itemprop="image"]', "content"), ("img.poster, .poster img, .cover img", "src")),
+    "score": (('[itemprop="ratingValue"]', "content"), ('[itemprop="ratingValue"], .score, .rating-value', None)),
+    "vote_count": (('[itemprop="ratingCount"]', "content"), ('[itemprop="ratingCount"], .vote-count, .votes', None)),
+    "canonical_url": (('link[rel="canonical"]', "href"), ('meta[property="og:url"]', "content")),
 }
+ROWS = "tr, li, p, .meta, .info, .detail"
 LABELS = {
-    "release_date": ("Release Date", "Released", "Air Date", "Published", "Date"),
-    "runtime": ("Runtime", "Duration", "Length"),
-    "rating": ("Rating", "Score"),
-    "votes": ("Votes", "Vote Count", "Reviews"),
+    "release_date": ("Release Date", "Released", "Air Date", "Published", "Date", "上映日期", "放送开始", "播放开始", "播出日期"),
+    "runtime": ("Runtime", "Duration", "Length", "时长", "片长"),
+    "score": ("Rating", "Score", "评分", "評価"),
+    "vote_count": ("Votes", "Vote Count", "Reviews", "评分人数", "评价人数"),
+}
+KNOWN = tuple(label for labels in LABELS.values() for label in labels)
+# Labels of a detail page's rows.
+DETAIL = {
+    "number": ("Number", "ID", "品番", "識別碼", "识别码", "番號", "番号"),
+    "release_date": ("Release Date", "Released", "発売日", "發行日期", "发行日期", "公開日", "配信開始日"),
+    "runtime": ("Runtime", "Duration", "Length", "収録時間", "再生時間", "長度", "长度"),
+    "actors": ("Actor", "Actors", "Actress", "Cast", "出演", "出演者", "女優"),
+    "tags": ("Genre", "Genres", "Tag", "Category", "ジャンル", "類別", "类别"),
+    "maker": ("Maker", "Studio", "Manufacturer", "メーカー", "製作商", "制作商"),
+    "label": ("Label", "Publisher", "レーベル", "發行商", "发行商"),
+    "series": ("Series", "シリーズ", "系列"),
+    "director": ("Director", "監督", "導演", "导演"),
+    "rating": ("Rating", "Score", "評価"),
+    "wanted": ("Wanted", "Want", "Favorites", "想看"),
 }
+DETAIL_KNOWN = tuple(label for labels in DETAIL.values() for label in labels)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-FACTS = "title string, overview string, release_date string, release_year int, runtime_minutes int, poster string, canonical_url string, score_milli int, vote_count long, links array<struct<url:string,text:string>>, images array<string>"
+
+
+class Element:
+    """A node: name, attributes, parent and the pieces of text below it."""
+
+    __slots__ = ("name", "attributes", "parent", "pieces")
+
+    def __init__(self, name: str, attributes: dict, parent: Element | None):
+        self.name, self.attributes, self.parent, self.pieces = name, attributes, parent, []
+
+    def text(self) -> str:
+        return " ".join(" ".join(self.pieces).split())
 
 
 class Page(HTMLParser):
-    """Elements in document order: (name, attributes, text pieces)."""
+    """A page's elements in document order."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.elements: list[tuple[str, dict, list[str]]] = []
-        self.open: list[tuple[str, dict, list[str]]] = []
+        self.elements: list[Element] = []
+        self.open: list[Element] = []
         self.feed(html)
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        element = (tag, dict(attrs), [])
+        element = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.open[-1] if self.open else None)
         self.elements.append(element)
         if tag not in VOID:
             self.open.append(element)
 
     def handle_startendtag(self, tag, attrs):
-        self.elements.append((tag, dict(attrs), []))
+        self.elements.append(Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.open[-1] if self.open else None))
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k].name == tag:
                 del self.open[k:]
                 return
 
     def handle_data(self, data):
-        if any(e[0] in ("script", "style") for e in self.open):
-            return
         for element in self.open:
-            element[2].append(data)
+            element.pieces.append(data)
+
+    def select(self, selector: str) -> Iterator[Element]:
+        """Elements that one of the comma-separated selectors matches, in document order."""
+        test = matcher(selector)
+        return (e for e in self.elements if test(e))
+
+    def first_text(self, selector: str) -> str | None:
+        """The text of the first element, None where it is blank."""
+        found = next(self.select(selector), None)
+        return (found.text() or None) if found else None
+
+    def first_attribute(self, selector: str, name: str) -> str | None:
+        """The first element's attribute of that name; a blank one ends the search."""
+        found = next((e.attributes[name] for e in self.select(selector) if name in e.attributes), None)
+        return found if found and found.strip() else None
+
+    def texts(self, selector: str) -> list[str]:
+        return list(dict.fromkeys(t for t in (e.text() for e in self.select(selector)) if t))
+
+    def values(self, where: tuple, base: str = "") -> list[str]:
+        """All values for a field's selectors: texts split at separators, attributes as addresses."""
+        out: dict[str, None] = {}
+        for selector, attribute in where:
+            for e in self.select(selector):
+                if attribute is None:
+                    parts = [" ".join(p.split()) for p in re.split("[,/|、]", e.text())]
+                else:
+                    whole = " ".join(e.attributes.get(attribute, "").split())
+                    parts = [absolute(base, whole) if base and whole else whole]
+                out.update(dict.fromkeys(p for p in parts if p))
+        return list(out)
 
-    def text(self, element) -> str:
-        return " ".join(" ".join(element[2]).split())
+    def labelled(self, rows: str, body: str, labels: tuple[str, ...], known: tuple[str, ...]) -> str | None:
+        """What follows one of the labels in a row, or else in the whole text up to the next known label."""
+        for e in self.select(rows):
+            line = e.text()
+            for label in labels:
+                for mark in (f"{label}:", f"{label}："):
+                    at = line.find(mark)
+                    if at >= 0:
+                        if value := " ".join(line[at + len(mark) :].split()):
+                            return value
+                        break
+        for label in labels:
+            for mark in (f"{label}:", f"{label}："):
+                at = body.find(mark)
+                if at >= 0:
+                    rest = body[at + len(mark) :].strip()
+                    stops = (rest.find(f"{k}{c}") for k in known for c in ":：" if f"{k}{c}" != mark)
+                    if value := " ".join(rest[: min((s for s in stops if s >= 0), default=len(rest))].split()):
+                        return value
+        return None
 
-    def values(self, name, test=None, wanted=None, read=None) -> list[str]:
-        found = (e for e in self.elements if e[0] == name and (test is None or (e[1].get(test) or "") == wanted))
-        texts = (" ".join((e[1].get(read) or "").split()) if read else self.text(e) for e in found)
-        return [t for t in texts if t]
+    def image_urls(self, selector: str, base: str) -> list[str]:
+        """Addresses in href, src, or the first image inside."""
+        out: dict[str, None] = {}
+        for e in self.select(selector):
+            inner = next((x.attributes.get("src") for x in self.elements if x.name == "img" and _inside(x, e)), None) if "href" not in e.attributes and "src" not in e.attributes else None
+            value = e.attributes.get("href", e.attributes.get("src", inner))
+            if value is not None and (url := absolute(base, value)).strip():
+                out[url] = None
+        return list(out)
 
 
-def _first(page: Page, field: str) -> str | None:
-    return next((v for where in RECIPE[field] for v in page.values(*where)), None)
+def _inside(element: Element, ancestor: Element) -> bool:
+    while element := element.parent:
+        if element is ancestor:
+            return True
+    return False
 
 
-def _labelled(rows: list[str], field: str) -> str | None:
-    for row in rows:
-        for label in LABELS[field]:
-            m = re.match(rf"{re.escape(label)}\s*[:：]\s*(.+)", row)
-            if m:
-                return m[1]
-    return None
+@lru_cache(maxsize=256)
+def matcher(selector: str) -> Callable[[Element], bool]:
+    """A test for selectors of names, classes and attributes, with descendants (the forms that RECIPE uses)."""
+    chains = [[_simple(part) for part in chain.split()] for chain in re.split(r",(?![^\[]*\])", selector)]
 
+    def test(element: Element) -> bool:
+        for *above, last in chains:
+            if last(element):
+                up = element.parent
+                for one in reversed(above):
+                    while up and not one(up):
+                        up = up.parent
+                    if not up:
+                        break
+                    up = up.parent
+                else:
+                    return True
+        return False
 
-def _absolute(base: str, value: str) -> str:
+    return test
+
+
+def _simple(part: str) -> Callable[[Element], bool]:
+    name = re.match(r"[a-z0-9]*", part)[0]
+    classes = re.findall(r"\.([\w-]+)", re.sub(r"\[.*?\]", "", part))
+    tests = re.findall(r'\[([\w-]+)(?:(\*?=)"([^"]*)")?\]', part)
+
+    def one(e: Element) -> bool:
+        if name and e.name != name or classes and not set(classes) <= set(e.attributes.get("class", "").split()):
+            return False
+        return all(a in e.attributes and (not how or (v == e.attributes[a] if how == "=" else v in e.attributes[a])) for a, how, v in tests)
+
+    return one
+
+
+def absolute(base: str, value: str) -> str:
+    """A root-relative value goes to the base's origin, others are put after the base."""
     value = value.strip()
+    origin = re.match(r".*?://[^/]*", base)
+    if value.startswith("/") and not value.startswith("//") and origin:
+        return origin[0] + value
     if re.match("https?://", value):
         return value
     if value.startswith("//"):
         return "https:" + value
-    origin = re.match(r".*?://[^/]*", base)
-    if value.startswith("/") and origin:
-        return origin[0] + value
     return base.rstrip("/") + "/" + value.lstrip("/")
 
 
-def facts(html: str | None, url: str | None) -> tuple:
-    """The fields of FACTS; None where a page has none."""
+_LIST = "array<string>"
+FOUND = {
+    "title": "string", "overview": "string", "date": "string", "runtime": "string", "score": "string", "vote_count": "string", "canonical_url": "string", "body": "string",
+    "genres": _LIST, "tags": _LIST, "poster_urls": _LIST, "links": "array<struct<url:string,text:string>>", "images": _LIST, "lines": "array<struct<label:string,value:string>>",
+}
+
+
+def found(html: str | None, url: str | None) -> tuple:
+    """The texts of FOUND; None where a page has none."""
     if html is None:
-        return (None,) * 11
+        return (None,) * len(FOUND)
     page, base = Page(html), url or ""
-    rows = [page.text(e) for e in page.elements if e[0] in ("tr", "li", "p")]
-    body = " ".join(page.values("body"))
-    date = _first(page, "release_date") or _labelled(rows, "release_date")
-    iso = re.search(r"(?:^|\s)(\d{4}-\d{2}\S\d{2})", date or "")
-    years = [int(y) for y in re.findall(r"(?<!\d)\d{4}(?!\d)", f"{date or ''} {body}") if 1888 <= int(y) <= 2100]
-    number = lambda field: next(iter(re.findall(r"\d+", _labelled(rows, field) or "")), None)
-    rating = re.search(r"\d+(?:\.\d+)?", _labelled(rows, "rating") or "")
-    milli = None if rating is None else max(0, min(1000, int(float(rating[0]) * (200 if float(rating[0]) <= 5 else 100) + 0.5)))
-    minutes, votes = number("runtime"), number("votes")
-    poster, canonical = _first(page, "poster"), _first(page, "canonical")
-    links = list(dict.fromkeys((_absolute(base, e[1]["href"]), page.text(e)) for e in page.elements if e[0] == "a" and (e[1].get("href") or "").strip()))
-    images = list(dict.fromkeys(_absolute(base, e[1]["src"]) for e in page.elements if e[0] == "img" and (e[1].get("src") or "").strip()))
+    body = page.first_text("body") or ""
+    first = lambda field: next(iter(page.values(RECIPE[field])), None)
+    either = lambda field, name: first(name) or page.labelled(ROWS, body, LABELS[field], KNOWN)
+    canonical = first("canonical_url")
+    links = dict.fromkeys((absolute(base, e.attributes["href"]), e.text()) for e in page.select("a[href]") if e.attributes["href"].strip())
+    lines = dict.fromkeys((m[1], m[2]) for e in page.select("tr, li, p") if (m := re.match(r"([^:：]{1,40})[:：]\s*(.+)", e.text())))
     return (
-        _first(page, "title"), _first(page, "overview"), iso[1] if iso else date, years[0] if years else None, int(minutes) if minutes else None,
-        _absolute(base, poster) if poster else None, _absolute(base, canonical) if canonical else None, milli, int(votes) if votes else None,
-        [{"url": u, "text": t} for u, t in links], images,
+        first("title"), first("overview"), either("release_date", "release_date"), either("runtime", "runtime"), either("score", "score"), either("vote_count", "vote_count"),
+        absolute(base, canonical) if canonical else None, body, page.values(RECIPE["genres"], base), page.values(RECIPE["tags"], base), page.values(RECIPE["poster_urls"], base),
+        [{"url": u, "text": t} for u, t in links], page.image_urls("img[src]", base), [{"label": k, "value": v} for k, v in lines],
     )
 
 
-def _batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    names = [re.match(r"\s*(\w+)", x)[1] for x in re.split(r", (?=\w+ )", FACTS)]
-    for html, url in batches:
-        found = pd.DataFrame([facts(h, u) for h, u in zip(html, url, strict=True)], columns=names)
-        for name in ("release_year", "runtime_minutes", "score_milli", "vote_count"):
-            found[name] = found[name].astype("Int64")
-        yield found
+OWN = {
+    "title": "string", "number": "string", "body": "string", "overview": "string", "release_date": "string", "runtime": "string", "maker": "string", "label": "string", "series": "string",
+    "director": "string", "rating": "string", "wanted": "string", "actors": _LIST, "tags": _LIST, "poster_url": "string", "backdrop_urls": _LIST, "trailer_url": "string",
+}
+
+
+def detail(html: str | None, url: str | None) -> tuple:
+    """The texts of OWN from a detail page."""
+    if html is None:
+        return (None,) * len(OWN)
+    page, base = Page(html), url or ""
+    body = page.first_text("body") or ""
+    info = page.first_text("article, main, .movie, .video, .detail, .info, .movie-info, table, body") or body
+    value = lambda field: page.labelled("tr, li, p, .info, .detail", info, DETAIL[field], DETAIL_KNOWN)
+    parts = lambda field: [p for p in (" ".join(x.split()) for x in re.split("[,/、，]", value(field) or "")) if p]
+    title = page.first_text("h1, h2, h3, .title, .movie-title, .video-title") or page.first_attribute('meta[property="og:title"]', "content") or page.first_text("title")
+    overview = page.first_text(".description, .outline, .summary, .story, .introduction, .comment, .box-description") or page.first_attribute('meta[name="description"]', "content")
+    actors = dict.fromkeys(parts("actors") or page.texts('a[href*="actor"], a[href*="actress"], a[href*="star"], a[href*="cast"], a[href*="idol"]'))
+    tags = dict.fromkeys([*page.texts('a[href*="genre"], a[href*="tag"], a[href*="category"], .tag a, .genre a'), *parts("tags")])
+    poster = page.first_attribute('meta[property="og:image"]', "content") or page.first_attribute(".poster img, .cover img, .package img, .movie-image img, .main-image img, article img, main img", "src")
+    poster = absolute(base, poster) if poster else None
+    pictures = page.image_urls('.sample img, .gallery img, .preview img, .sample-box img, a[href*="sample"], a[href*="gallery"]', base)
+    moving = lambda u: re.search(r"\.(?:mp4|m3u8|webm)(?:[?#].*)?$", u.lower())
+    media = [absolute(base, e.attributes.get("src") or e.attributes.get("href") or "") for e in page.select("video[src], source[src], a[href]")]
+    return (
+        title, value("number"), body, overview, value("release_date"), value("runtime"), value("maker"), value("label"), value("series"), value("director"),
+        page.first_text(".score, .rating, .review") or value("rating"), value("wanted"), list(actors), list(tags), poster,
+        [u for u in pictures if u != poster and not moving(u)], next((u for u in media if moving(u)), None),
+    )
+
+
+def _udf(make: Callable[[str | None, str | None], tuple], fields: dict[str, str]):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for html, url in batches:
+            yield pd.DataFrame([make(h, u) for h, u in zip(html, url, strict=True)], columns=list(fields))
+
+    schema = ", ".join(f"{k} {v}" for k, v in fields.items())
+    return lambda html, url: F.pandas_udf(run, schema, F.PandasUDFType.SCALAR_ITER)(html, url)
+
+
+page_texts = _udf(found, FOUND)
+detail_texts = _udf(detail, OWN)
+
+
+def recipe(f: Column) -> dict[str, Column]:
+    """The fields of a page by the generic recipe, from the struct that ``page_texts`` gives."""
+    iso = V.first_iso_date(f["date"])
+    return {
+        "title": f["title"], "overview": f["overview"], "release_date": F.coalesce(iso, T.non_blank(f["date"])), "release_year": F.coalesce(V.first_year(f["date"]), V.first_year(f["body"])),
+        "runtime_minutes": V.first_integer(f["runtime"]).cast("int"), "score_milli": rating(f["score"]),
+        "vote_count": V.first_integer(f["vote_count"]), "genres": f["genres"], "tags": f["tags"], "poster_urls": f["poster_urls"], "canonical_url": f["canonical_url"],
+    }
+
+
+def mentions(text: Column, url: Column, number: Column) -> Column:
+    """A text or address that names a catalog number, as its own number or within its letters and digits."""
+    named = lambda c: F.coalesce(T.catalog_number(T.filename_tokens(c))["number"] == number, F.lit(False))
+    within = lambda c: F.coalesce(T.compact(c).contains(T.compact(number)), F.lit(False))
+    return named(text) | named(url) | within(text) | within(url)
+
+
+def is_result_link(url: Column) -> Column:
+    """An address that a search page's result can have: no fragment, script or further search."""
+    u = T.trimmed(url)
+    return (u != "") & ~u.startswith("#") & ~u.startswith("javascript:") & ~u.contains("/search") & ~u.contains("result_published")
+
+
+def is_outline(value: Column, title: Column, labels: tuple[str, ...]) -> Column:
+    """A text long enough to be an outline, which is neither the title nor has a row's label."""
+    found_ = F.lit(False)
+    for label in labels:
+        found_ = found_ | value.contains(label)
+    return (F.length(value) >= 24) & ~value.eqNullSafe(title) & ~found_
+
+
+def snapshot_text(text: Column) -> Column:
+    """A rendered page's text with runs of white space as one space."""
+    return T.collapsed(text)
 
 
-def page_facts(html: str, url: str):
-    """A struct column of FACTS from the columns of page text and address."""
-    return F.pandas_udf(_batches, FACTS, F.PandasUDFType.SCALAR_ITER)(html, url)
+def rating(text: Column) -> Column:
+    """The first token that is a number, as a rating in thousandths."""
+    number = r"(?:^|\s)([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)(?=\s|$)"
+    return V.rating_milli(F.nullif(F.regexp_extract(text, number, 1), F.lit("")).cast("double"))

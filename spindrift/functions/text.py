@@ -177,6 +177,36 @@ def looks_like_file(title: Column) -> Column:
     return found
 
 
+def strip_number_prefix(title: Column, number: Column) -> Column:
+    """A title without its leading article number in one of three spellings, and what joins them."""
+    whole = collapsed(title)
+    tried = []
+    for prefix in ("FC2-", "FC2PPV-", ""):
+        head = F.concat(F.lit(prefix), number)
+        rest = trimmed(F.regexp_replace(trimmed(F.substring(whole, F.length(head) + 1, F.length(whole))), "^[-:：]+", ""))
+        tried.append(F.when(whole.startswith(head) & (rest != ""), rest))
+    return F.coalesce(*tried, whole)
+
+
+def imdb_id(c: Column) -> Column:
+    """tt and digits, the letters in any case; NULL for others."""
+    v = trimmed(c)
+    return F.when(v.rlike("^[tT]{2}[0-9]+$"), F.concat(F.lit("tt"), F.substring(v, F.lit(3), F.length(v))))
+
+
+def setting_label(c: Column, aliases: dict[str, str]) -> Column:
+    """A setting's value as one of the labels it can have: dashes and spaces as underscores, aliases resolved."""
+    table = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
+    return F.try_element_at(table, F.translate(ascii_lower(trimmed(c)), "- ", "__"))
+
+
+def outcome_note(outcomes: Column, notes: dict[str, str], legacy: Column) -> Column:
+    """The safe notes of a record's outcomes, then a note of its own; NULL where there is none."""
+    table = F.create_map(*(F.lit(x) for pair in notes.items() for x in pair))
+    parts = F.array_compact(F.concat(F.transform(outcomes, lambda o: F.try_element_at(table, o)), F.array(non_blank(legacy))))
+    return F.when(F.size(parts) > 0, F.array_join(parts, " "))
+
+
 # What a template may name.
 TOKENS = ("event_id", "event_kind", "subject_kind", "subject_id", "occurred_at", "attempt", "payload_keys")
 

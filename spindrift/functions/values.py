@@ -36,7 +36,7 @@ def first_integer(c: Column) -> Column:
 
 
 def minutes_of_seconds(c: Column) -> Column:
-    return F.when(c > 0, F.ceil(c / 60).cast("bigint"))
+    return F.when(c >= 0, F.ceil(c / 60).cast("bigint"))
 
 
 def rating_milli(c: Column) -> Column:
@@ -45,6 +45,35 @@ def rating_milli(c: Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1000.0), F.round(scaled))).cast("int"))
 
 
+def vote_average_milli(c: Column) -> Column:
+    """Of ten, in thousandths; rounded, 0 to 1000."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1000.0), F.round(c * 100)))).cast("int")
+
+
+def hundred_point_milli(c: Column) -> Column:
+    """Of a hundred, in thousandths, 1000 at most."""
+    return F.when(c.isNotNull(), F.least(c * 10, F.lit(1000))).cast("int")
+
+
+def whole_number(c: Column) -> Column:
+    """An unsigned number or a numeric text, NULL for anything else."""
+    return F.when(trimmed(c.cast("string")).rlike("^[0-9]{1,18}$"), trimmed(c.cast("string")).cast("bigint"))
+
+
+def year_range(year: Column) -> Column:
+    """The half-open range of days of a year, as its two ends."""
+    ends = F.struct(F.format_string("%04d-01-01", year.cast("int")).alias("since"), F.format_string("%04d-01-01", year.cast("int") + 1).alias("before"))
+    return F.when(year.between(1, 9999), ends)
+
+
+def numbered(names: Column) -> Column:
+    """(name, order) of names that no earlier one equals; order counts in the given list, so it has gaps."""
+    placed = F.transform(names, lambda n, i: F.struct(trimmed(n).alias("name"), (i + 1).cast("int").alias("order")))
+    there = F.filter(placed, lambda x: x["name"].isNotNull() & (x["name"] != ""))
+    keys = F.transform(there, lambda x: ascii_lower(x["name"]))
+    return F.filter(there, lambda x, i: F.array_position(keys, ascii_lower(x["name"])) == i + 1)
+
+
 def community_bonus(score_milli: Column, votes: Column) -> Column:
     steps = F.least(F.floor(F.greatest(score_milli - 650, F.lit(0)) / 25), F.lit(10)).cast("int")
     tier = F.when(votes < 100, 0).when(votes < 1000, 2).when(votes < 10000, 4).otherwise(6)
@@ -96,5 +125,13 @@ def json_scalar(payload: Column, key: str) -> Column:
     return F.when(F.schema_of_variant(member).isin("STRING", "BIGINT"), F.try_variant_get(F.try_parse_json(payload), f"$.{key}", "string"))
 
 
+def json_strings(payload: Column, key: str) -> Column:
+    """A member that is a text or a list of texts, as a list of trimmed texts without blanks."""
+    member = F.try_variant_get(F.try_parse_json(payload), f"$.{key}", "variant")
+    listed = F.coalesce(F.try_variant_get(member, "$", "array<variant>"), F.array(member))
+    texts = F.filter(listed, lambda v: F.schema_of_variant(v) == "STRING")
+    return F.array_compact(F.transform(texts, lambda v: non_blank(F.try_variant_get(v, "$", "string"))))
+
+
 def payload_keys(payload: Column) -> Column:
     return F.coalesce(F.array_sort(F.json_object_keys(payload)), F.array().cast("array<string>"))

@@ -33,49 +33,71 @@ def last_attempts(events: DataFrame, source: str, order: str, keep: int = 20) ->
     return events.withColumn("back", F.row_number().over(w)).where(F.col("back") <= keep)
 
 
-def provider_summary(executions: DataFrame) -> DataFrame:
-    """Counts by source and status, with failures by reason."""
-    count = lambda status: F.count_if(F.col("status") == status).alias(f"n_{status}")
-    return executions.groupBy("provider").agg(F.count("*").alias("n_items"), count("returned"), count("empty"), count("failed"), F.sum("candidate_count").alias("n_candidates"), F.max("item_index").alias("last_item"))
-
-
 #: The breaker's default policy.
 THRESHOLD, COOLDOWN = 2, 3
 
 
 class Breaker:
-    """A source's state: failures in a row, items left to cool down, last reason and its class."""
+    """A source's state: failures in a row, the scraped item up to which it cools down, last reason and its class.
+
+    Every scraped item of a run ticks a cooldown that was on when the item began,
+    whatever became of it; so a cooldown set at item k holds for items k + 1 to
+    k + cooldown, and then the failures count anew.
+    """
+
+    def __init__(self, failures: int = 0, until: int | None = None, reason: str | None = None, kind: str | None = None):
+        self.failures, self.until, self.reason, self.kind = failures, until, reason, kind
+
+    def suppressed(self, item: int) -> bool:
+        if self.until is None:
+            return False
+        if item <= self.until:
+            return True
+        self.failures, self.until = 0, None
+        return False
 
-    def __init__(self, failures: int = 0, cooldown: int = 0, reason: str | None = None, kind: str | None = None):
-        self.failures, self.cooldown, self.reason, self.kind = failures, cooldown, reason, kind
+    def left(self, item: int) -> int:
+        """Items still to cool down after this one."""
+        return 0 if self.until is None else max(0, self.until - item)
 
-    def step(self, failed: bool, reason: str | None, kind: str | None, threshold: int, cooldown: int) -> str:
-        """One scraped item; what happened to the source: suppressed, failed or ok."""
-        if self.cooldown > 0:
-            self.cooldown -= 1
-            if not self.cooldown:
-                self.failures = 0
+    def count(self, item: int) -> int:
+        """Failures in a row after this item."""
+        return 0 if self.until is not None and item >= self.until else self.failures
+
+    def succeed(self) -> None:
+        self.failures, self.until, self.reason, self.kind = 0, None, None, None
+
+    def fail(self, item: int, reason: str | None, kind: str | None, threshold: int, cooldown: int) -> None:
+        self.reason, self.kind = reason or "provider_error", kind or "retryable"
+        on = threshold > 0 and cooldown > 0
+        if self.kind == "retryable":
+            self.failures += 1
+            if on and self.failures >= threshold:
+                self.until = item + cooldown
+        elif self.kind == "operator_action":
+            self.failures = 1
+            if on:
+                self.until = item + cooldown
+        elif self.kind == "permanent":
+            self.failures, self.until = 0, None
+
+    def step(self, item: int, failed: bool, reason: str | None, kind: str | None, threshold: int, cooldown: int) -> str:
+        """One scraped item: suppressed, failed or ok."""
+        if self.suppressed(item):
             return "suppressed"
         if not failed:
-            self.failures, self.reason, self.kind = 0, None, None
+            self.succeed()
             return "ok"
-        self.reason, self.kind = reason, kind
-        if kind == "retryable":
-            self.failures += 1
-            if self.failures >= threshold:
-                self.cooldown = cooldown
-        elif kind == "operator_action":
-            self.failures, self.cooldown = 1, cooldown
-        else:
-            self.failures, self.cooldown = 0, 0
+        self.fail(item, reason, kind, threshold, cooldown)
         return "failed"
 
 
 def replay(executions: DataFrame, threshold: int = THRESHOLD, cooldown: int = COOLDOWN) -> DataFrame:
     """What the breaker would have done at each execution, by source and in item order.
 
-    executions: provider, item_index, failed, reason, retry_class.  Each
-    source's fold is its own; a source's executions stream through in order.
+    executions: provider, item_index (counts the run's scraped items), failed,
+    reason, retry_class.  A source's executions stream through one task in
+    order: its state depends on all before, in constant memory.
     """
 
     def run(batches):
@@ -85,8 +107,8 @@ def replay(executions: DataFrame, threshold: int = THRESHOLD, cooldown: int = CO
             for r in pdf.itertuples(index=False):
                 if r.provider != provider:
                     state, provider = Breaker(), r.provider
-                did = state.step(bool(r.failed), r.reason, r.retry_class, threshold, cooldown)
-                rows.append((r.provider, r.item_index, did, state.failures, state.cooldown))
+                did = state.step(int(r.item_index), bool(r.failed), r.reason, r.retry_class, threshold, cooldown)
+                rows.append((r.provider, r.item_index, did, state.count(int(r.item_index)), state.left(int(r.item_index))))
             yield pd.DataFrame(rows, columns=["provider", "item_index", "outcome", "consecutive_failures", "cooldown_remaining"])
 
     kind = executions.schema["provider"].dataType.simpleString()
@@ -95,6 +117,103 @@ def replay(executions: DataFrame, threshold: int = THRESHOLD, cooldown: int = CO
     return dealt.mapInPandas(run, f"provider {kind}, item_index {index}, outcome string, consecutive_failures int, cooldown_remaining int")
 
 
+def reuse(items: DataFrame, cached: DataFrame | None = None, most: int = 128) -> DataFrame:
+    """Adds reused_from to items: the cache entry or the first earlier item of the same key.
+
+    items: run, item_index, key (NULL where an item must not be reused); cached:
+    run, key, item_index of a resumed run, of which the first ``most`` by key count.
+    """
+    first = items.where("key is not null").groupBy("run", "key").agg(F.min("item_index").alias("first_index"))
+    out = items.join(first, ["run", "key"], "left").withColumn("cached_index", F.lit(None).cast("long"))
+    if cached is not None:
+        place = F.row_number().over(Window.partitionBy("run").orderBy("key", "item_index"))
+        kept = cached.withColumn("place", place).where(F.col("place") <= most).groupBy("run", "key").agg(F.min("item_index").cast("long").alias("cached"))
+        out = out.join(kept, ["run", "key"], "left").withColumn("cached_index", F.col("cached")).drop("cached")
+    own = F.when(F.col("first_index") < F.col("item_index"), F.col("first_index"))
+    return out.withColumn("reused_from", F.coalesce("cached_index", own)).drop("first_index", "cached_index")
+
+
+STATE = "provider string, consecutive_failures int, cooldown_remaining int, reason string, retry_class string"
+REPORT = "run {run}, item_index long, provider string, status string, candidate_count long, reason string, retry_class string, failures int, cooldown_remaining int, state_reason string, state_class string"
+
+
+def scrape(executions: DataFrame, states: DataFrame | None = None, budget: int | None = None, threshold: int = THRESHOLD, cooldown: int = COOLDOWN) -> DataFrame:
+    """What a run does with every source at every scraped item, and each source's state after it.
+
+    executions: run, item_index, ordinal (of the source), provider, serves (its
+    route), status (returned, empty or failed, if it is asked), candidate_count,
+    reason, retry_class.  states: run and STATE of a resumed run.  Sources that
+    cool down are suppressed, others of another route skipped; at most ``budget``
+    are asked, in catalog order.  A run is a sequence, so it streams through one
+    task in order; the state is one entry for each source of the catalog.
+    """
+    run_type = executions.schema["run"].dataType.simpleString()
+    names = ["run", "item_index", "ordinal", "provider", "serves", "status", "candidate_count", "reason", "retry_class"]
+    rows = executions.select(*names, F.lit(None).cast("int").alias("failures"), F.lit(None).cast("int").alias("left"))
+    if states is not None:
+        resumed = states.select("run", F.lit(-1).alias("item_index"), F.lit(-1).alias("ordinal"), "provider", F.lit(True).alias("serves"), F.lit("state").alias("status"), F.lit(0).alias("candidate_count"), "reason", "retry_class", F.col("consecutive_failures").alias("failures"), F.col("cooldown_remaining").alias("left"))
+        rows = rows.unionByName(resumed)
+    dealt = rows.repartition("run").sortWithinPartitions("run", "item_index", "ordinal")
+
+    def run(batches):
+        own, item, scraped, asked, table = object(), None, -1, 0, {}
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.run != own:
+                    own, item, scraped, table = r.run, None, -1, {}
+                if r.status == "state":
+                    left = int(r.left or 0)
+                    table[r.provider] = Breaker(int(r.failures or 0), left - 1 if left else None, r.reason, r.retry_class)
+                    continue
+                if r.item_index != item:
+                    item, scraped, asked = r.item_index, scraped + 1, 0
+                state = table.setdefault(r.provider, Breaker())
+                status, n = r.status, int(r.candidate_count or 0)
+                if state.suppressed(scraped):
+                    status = "suppressed"
+                elif not r.serves:
+                    status = "skipped_by_route"
+                elif budget is not None and asked >= budget:
+                    status = "budget_exhausted"
+                else:
+                    asked += 1
+                    if status == "failed":
+                        state.fail(scraped, r.reason, r.retry_class, threshold, cooldown)
+                    else:
+                        state.succeed()
+                failed = status == "failed"
+                out.append((r.run, int(r.item_index), r.provider, status, n if status == "returned" else 0, (r.reason or "provider_error") if failed else None, (r.retry_class or "retryable") if failed else None, state.count(scraped), state.left(scraped), state.reason, state.kind))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in REPORT.split(", ")])
+
+    return dealt.mapInPandas(run, REPORT.format(run=run_type))
+
+
+def provider_summary(reports: DataFrame) -> DataFrame:
+    """The twelve counters of each source; reports: from ``scrape``."""
+    count = lambda name, test: F.count_if(test).alias(name)
+    status, kind = F.col("status"), F.col("retry_class")
+    last = F.max(F.struct("run", "item_index", "cooldown_remaining")).alias("last")
+    return reports.groupBy("run", "provider").agg(
+        count("selected_items", status.isin("returned", "empty", "failed")), count("returned_items", status == "returned"), count("empty_items", status == "empty"), count("failed_items", status == "failed"),
+        count("retryable_failed_items", kind == "retryable"), count("permanent_failed_items", kind == "permanent"), count("operator_action_failed_items", kind == "operator_action"),
+        count("skipped_by_route_items", status == "skipped_by_route"), count("suppressed_items", status == "suppressed"), count("budget_exhausted_items", status == "budget_exhausted"),
+        F.sum("candidate_count").alias("returned_candidate_count"), last,
+    ).withColumn("cooldown_remaining_items", F.col("last.cooldown_remaining")).drop("last")
+
+
+def resume_states(reports: DataFrame) -> DataFrame:
+    """(run, STATE) after a run: sources with a failure on record, to begin the next page with."""
+    last = F.max_by(F.struct("failures", "cooldown_remaining", "state_reason", "state_class"), "item_index").alias("s")
+    kept = reports.groupBy("run", "provider").agg(last).where("s.failures > 0 or s.cooldown_remaining > 0 or s.state_reason is not null")
+    return kept.select("run", "provider", F.col("s.failures").alias("consecutive_failures"), F.col("s.cooldown_remaining").alias("cooldown_remaining"), F.col("s.state_reason").alias("reason"), F.col("s.state_class").alias("retry_class"))
+
+
+def retry_class_counts(reports: DataFrame) -> DataFrame:
+    """Failures of each run by reason and retry class."""
+    return reports.where("status = 'failed'").groupBy("run", "reason", "retry_class").agg(F.count("*").alias("n"))
+
+
 def presence(df: DataFrame, *columns: str) -> DataFrame:
     """(field, present, missing) of each column, in one pass."""
     counted = df.agg(F.count("*").alias("n"), *(F.count(c).alias(c) for c in columns))

@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fields that take another field's preferences too.
-ALIASES = {"overview": ("outline",), "release_date": ("release",), "runtime_minutes": ("runtime",), "genres": ("tag",), "tags": ("tag",), "actors": ("actor",)}
+# The fields of a record in the order in which their sources are listed.
+FIELDS = ("title", "original_title", "sort_title", "overview", "release_date", "runtime_minutes", "tagline", "genres", "tags", "ratings", "images", "credits", "collections", "studios", "external_ids")
 
 
-def preferences(quality: DataFrame, by: str) -> DataFrame:
-    """(rank, provider) by falling quality, then catalog order; quality: (provider, ordinal, <by>)."""
-    return quality.where(F.col(by) > 0).agg(F.array_sort(F.collect_list(F.struct((-F.col(by)).alias("q"), "ordinal", "provider"))).alias("l")).select(F.transform("l", lambda x: x["provider"]).alias("providers"))
+def field_sources(record: dict[str, Column], provider: Column, provider_id: Column) -> Column:
+    """(field, provider, provider_id) of a record's fields that have a value, in their fixed order.
+
+    Texts count where they are not blank, lists where they are not empty.
+    """
+
+    def there(c: Column) -> Column:
+        text = c.cast("string")
+        return text.isNotNull() & (F.trim(text) != "") & (text != "[]")
+
+    return F.array_compact(F.array(*(F.when(there(record[f]), F.struct(F.lit(f).alias("field"), provider.alias("provider"), provider_id.alias("provider_id"))) for f in FIELDS if f in record)))
 
 
-def base_record(facts: DataFrame, columns: list[str]) -> DataFrame:
-    """The best-scored fact of each cluster: confidence, then provider and provider id."""
-    best = F.min(F.struct((-F.col("confidence_milli")).alias("c"), "provider", "provider_id", *[c for c in columns if c not in ("provider", "provider_id")])).alias("best")
-    return facts.groupBy("cluster").agg(best).select("cluster", "best.provider", "best.provider_id", *(F.col(f"best.{c}").alias(c) for c in columns if c not in ("provider", "provider_id")))
+def chosen_sources(facts: DataFrame, fused_rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(cluster, field, provider): the first fact, by arrival, that has each fused value."""
+    own = facts.select("cluster", "provider", "arrival", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x"))
+    fused_ = fused_rows.select("cluster", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("y")).where("y.value is not null")
+    joined = own.select("cluster", "provider", "arrival", "x.field", "x.value").join(fused_.select("cluster", "y.field", "y.value"), ["cluster", "field", "value"])
+    return joined.groupBy("cluster", "field").agg(F.min(F.struct("arrival", "provider")).alias("first")).select("cluster", "field", "first.provider")
 
 
 def fused(facts: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
@@ -50,3 +60,24 @@ def best_artwork(art: DataFrame, key: str = "cluster") -> DataFrame:
     """Of each kind the greatest by confidence, area, provider, id and url."""
     order = F.struct("confidence_milli", "area", "provider", "provider_id", "source_url")
     return art.groupBy(key, "kind").agg(F.max(order).alias("best")).select(key, "kind", "best.*")
+
+
+def preferred_artwork(art: DataFrame, kinds: dict[str, list[str]], shared: list[str]) -> DataFrame:
+    """Artwork of fused records: kinds are chosen apart, each by its own preference list and then the common one.
+
+    art: cluster, kind, provider, url, arrival, base (of the base record).  For a
+    kind with a list, the first preferred provider's pictures take the place of
+    the base's; other kinds, and kinds for which no preferred provider has one,
+    stay as the base has them.
+    """
+    rank = F.lit(None).cast("int")
+    for kind, own in kinds.items():
+        order = list(dict.fromkeys([*own, *shared]))
+        place = F.lit(None).cast("int")
+        for i in range(len(order) - 1, -1, -1):
+            place = F.when(F.col("provider") == order[i], i).otherwise(place)
+        rank = F.when(F.col("kind") == kind, place).otherwise(rank)
+    placed = art.withColumn("place", rank)
+    best = placed.groupBy("cluster", "kind").agg(F.min("place").alias("best"))
+    kept = placed.join(best, ["cluster", "kind"]).where(F.when(F.col("best").isNotNull(), F.col("place") == F.col("best")).otherwise(F.col("base")))
+    return kept.drop("place", "best")

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder that all executors share, and read again: cuts the lineage."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share, which ``spark.checkpoint.dir`` names."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spindrift-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the folder that all executors share, and read again: cuts the lineage."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clusters(ids: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as T
 from spindrift.functions import urls as U
 from spindrift.functions import values as V
-from spindrift.functions.html import page_facts
 from spindrift.operators import batch, fuse, links, planning, rank, resolve
 from spindrift.sources import catalog, sinks
 
@@ -230,14 +229,14 @@ def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provider_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's executions by status and by reason of failure."""
     e = _executions(spark, sf_dir)
-    s = batch.provider_summary(e).withColumn("n_candidates", F.col("n_candidates").cast("bigint"))
-    reasons = e.where("failed").groupBy("provider").agg(*(F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("timeout", "rate_limited", "auth_or_forbidden", "not_found", "parse_error")), F.count_if(F.col("retry_class") == "retryable").alias("n_retryable"))
-    return s.join(reasons, "provider", "left").na.fill(0)
-
-
-def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.replay(_executions(spark, sf_dir))
+    count = lambda c, v: F.count_if(F.col(c) == v).alias(f"n_{v}")
+    reasons = ("timeout", "rate_limited", "auth_or_forbidden", "not_found", "parse_error")
+    return e.groupBy("provider").agg(
+        F.count("*").alias("n_items"), *(count("status", v) for v in ("returned", "empty", "failed")), F.sum("candidate_count").cast("bigint").alias("n_candidates"), F.max("item_index").alias("last_item"),
+        *(count("reason", v) for v in reasons), count("retry_class", "retryable"),
+    )
 
 
 def last_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,11 +296,6 @@ def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(merged, "|").alias("merged"), F.array_join(alternates, "|").alias("alternates"), F.array_join(T.split_values(F.concat_ws(" / ", "p_name", "p_type", F.lit(" "))), "|").alias("split"))
 
 
-def html_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "pages").select("page_id", page_facts("html", "url").alias("f"))
-    return p.select("page_id", "f.title", "f.overview", "f.release_date", "f.release_year", "f.runtime_minutes", "f.canonical_url", "f.score_milli", "f.vote_count", F.size("f.links").alias("n_links"), F.size("f.images").alias("n_images"))
-
-
 def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles alone, in expressions; the parsed facts have the same."""
     p = read(spark, sf_dir, "pages")
@@ -309,11 +303,6 @@ def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", T.collapsed(raw).alias("title"), _bytes(F.col("html")).alias("html_bytes"))
 
 
-def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "pages").select("page_id", F.explode(page_facts("html", "url")["links"]).alias("x"))
-    return p.select("page_id", "x.url", "x.text")
-
-
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Device command plans: orders as commands, lines' URLs as transports."""
     o = read(spark, sf_dir, "orders")
@@ -364,23 +353,16 @@ def search_and_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
-    payload = F.when(F.col("c_acctbal") > 0, sinks.webhook_payload({"event_id": F.col("c_custkey"), "event_kind": F.lit("scan"), "subject": F.col("c_name")}))
+    payload = F.when(F.col("c_acctbal") > 0, F.to_json(F.struct(F.col("c_custkey").alias("event_id"), F.lit("scan").alias("event_kind"), F.col("c_name").alias("subject"))))
     rows = sinks.guarded(c, F.col("c_custkey") % 10 != 0, F.col("c_mktsegment") != "BUILDING", payload)
     return rows.select("c_custkey", "write_status", F.coalesce("write_reason", F.lit("-")).alias("write_reason"), F.coalesce(payload, F.lit("-")).alias("payload"))
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str, make, mode: str) -> DataFrame:
     """Run a stateful stream over the events table to its end; its output as a table in the shared folder."""
-    schema = read(spark, sf_dir, "events").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or ""
-    from spindrift.operators.resolve import stored
-
-    if not base:
-        stored(spark.range(1), "start")
-        base = spark.conf.get("spark.checkpoint.dir")
-    import uuid
+    from spindrift.operators.resolve import scratch
 
-    path = f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    schema, path = read(spark, sf_dir, "events").schema, scratch(spark, f"stream-{name}")
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     out = make(source)
     sink = lambda df, epoch: df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/out/batch={epoch}")
@@ -417,7 +399,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ranked_candidates, evidence_summary, titles, title_variants, slugs, markup, catalog_numbers, urls, link_search, link_groups, query_payloads, entity_clusters, cluster_evidence, fused_records, artwork, source_status, source_preferences,
-        failure_streaks, provider_summary, breaker_replay, last_attempts, reuse, batch_page, field_presence, templates, dates, scores, arrays, html_facts, html_titles, html_links, commands, subtitle_search, intents, jobs, search_and_enrich, write_backs,
+        failure_streaks, provider_summary, last_attempts, reuse, batch_page, field_presence, templates, dates, scores, arrays, html_titles, commands, subtitle_search, intents, jobs, search_and_enrich, write_backs,
         stream_history, stream_breaker, stream_jobs,
     )
 }

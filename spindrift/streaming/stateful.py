@@ -36,12 +36,12 @@ def breaker(executions: DataFrame, threshold: int = THRESHOLD, cooldown: int = C
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = Breaker(*state.get) if state.exists else Breaker()
         rows = sorted(((int(r.item_index), bool(r.failed), r.reason, r.retry_class) for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: r[0])
-        out = [(key[0], i, own.step(failed, reason, kind, threshold, cooldown), own.failures, own.cooldown) for i, failed, reason, kind in rows]
-        state.update((own.failures, own.cooldown, own.reason, own.kind))
+        out = [(key[0], i, own.step(i, failed, reason, kind, threshold, cooldown), own.count(i), own.left(i)) for i, failed, reason, kind in rows]
+        state.update((own.failures, own.until, own.reason, own.kind))
         yield pd.DataFrame(out, columns=["provider", "item_index", "outcome", "consecutive_failures", "cooldown_remaining"])
 
     kind = executions.schema["provider"].dataType.simpleString()
-    return executions.groupBy("provider").applyInPandasWithState(run, f"provider {kind}, item_index long, outcome string, consecutive_failures int, cooldown_remaining int", "failures int, cooldown int, reason string, kind string", "append", GroupStateTimeout.NoTimeout)
+    return executions.groupBy("provider").applyInPandasWithState(run, f"provider {kind}, item_index long, outcome string, consecutive_failures int, cooldown_remaining int", "failures int, until long, reason string, kind string", "append", GroupStateTimeout.NoTimeout)
 
 
 def idempotent_jobs(requests: DataFrame) -> DataFrame:
@@ -60,3 +60,32 @@ def idempotent_jobs(requests: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["job_key", "request_id", "outcome", "job_ref"])
 
     return requests.groupBy("job_key").applyInPandasWithState(run, "job_key string, request_id long, outcome string, job_ref string", "first long", "append", GroupStateTimeout.NoTimeout)
+
+
+# The state that each operation leads to; "query" leads nowhere.
+TRANSITIONS = {"enqueue": "queued", "pause": "paused", "resume": "running", "cancel": "cancelled"}
+TERMINAL = ("cancelled", "succeeded", "failed")
+
+
+def job_transitions(requests: DataFrame) -> DataFrame:
+    """A job's state and progress after each request; a job begins with its first enqueue, and any state may follow any.
+
+    requests: job_key, request_id (rising), operation.  Requests before the first enqueue are not_found.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        job, percent = state.get if state.exists else (None, 0)
+        out = []
+        for request, operation in sorted((int(r.request_id), r.operation) for pdf in batches for r in pdf.itertuples(index=False)):
+            if job is None and operation != "enqueue":
+                out.append((key[0], request, "not_found", 0))
+                continue
+            if not (job is not None and operation == "enqueue"):  # a replayed enqueue answers with the job as it is
+                job = TRANSITIONS.get(operation, job)
+            percent = 100_000 if job in TERMINAL else percent
+            out.append((key[0], request, job, percent))
+        if job is not None:
+            state.update((job, percent))
+        yield pd.DataFrame(out, columns=["job_key", "request_id", "state", "percent_milli"])
+
+    return requests.groupBy("job_key").applyInPandasWithState(run, "job_key string, request_id long, state string, percent_milli int", "state string, percent_milli int", "append", GroupStateTimeout.NoTimeout)

@@ -16,9 +16,9 @@ def one(spark, column):
 @pytest.mark.parametrize(
     "name, number, route",
     [
-        ("[HD] ssni00644 1080p x264.mkv", "SSNI-644", "censored"),
-        ("/x/FC2-PPV-1234567.mp4", "FC2-1234567", "fc2"),
-        ("fc2ppv 1234567", "FC2-1234567", "fc2"),
+        ("[UHD] qzkw00917 2160p hevc.webm", "QZKW-917", "censored"),
+        ("/y/FC2-PPV-7004812.mkv", "FC2-7004812", "fc2"),
+        ("fc2ppv 7004812", "FC2-7004812", "fc2"),
         ("MDX0123", "MDX-123", "domestic"),
         ("MKY-HS-004", "MKY-HS-004", "domestic"),
         ("Studio.24.01.05.title.mp4", "STUDIO.24.01.05", "western"),
