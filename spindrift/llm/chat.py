@@ -1,16 +1,21 @@
 """Chat formatting of reply trees, in DataFrame operations only.
 
 A tree's messages point to the messages they answer.  Iterative self-joins
-enumerate the root-to-leaf paths: in each round a path segment takes on the
-segment above it, so a path of n messages is whole after log2(n) rounds.
-Branches are ranked by their mean score, and each chosen path is formatted as
-one conversation with the places that the loss covers.
+enumerate the root-to-leaf paths.  First ancestor pointers double: round k gives
+every message its ancestor 2^k places up, one row of fixed size a message.  Then,
+from the leaves alone and from the longest jump to the shortest, each entry of a
+path adds the one that many places above it, so a path of n messages is whole
+after log2(n) joins and nothing is made that is not on a path.  Branches are
+ranked by their mean score, and each chosen path is formatted as one conversation
+with the places that the loss covers.
 
 Defined results: null texts and roles are empty; a message whose parent is
-missing starts a path; messages on a cycle have no root and no leaf and belong
-to no path; of repeated messages of one id the smallest row counts; messages
-without an id are left out; an empty table gives no conversation.  Ties of the
-branch score go to the smaller leaf id.
+missing starts a path; messages on a cycle, and answers to them, have no root and
+belong to no path; of repeated messages of one id the smallest row counts;
+messages without an id are left out; an empty table gives no conversation; the
+table's other columns play no part.  Ties of the branch score go to the smaller
+leaf id.  A conversation is one text in the result, so its turns meet in one task
+at the end; until then the turns of a very long one are dealt like any others.
 """
 
 from __future__ import annotations
@@ -36,21 +41,38 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, rf"([\[<])\\(\\*){_BODY}", "$1$2$3")
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
 def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, path) of every root-to-leaf path; nodes: (tree, node, parent)."""
+    """(tree, leaf, node, position) of every root-to-leaf path, position from 0; nodes: (tree, node, parent)."""
     nodes = nodes.select("tree", "node", "parent")
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    state = nodes.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.col("n").alias("up"), F.array("node").alias("path"), F.lit(False).alias("dead"))
-    state = store(state, "paths")
-    while state.where("up is not null").limit(1).count():
-        above = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"), F.col("path").alias("head"), F.col("dead").alias("gone"))
+    linked = nodes.join(known, _same("tree", "t") & (F.col("parent") == F.col("n")), "left")
+    # up: the ancestor 2^k places above; depth: how far the root is, once it is known.
+    jumps = [store(linked.select("tree", "node", F.col("n").alias("up"), F.when(F.col("n").isNull(), F.lit(0).cast("long")).alias("depth")), "jumps")]
+    longest = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    while True:
+        last, step = jumps[-1], 1 << (len(jumps) - 1)
+        # What has no root within as many steps as its tree has messages hangs on a cycle.
+        if step > longest or not last.where("up is not null").limit(1).count():
+            break
+        above = last.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"), F.col("depth").alias("more"))
+        open_ = last.where("up is not null")
+        further = open_.join(above, _same("tree", "t") & (F.col("up") == F.col("n")), "left")
+        grown = further.select("tree", "node", F.col("further").alias("up"), F.coalesce("depth", F.col("more") + step).alias("depth"))
         # Only rows with something above them are joined; the others are done.
-        joined = state.where("up is not null").join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("further").alias("up"), F.concat("head", "path").alias("path"), (F.col("dead") | F.col("gone")).alias("dead"))
-        cyclic = F.col("dead") | (F.size(F.array_distinct("path")) < F.size("path"))
-        grown = joined.select("tree", "node", F.when(~cyclic, F.col("up")).alias("up"), F.when(cyclic, F.array("node")).otherwise(F.col("path")).alias("path"), cyclic.alias("dead"))
-        state = store(state.where("up is null").unionByName(grown), "paths")
+        jumps.append(store(last.where("up is null").unionByName(grown), "jumps"))
     answered = nodes.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
-    return state.where(~F.col("dead")).join(answered, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti").select("tree", F.col("node").alias("leaf"), "path")
+    leaves = jumps[-1].where("depth is not null").join(answered, _same("tree", "t") & (F.col("node") == F.col("p")), "left_anti")
+    entries = store(leaves.select("tree", F.col("node").alias("leaf"), "node", F.col("depth").alias("position")), "paths")
+    for k in range(len(jumps) - 2, -1, -1):
+        step = 1 << k
+        above = jumps[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        added = entries.where(F.col("position") >= step).join(above, _same("tree", "t") & (F.col("node") == F.col("n")))
+        entries = store(entries.unionByName(added.select("tree", "leaf", F.col("up").alias("node"), (F.col("position") - step).alias("position"))), "paths")
+    return entries
 
 
 def _piece() -> tuple[Column, Column, Column]:
@@ -74,7 +96,7 @@ def conversations(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     columns = ["parent", "role", "text", "score"]
     nodes = nodes.where("node is not null").groupBy("tree", "node").agg(F.min(F.struct(*columns)).alias("row")).select("tree", "node", *(F.col(f"row.{c}").alias(c) for c in columns))
     nodes = store(nodes.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))}), "messages")
-    turns = paths(nodes).select(F.col("tree").alias("t"), "leaf", F.posexplode("path").alias("position", "n"))
+    turns = paths(nodes).select(F.col("tree").alias("t"), "leaf", "position", F.col("node").alias("n"))
     turns = turns.join(nodes, F.col("t").eqNullSafe(F.col("tree")) & (F.col("n") == F.col("node")))
     piece, start, size = _piece()
     turns = turns.select("tree", "leaf", "position", (F.col("role") == "assistant").alias("loss"), F.coalesce("score", F.lit(0.0)).alias("score"), piece.alias("piece"), start.alias("start"), size.alias("size"))
@@ -126,10 +148,22 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(parts, turn)
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """The pieces of a formatted conversation that its spans cover, in order.
+
+    Assistants' texts stand between their marks, which no text can hold, so one
+    pass finds them all; a span of another length is cut out by its place.
+    """
+    head, tail = MARKS["assistant"]
+    found = F.regexp_extract_all(formatted, F.lit(rf"(?s)\Q{head}\E(.*?)\Q{tail}\E"), F.lit(1))
+    cut = lambda s: F.substring(formatted, s["start"].cast("int"), s["size"].cast("int"))
+    return F.when(F.size(found) == F.size(spans), F.zip_with(found, spans, lambda x, s: F.when(F.length(x) == s["size"], x).otherwise(cut(s)))).otherwise(F.transform(spans, cut))
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """What is read back from formatted conversations: the digest columns of the query."""
     turns = read_turns(F.col("formatted"))
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring("formatted", s["start"].cast("int"), s["size"].cast("int")))), "")
+    loss = F.array_join(F.transform(masked(F.col("formatted"), F.col("loss_spans")), unescape), "")
     read = formatted.select(F.col("tree").alias("conv_id"), F.size(turns).cast("long").alias("n_turns"), said.alias("said"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return read.select("conv_id", "n_turns", F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,12 @@ ARROW_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that Python workers receive."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bound the session's Arrow batches to what Python workers can hold; smaller bounds of the caller's stay."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        own = re.match(r"[0-9]+$", spark.conf.get(key, None) or "")
+        if not own or not 0 < int(own[0]) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
@@ -31,11 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is made and remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``.  Where it is unset, a local
+    session (tests) gets a temporary folder; on a cluster that would be each
+    machine's own disk, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,10 +7,11 @@ suffixes at such anchors; an anchor stands for the run of windows that pick it.
 
 1. Blocks of texts ask for the corpus counts of their anchors' seeds and of the
    anchors' whole contexts.  A context that occurs twice makes all its windows
-   repeated; an anchor whose seed occurs once has none; the others stay open.
+   repeated, without being sorted (counted by 64-bit hashes); an anchor whose seed
+   occurs once has none; the others stay open.
 2. Open anchors' suffixes, with one witness of each repeated context, are range
-   partitioned by their leading bytes with sampled splitters.  Seeds with very
-   many suffixes are dealt over several buckets.
+   partitioned by their leading bytes and their seed with sampled splitters.
+   Seeds with very many suffixes are dealt over several buckets.
 3. A bucket sorts its suffixes by multikey quicksort, eight bytes at a time.
    Neighbours' common prefixes make the ranges within which windows are equal
    to the right of the anchor; equal left sides within a range are repeats.
@@ -18,9 +19,11 @@ suffixes at such anchors; an anchor stands for the run of windows that pick it.
    compared across bucket borders.
 5. The covered bytes of each text are removed together.
 
-Strings are judged on the input; matches never cross texts.  Null and empty
-texts have no bytes; texts under ``length`` bytes lose none; exact copies of
-longer texts lose all; an empty table gives an empty result.
+Strings are judged on the input; matches never cross texts.  Defined results:
+null and empty texts have no bytes; texts under ``length`` bytes lose none; exact
+copies of longer texts, and rows that repeat, lose all; a doc_id that several
+rows have gives each its row; very long texts are read whole; the table's other
+columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -222,22 +225,28 @@ def suffixes(blocks: DataFrame, s: Settings) -> DataFrame:
 
 
 def multikey_order(table: np.ndarray) -> np.ndarray:
-    """Rows of big-endian words in ascending order: multikey quicksort, all open ranges of a word at once."""
-    order = np.arange(len(table))
-    group = np.zeros(len(table), np.int64)
-    open_ = np.arange(len(table))
-    for word in range(table.shape[1]):
-        if not len(open_):
-            break
-        # Rows in open_ stand in places of their group; the next word orders them there.
-        ids = order[open_]
-        by = np.lexsort((table[ids, word], group[open_]))
-        order[open_] = ids[by]
-        values, own = table[order[open_], word], group[open_]
-        border = np.concatenate([[True], (own[1:] != own[:-1]) | (values[1:] != values[:-1])])
-        group[open_] = open_[np.maximum.accumulate(np.where(border, np.arange(len(open_)), 0))]
-        same = np.concatenate([~border[1:], [False]]) | ~border
-        open_ = open_[same]
+    """Rows of big-endian words in ascending order, by multikey quicksort, all open ranges at once.
+
+    In each round every open range is split in three by the word of its middle
+    row: less, equal, greater; the equal part goes on with the next word.
+    """
+    rows, width = table.shape
+    order, start = np.arange(rows), np.zeros(rows, np.int64)
+    size, depth = np.full(rows, rows), np.zeros(rows, np.int64)
+    open_ = np.arange(rows) if rows > 1 and width else np.zeros(0, np.int64)
+    while len(open_):
+        words_ = table[order[open_], depth[open_]]
+        first = np.searchsorted(open_, start[open_])  # open ranges are whole, so their places are too
+        pivot = words_[first + size[open_] // 2]
+        side = np.where(words_ < pivot, 0, np.where(words_ == pivot, 1, 2))
+        by = np.argsort(start[open_] * 3 + side, kind="stable")
+        order[open_] = order[open_][by]
+        part = (start[open_] * 3 + side)[by]
+        depth[open_] = depth[open_][by] + (side[by] == 1)
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        length = np.diff(np.append(edge, len(open_)))
+        start[open_], size[open_] = np.repeat(open_[edge], length), np.repeat(length, length)
+        open_ = open_[(size[open_] > 1) & (depth[open_] < width)]
     return order
 
 
@@ -338,7 +347,9 @@ def deduplicate(docs: DataFrame, s: Settings = Settings(), with_text: bool = Fal
     found = store(suffixes(blocks, s), "suffixes")
     open_ = found.where("bytes is not null").drop("covers")
     buckets = 1 + open_.count() // s.bucket
-    dealt = open_.repartitionByRange(buckets, "lead", "salt")  # splitters are sampled
+    # Splitters are sampled.  Windows are equal only if their seeds are, so very many seeds behind
+    # one lead are dealt apart, and of one seed the parts that its salts make.
+    dealt = open_.repartitionByRange(buckets, "lead", "seed", "salt")
     sorted_ = store(repeats(dealt, s), "repeats")
     crossing = sorted_.where("key is not null")
     twice = crossing.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")

@@ -107,6 +107,39 @@ def test_chat_trees_branch_and_rank(spark):
     assert chat.conversations(nodes.limit(0)).count() == 0
 
 
+def test_chat_paths_of_long_and_bushy_trees(spark):
+    rng = random.Random(9)
+    rows = [("long", i, i - 1 if i else None) for i in range(3000)] + [("bush", i, rng.randrange(i) if i else None) for i in range(400)]
+    rows += [("ring", i, (i + 1) % 7) for i in range(7)] + [("ring", 20, 3), ("ring", 30, None), ("ring", 31, 30), ("self", 1, 1)]
+    got = collections.defaultdict(dict)
+    paths = chat.paths(spark.createDataFrame(rows, "tree string, node long, parent long").repartition(5))
+    for r in paths.collect():
+        assert r.position not in got[r.tree, r.leaf], "each place of a path once"
+        got[r.tree, r.leaf][r.position] = r.node
+    expected = {}
+    up = {(t, n): p for t, n, p in rows}
+    for t in ("long", "bush"):
+        for n in {n for x, n, _ in rows if x == t} - {p for x, _, p in rows if x == t}:
+            path = [n]
+            while up[t, path[-1]] is not None:
+                path.append(up[t, path[-1]])
+            expected[t, n] = dict(enumerate(reversed(path)))
+    assert got == expected | {("ring", 31): {0: 30, 1: 31}}
+
+
+def test_chat_with_clashing_columns_and_long_texts(spark):
+    text = "</s>" * 50_000
+    rows = [(1, 0, "user", text, "x", 1), (1, 1, "assistant", text, "y", 2), (1, 2, "assistant", "", None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tree string, rank int")
+    r = chat.digests(chat.conversations(chat.chain(df))).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (3, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_chat_mask_by_place(spark):
+    r = spark.createDataFrame([("<s>[OUT]ab</s>", [(9, 1)])], "f string, s array<struct<start:long,size:long>>").select(chat.masked(F.col("f"), F.col("s")).alias("x")).first()
+    assert r.x == ["a"]
+
+
 def test_language_model_counts(spark, docs, texts, nothing):
     got = {r.doc_id: r for r in language_model.score(docs, language_model.Settings(block=500, bucket=300)).collect()}
     c = collections.Counter(w for i, t in enumerate(texts) if FOLD(i) != 1 for w in [*tokens(t), None])
