@@ -8,10 +8,13 @@
    they share one among each one's rarest ``size - needed + 1``: only those
    enter the inverted lists.  For sketches that hold the whole set ``needed``
    is exact; for others it lies six standard deviations of the hypergeometric
-   overlap below its mean, which loses a link with a probability under 1e-7.
+   overlap below its mean, which loses a link with a probability under 1e-7
+   (``Settings(slack=None)`` takes every retained value and loses none that
+   shares one).
 3. Lists of up to ``small`` classes give all their pairs.  The members of longer
-   lists are dealt into blocks, and pairs of blocks are compared set against
-   set; a spanning forest of what is similar is all that leaves a task.
+   lists are parted by set size and dealt into blocks.  Blocks are compared set
+   against set, first with a few pivots, then only where two components can still
+   be joined; a spanning forest of what is similar is all that leaves a task.
 4. The union sketch of a pair estimates its similarity and drops clear misses;
    the exact Jaccard similarity of the full sets decides.
 5. Connected components by least labels over the confirmed links.
@@ -55,6 +58,10 @@ class Settings:
     #: Rows and bytes of sets in a block of a long list's group.
     block_rows: int = 256
     block_bytes: int = 4 << 20
+    #: About how many sets of a group's band all its blocks are compared with first.
+    pivots: int = 64
+    #: Standard deviations of slack for sets larger than the sketch; None: no set is left to chance.
+    slack: float | None = 6.0
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +111,11 @@ def needed(n: int, s: Settings) -> int:
     t = s.numerator / s.denominator
     if n * s.denominator <= s.numerator * s.k:
         return -(-n * s.numerator // s.denominator)
+    if s.slack is None:
+        return 1
     union = n / t
     spread = math.sqrt(s.k * t * (1 - t) * max(0.0, (union - s.k) / (union - 1)))
-    return max(1, int(min(n, s.k) * t - 6 * spread - 1))
+    return max(1, int(min(n, s.k) * t - s.slack * spread - 1))
 
 
 def _width(x: np.ndarray) -> bytes:
@@ -233,9 +242,10 @@ class Verifier:
                     yield pa.RecordBatch.from_arrays([pa.array([sigs[i] for i in keep], pa.binary()), pa.array([_width(values[start[i] : start[i] + n[i]]) for i in keep], pa.binary())], names=["sig", "values"])
 
         # One document of each class that could be compared, by its id; sketches of small sets are whole.
+        # A class without any id fetches the texts of all rows without one.
         large = self.sketches.where(F.col("n") > s.k).select("sig")
-        chosen = members(blocks).join(large, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-        texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen.distinct(), "doc_id", "left_semi")
+        chosen = members(blocks).join(large, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("chosen")).select("chosen").distinct()
+        texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
         self.sets = store(texts.select("text").mapInArrow(sets, "sig binary, values binary").groupBy("sig").agg(F.first("values").alias("values")), "shingle-sets")
 
     def _judge(self, pairs: DataFrame, table: DataFrame, column: str, exact: bool) -> DataFrame:
@@ -244,7 +254,7 @@ class Verifier:
         both = pairs.join(own.withColumnsRenamed({"sig": "a", "x": "xa"}), "a").join(own.withColumnsRenamed({"sig": "b", "x": "xb"}), "b")
 
         def run(batches):
-            slack = 6 * math.sqrt(s.k * s.numerator / s.denominator * (1 - s.numerator / s.denominator)) + 1
+            slack = s.k if s.slack is None else s.slack * math.sqrt(s.k * s.numerator / s.denominator * (1 - s.numerator / s.denominator)) + 1
             for batch in batches:
                 keep, sure = [], []
                 for a, b, n_a, n_b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -316,28 +326,72 @@ def links(docs: DataFrame, blocks: DataFrame, s: Settings) -> tuple[DataFrame, D
     return classes, components(nodes, confirmed)
 
 
+def bands(members_: DataFrame, s: Settings) -> DataFrame:
+    """Adds band: sets that are similar lie in the same band of sizes or in neighbouring ones."""
+    width = -math.log(s.numerator / s.denominator) * (1 + 1e-9) if s.numerator < s.denominator else 1e-9
+    return members_.withColumn("band", F.floor(F.log(F.octet_length("x") / 7) / width).cast("long"))
+
+
+def _blocks(rows: DataFrame, s: Settings, *kinds: str) -> DataFrame:
+    """Adds block: each group, band (and kind) dealt by a hash into blocks of bounded rows and bytes."""
+    key = ["group", "band", *kinds]
+    size = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.sum(F.octet_length("x").cast("long")).alias("bytes"))
+    n = F.greatest(F.ceil(F.col("rows") / s.block_rows), F.ceil(F.col("bytes") / s.block_bytes))
+    few = F.greatest(F.ceil(F.col("rows") / s.pivots), F.ceil(F.col("bytes") / s.block_bytes))
+    dealt = rows.join(size.select(*key, n.cast("int").alias("blocks"), few.cast("long").alias("few")), key)
+    return dealt.withColumns({"block": F.pmod(F.hash("sig"), F.col("blocks")), "pivot": F.pmod(F.xxhash64("sig"), F.col("few")) == 0}).drop("few")
+
+
+def first_round(members_: DataFrame, s: Settings) -> DataFrame:
+    """(task, sig, x): every block of a group's band with the pivots of its band and of both neighbours."""
+    dealt = _blocks(members_, s)
+    own = dealt.select(F.struct("group", "band", "block").alias("task"), "sig", "x")
+    near = F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("at")
+    blocks = dealt.select("group", F.col("band").alias("at"), "block").distinct()
+    pivots = dealt.where("pivot").select("group", "sig", "x", near).join(blocks, ["group", "at"])
+    return own.unionByName(pivots.select(F.struct("group", F.col("at").alias("band"), "block").alias("task"), "sig", "x"))
+
+
+def second_round(members_: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
+    """(task, sig, x): pairs of blocks that can hold a link between components; labels: (sig, label).
+
+    A group's largest component is settled, its members need no comparison with
+    each other.  The others' blocks meet all blocks of near sizes.
+    """
+    named = members_.join(labels, "sig")
+    top = named.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "label")).alias("top"))
+    rest = named.join(top, "group").withColumn("kind", (F.col("label") != F.col("top.label")).cast("int")).drop("top", "label")
+    open_ = rest.where("kind = 1").select("group").distinct()
+    dealt = _blocks(rest.join(open_, "group", "left_semi"), s, "kind").withColumn("own", F.struct("band", "kind", "block"))
+    blocks = dealt.select("group", "own").distinct()
+    a, b = blocks.select("group", F.col("own").alias("a")), blocks.select("group", F.col("own").alias("b"))
+    met = a.join(b, "group").where((F.col("a") <= F.col("b")) & ((F.col("a.kind") == 1) | (F.col("b.kind") == 1)) & (F.abs(F.col("a.band") - F.col("b.band")) <= 1))
+    asked = met.select(F.struct("group", "a", "b").alias("task"), "group", F.explode(F.array_distinct(F.array("a", "b"))).alias("own"))
+    return dealt.join(asked, ["group", "own"]).select("task", "sig", "x")
+
+
 def blockwise_links(nodes: DataFrame, long: DataFrame, verifier: Verifier, s: Settings) -> DataFrame:
     """Links among the members of long lists, which several lists usually have in common.
 
-    Lists with common members make one group.  A group is dealt into blocks of
-    bounded size by a hash, and each pair of blocks is compared at once, set
-    against set; only a spanning forest of what is similar leaves a task, so
-    neither all pairs of a group nor the whole group is ever in one place.
+    Lists with common members make one group, and a group is parted into bands by
+    set size.  In a first round each block of a band is compared with itself and
+    with the band's few pivots, so a large group of alike sets becomes one
+    component with one copy of each set.  In a second round only pairs of blocks
+    are compared that can join two components.  Sets are compared whole (the
+    union sketches' estimate would save nothing here); only a spanning forest of
+    what is similar leaves a task, so neither all pairs of a group nor the whole
+    group is ever in one place.
     """
     heads = long.groupBy("value").agg(F.min("sig").alias("a"))
     star = long.join(heads, "value").where(F.col("a") != F.col("sig")).select("a", F.col("sig").alias("b")).distinct()
-    own = long.select("sig").distinct()
-    groups = components(nodes.join(own, "sig", "left_semi"), star).select("sig", F.col("label.sig").alias("group"))
-    members_ = store(groups.join(verifier._whole(), "sig"), "long-members")
-    sizes = members_.groupBy("group").agg(F.count("*").alias("rows"), F.sum(F.octet_length("x")).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("rows") / s.block_rows), F.ceil(F.col("bytes") / s.block_bytes)).cast("int")
-    dealt = members_.join(sizes.select("group", blocks.alias("blocks")), "group").withColumn("mine", F.pmod(F.hash("sig"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "sig", "x")
+    own = store(nodes.join(long.select("sig").distinct(), "sig", "left_semi"), "long-nodes")
+    groups = components(own, star).select("sig", F.col("label.sig").alias("group"))
+    members_ = store(bands(groups.join(verifier._whole(), "sig"), s), "long-members")
 
     def compare(found: pa.Table) -> pa.Table:
-        sets = [_wide(x) for x in found["x"].to_pylist()]
-        sigs = found["sig"].to_pylist()
+        sigs, at = np.unique(np.array(found["sig"].to_pylist(), object), return_index=True)
+        sets = [_wide(found["x"][i].as_py()) for i in at.tolist()]
+        sigs = sigs.tolist()
         n = np.array([len(x) for x in sets])
         _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), n)
@@ -365,7 +419,10 @@ def blockwise_links(nodes: DataFrame, long: DataFrame, verifier: Verifier, s: Se
         far = np.flatnonzero(label != np.arange(len(sets)))
         return pa.table([pa.array([sigs[k] for k in label[far]], pa.binary()), pa.array([sigs[k] for k in far], pa.binary())], names=["a", "b"])
 
-    return store(dealt.groupBy("group", "i", "j").applyInArrow(compare, "a binary, b binary").distinct(), "long-links")
+    run = lambda dealt: store(dealt.groupBy("task").applyInArrow(compare, "a binary, b binary").distinct(), "long-links")
+    first = run(first_round(members_, s))
+    joined = components(own, first).select("sig", F.col("label.sig").alias("label"))
+    return first.unionByName(run(second_round(members_, joined, s)))
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -189,6 +189,42 @@ def test_near_duplicates(docs, texts, small, k, numerator):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), label[i], label[i] == i) for i in range(len(texts))}
 
 
+def test_near_duplicates_without_slack_and_against_real_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    sets, label = brute_components([texts[i] for i in ids], 85)
+    for s in (near_duplicates.Settings(slack=None, k=16), near_duplicates.Settings()):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs, s).collect()}
+        assert got == {i: (len(sets[k]), ids[label[k]]) for k, i in enumerate(ids)}
+
+
+def test_a_long_list_of_alike_sets_is_copied_few_times(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 1 << 54, 200, dtype=np.uint64)
+    rows = []
+    for i in range(10_000):
+        own = base.copy()
+        own[rng.integers(0, 200, 4)] = rng.integers(1, 1 << 54, 4, dtype=np.uint64)
+        rows.append((i.to_bytes(16, "big"), b"g", near_duplicates._width(np.unique(own))))
+    s = near_duplicates.Settings()
+    members = near_duplicates.bands(spark.createDataFrame(rows, "sig binary, group binary, x binary"), s).persist()
+    first = near_duplicates.first_round(members, s).groupBy("task").count().collect()
+    assert sum(r["count"] for r in first) < 2.5 * len(rows) and max(r["count"] for r in first) < 700
+    label = members.select("sig", F.lit(b"a").alias("label"))
+    assert near_duplicates.second_round(members, label, s).count() == 0
+    some = members.select("sig", F.when(F.col("sig") < F.lit(bytes(14) + b"\x00\x64"), F.col("sig")).otherwise(F.lit(b"z")).alias("label"))
+    assert near_duplicates.second_round(members, some, s).count() < 4 * len(rows), "a hundred open sets make one more block a band"
+    members.unpersist()
+
+
+def test_near_duplicates_of_long_texts_without_ids(spark):
+    words_ = [f"w{i}" for i in range(400)]
+    rows = [(None, " ".join(words_)), (None, " ".join([*words_, "x"])), (5, " ".join(["y", *words_])), (9, "z")]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.component_id for r in sorted(got, key=lambda r: -r.n_shingles)] == [5, 5, 5, 9]
+
+
 def test_near_duplicates_edges(spark, docs, nothing):
     assert near_duplicates.near_duplicates(nothing).count() == 0
     assert near_duplicates.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "z")], "doc_id long, text string")).count() == 2
