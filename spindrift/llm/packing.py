@@ -12,13 +12,16 @@
    of equal length, which is counted per partition and summed, so no task ever
    sees all pieces of a length.
 
-Null and empty texts make one piece, the end id alone.  Repeated rows are
-packed each.  An empty table gives an empty result.
+Defined results: null and empty texts make one piece, the end id alone; repeated
+rows are packed each; very long texts are encoded whole and cut; the table's
+other columns play no part; pieces of equal length take their places in any
+order; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 from dataclasses import dataclass
@@ -49,12 +52,12 @@ class Settings:
 class Encoder:
     """Token ids of whole texts, with a memory of the runs of characters seen.
 
-    A run is white space with the other characters after it.  The vocabulary's
-    splitting rule never joins text across the start of a run, so a run's ids
-    do not depend on its surroundings.  Texts with white space outside ASCII
-    are encoded whole.  The rank file's merges give the same ids as the
-    tokenizer file's, and faster; without a rank file the tokenizer itself
-    encodes.
+    A run is white space with the other characters after it.  A vocabulary that
+    splits by SPLIT never joins text across the start of a run, so a run's ids do
+    not depend on its surroundings; if it has a rank file beside it, whose merges
+    give the same ids, that encodes the runs, as it is faster.  Texts with white
+    space outside ASCII, and all texts of vocabularies that split otherwise, are
+    encoded whole.
 
     special: texts that hold one of the tokenizer file's added tokens are encoded
     whole by the tokenizer, which gives that token's own id; else such strings
@@ -62,30 +65,27 @@ class Encoder:
     """
 
     def __init__(self, path: str, remembered: int, special: bool = False):
-        self.added: list[bytes] = []
-        if special:
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_file(path)
-            self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.encode() for t in added] if special else []
+        plain = Tokenizer.from_file(path)
+        plain.encode_special_tokens = True
+        self.plain = lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.by_runs, self.bytes_of = splits_by_runs(path), None
         rank_file = path.removesuffix(".json") + ".tiktoken"
-        if os.path.exists(rank_file):
+        if self.by_runs and os.path.exists(rank_file):
             import tiktoken
 
             with open(rank_file, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-            self.plain = encoding.encode_to_numpy
-            self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
-            for token, number in ranks.items():
-                self.bytes_of[number] = len(token)
-        else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self.plain = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            self.bytes_of = None
+            if len(ranks) + len(added) == plain.get_vocab_size():
+                encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+                self.plain = encoding.encode_to_numpy
+                self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+                for token, number in ranks.items():
+                    self.bytes_of[number] = len(token)
         self.most = remembered
         self.forget()
 
@@ -138,7 +138,7 @@ class Encoder:
             self.forget()
         n = len(offsets) - 1
         added = self._holds_added(data, offsets)
-        whole = odd_space(data, offsets) | added
+        whole = odd_space(data, offsets) | added if self.by_runs else np.ones(n, bool)
         starts = np.zeros(0, np.int64)
         if len(data):
             blank = SPACE[data]
@@ -174,6 +174,15 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(lengths)])
 
 
+def splits_by_runs(path: str) -> bool:
+    """Whether a tokenizer file takes texts as they are and splits them by SPLIT."""
+    with open(path, encoding="utf-8") as file:
+        settings = json.load(file)
+    split = settings.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    return plain and settings.get("normalizer") is None and settings["model"].get("type") == "BPE" and not settings["model"].get("dropout")
+
+
 def odd_space(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Which texts have white space outside ASCII."""
     found = np.zeros(len(offsets) - 1, bool)
