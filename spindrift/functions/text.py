@@ -10,11 +10,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"(?U)\s+"
-
-
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: All characters that are white space in Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -26,7 +23,7 @@ def ascii_upper(c: Column) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c.cast("string"), F.lit(WHITE))
 
 
 def collapsed(c: Column) -> Column:
@@ -45,7 +42,7 @@ def normalize_title(c: Column) -> Column:
 
 
 def normalize_search_title(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", " ")), " +", " "))
+    return F.trim(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")))
 
 
 def strip_qualifiers(c: Column) -> Column:

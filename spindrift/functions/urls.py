@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_lower, let, trimmed
+from .text import ascii_lower, trimmed
 
 # Link types in their declared order, and the hosts of each (exact or as a dotted suffix).
 LINK_TYPES = ("aliyun", "baidu", "quark", "tianyi", "uc", "mobile", "115", "pikpak", "xunlei", "123", "magnet", "ed2k", "web", "other")
@@ -27,38 +27,43 @@ ALIASES = {"ali": "aliyun", "189": "tianyi", "139": "mobile", "123pan": "123", "
 FORBIDDEN = ("bearer", "source_locator", "file://", "local://")
 
 
-def normalize_url(c: Column) -> Column:
-    """Trimmed, fragment cut; peer-to-peer links all lower case, others in scheme and authority."""
-    form = r"(?s)^(.*?)://([^/?]*)(.*)$"
+def without_fragment(c: Column) -> Column:
+    return trimmed(F.substring_index(trimmed(c), "#", 1))
+
 
-    def of(u: Column) -> Column:
-        low = ascii_lower(u)
-        whole = F.concat(ascii_lower(F.regexp_extract(u, form, 1)), F.lit("://"), ascii_lower(F.regexp_extract(u, form, 2)), F.regexp_extract(u, form, 3))
-        return F.when(u == "", None).when(low.startswith("magnet:?") | low.startswith("ed2k://"), low).when(u.contains("://"), whole).otherwise(u)
+def normalized(u: Column) -> Column:
+    """The normal form of an address that is trimmed and has no fragment: peer-to-peer links all lower case, others in scheme and authority."""
+    low = ascii_lower(u)
+    at = F.instr(u, "://")
+    rest = F.substring(u, at + 3, F.length(u))
+    authority = F.regexp_extract(rest, "^[^/?]*", 0)
+    whole = F.concat(ascii_lower(F.substring(u, F.lit(1), at + 2)), ascii_lower(authority), F.substring(rest, F.length(authority) + 1, F.length(rest)))
+    return F.when(u == "", None).when(low.startswith("magnet:?") | low.startswith("ed2k://"), low).when(at > 0, whole).otherwise(u)
 
-    return let(trimmed(F.split(trimmed(c), "#")[0]), of)
+
+def normalize_url(c: Column) -> Column:
+    return normalized(without_fragment(c))
 
 
 def host(c: Column) -> Column:
     authority = F.regexp_extract(c, r"(?s)^.*?://([^/?#]*)", 1)
-    name = trimmed(F.regexp_extract(F.regexp_replace(authority, "^.*@", ""), "^([^:]*)", 1))
-    return F.nullif(name, F.lit(""))
+    return F.nullif(trimmed(F.substring_index(F.substring_index(authority, "@", -1), ":", 1)), F.lit(""))
+
+
+def type_of(low: Column, name: Column) -> Column:
+    """The class of an address in lower case, whose host is ``name``."""
+    out = F.when(low.startswith("magnet:?"), "magnet").when(low.startswith("ed2k://"), "ed2k").when(name.isNull(), "other")
+    for kind, hosts in HOSTS.items():
+        test = F.lit(False)
+        for suffix in hosts:
+            test = test | (name == suffix) | name.endswith(f".{suffix}")
+        out = out.when(test, kind)
+    return out.otherwise("web")
 
 
 def link_type(c: Column) -> Column:
-    def by_host(h: Column) -> Column:
-        out = F.when(h.isNull(), "other")
-        for name, hosts in HOSTS.items():
-            test = F.lit(False)
-            for suffix in hosts:
-                test = test | (h == suffix) | h.endswith(f".{suffix}")
-            out = out.when(test, name)
-        return out.otherwise("web")
-
-    def of(low: Column) -> Column:
-        return F.when(low.startswith("magnet:?"), "magnet").when(low.startswith("ed2k://"), "ed2k").otherwise(let(host(low), by_host))
-
-    return let(ascii_lower(trimmed(c)), of)
+    low = ascii_lower(trimmed(c))
+    return type_of(low, host(low))
 
 
 def parse_link_type(c: Column) -> Column:

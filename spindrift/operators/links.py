@@ -9,20 +9,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import ascii_lower
-from spindrift.functions.urls import LINK_TYPES, link_type, normalize_url
+from spindrift.functions.text import ascii_lower, trimmed
+from spindrift.functions.urls import LINK_TYPES, host, normalized, type_of, without_fragment
 
 
 def typed(rows: DataFrame, link_types: list[str] | None = None) -> DataFrame:
     """Adds normalized_url and link_type; links of other types, and results without links, are gone."""
-    rows = rows.withColumns({"normalized_url": normalize_url(F.col("url")), "link_type": link_type(F.col("url")), "url": F.trim("url")}).where("normalized_url is not null")
+    # Each step names the one before several times, so each is a projection of its own.
+    rows = rows.withColumn("url", trimmed(F.col("url"))).withColumns({"_plain": without_fragment(F.col("url")), "_low": ascii_lower(F.col("url"))})
+    rows = rows.where("_plain <> ''").withColumns({"normalized_url": normalized(F.col("_plain")), "_host": host(F.col("_low"))})
+    rows = rows.withColumn("link_type", type_of(F.col("_low"), F.col("_host"))).drop("_plain", "_low", "_host")
     return rows.where(F.col("link_type").isin(*link_types)) if link_types else rows
 
 
-def best(rows: DataFrame, limit: int, most: int = 100) -> DataFrame:
-    """Links of the best results: score, then title and id; the limit lies between 1 and ``most``."""
-    results = rows.select("score", "title", "id").distinct().orderBy(F.col("score").desc(), "title", "id").limit(max(1, min(limit, most)))
-    return rows.join(F.broadcast(results.select("id")), "id", "left_semi")  # at most ``most`` rows
+def best(rows: DataFrame, limit: int, link_types: list[str] | None = None, most: int = 100) -> DataFrame:
+    """Typed links of the best results: score, then title and id; the limit lies between 1 and ``most``.
+
+    Only results that have a wanted link count.  They are found first; then the
+    links of those alone are typed for the result.
+    """
+    # Whether a result has a wanted link is aggregated, not filtered: a filter on the type would be
+    # pushed below the steps that make it and repeat them for every host.
+    wanted = F.max(F.col("link_type").isin(*link_types) if link_types else F.lit(True)).alias("wanted")
+    found = typed(rows).groupBy("score", "title", "id").agg(wanted).where("wanted")
+    results = found.orderBy(F.col("score").desc(), "title", "id").limit(max(1, min(limit, most)))
+    return typed(rows.join(F.broadcast(results.select("id")), "id", "left_semi"), link_types)  # at most ``most`` rows
 
 
 def merged(rows: DataFrame) -> DataFrame:

@@ -20,10 +20,13 @@ DELTAS = {
 MOST = 12
 
 
-def title_match(query: Column, titles: Column) -> Column:
-    """titles: the candidate's title, original title, sort title and alternates, in this order."""
+def title_match(query: Column, titles: Column, normal: Column | None = None) -> Column:
+    """titles: the candidate's title, original title, sort title and alternates, in this order.
+
+    normal: the query's normal form where it is known already.
+    """
     there = F.filter(titles, lambda t: t.isNotNull() & (trimmed(t) != ""))
-    normal = normalize_title(query)
+    normal = normalize_title(query) if normal is None else normal
     return (
         F.when(F.size(there) == 0, "missing_candidate").when(F.exists(there, lambda t: t == query), "exact")
         .when(F.exists(there, lambda t: normalize_title(t) == normal), "normalized").otherwise("mismatch")
@@ -58,30 +61,38 @@ def delta(kind: str, outcome: Column) -> Column:
     return out
 
 
-def scored(pairs: DataFrame) -> DataFrame:
-    """Adds the four outcomes, community bonus, confidence_milli and reasons.
+PARTS = {"title": "title_outcome", "year": "year_outcome", "external_id": "id_outcome", "language": "language_outcome"}
+
+
+def outcomes(pairs: DataFrame) -> DataFrame:
+    """Adds the four outcomes, the community bonus and confidence_milli.
 
     pairs: query_title, query_year, query_language, query_ids; titles, year,
-    language, ids, score_milli, votes.
+    language, ids, score_milli, votes; query_normal, the title's normal form, if known.
     """
-    out = pairs.withColumns(
-        {
-            "title_outcome": title_match(F.col("query_title"), F.col("titles")),
-            "year_outcome": year_match(F.col("query_year"), F.col("year")),
-            "id_outcome": external_id_match(F.col("query_ids"), F.col("ids")),
-            "language_outcome": language_match(F.col("query_language"), F.col("language")),
-            "community": community_bonus(F.col("score_milli"), F.col("votes")),
-        }
-    )
-    parts = {"title": "title_outcome", "year": "year_outcome", "external_id": "id_outcome", "language": "language_outcome"}
+    normal = F.col("query_normal") if "query_normal" in pairs.columns else None
+    out = pairs.withColumns({
+        "title_outcome": title_match(F.col("query_title"), F.col("titles"), normal), "year_outcome": year_match(F.col("query_year"), F.col("year")),
+        "id_outcome": external_id_match(F.col("query_ids"), F.col("ids")), "language_outcome": language_match(F.col("query_language"), F.col("language")),
+        "community": community_bonus(F.col("score_milli"), F.col("votes")),
+    })
     total = F.lit(BASE) + F.col("community")
-    for kind, column in parts.items():
+    for kind, column in PARTS.items():
         total = total + delta(kind, F.col(column))
+    return out.withColumn("confidence_milli", F.greatest(F.lit(0), F.least(F.lit(1000), total)).cast("int"))
+
+
+def with_reasons(rows: DataFrame) -> DataFrame:
+    """Adds the reasons that the outcomes stand for."""
     reasons = [F.format_string("base:base:%d", F.lit(BASE))]
-    for kind, column in parts.items():
+    for kind, column in PARTS.items():
         reasons.append(F.when(F.col(column).isin(*DELTAS[kind]), F.concat_ws(":", F.lit(kind), F.col(column), delta(kind, F.col(column)).cast("string"))))
     reasons.append(F.when(F.col("community") > 0, F.concat(F.lit("community_score:boost:"), F.col("community").cast("string"))))
-    return out.withColumns({"confidence_milli": F.greatest(F.lit(0), F.least(F.lit(1000), total)).cast("int"), "reasons": F.array_compact(F.array(*reasons))})
+    return rows.withColumn("reasons", F.array_compact(F.array(*reasons)))
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    return with_reasons(outcomes(pairs))
 
 
 def ranked(pairs: DataFrame, query_key: str = "query_id", most: int = MOST) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,17 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share, which ``spark.checkpoint.dir`` names."""
+    """A fresh path in the folder that all executors share, which ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local session gets a temporary folder of its own; on a
+    cluster that would be each machine's own disk, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spindrift-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -29,7 +37,8 @@ def clusters(ids: DataFrame) -> DataFrame:
     ids: (fact, id), one row for each identifier of a fact.  Least labels go
     from facts to identifiers and back, and labels take on their own label's
     label, so the rounds grow with the logarithm of a chain.  An identifier
-    that very many facts have is reduced by partial aggregation.
+    that very many facts have is reduced by partial aggregation; in the joins that
+    follow it meets one row of the other side, and adaptive execution splits it.
     """
     pairs = stored(ids.where("id is not null").select("fact", "id").distinct(), "id-pairs")
     labels = stored(ids.select("fact").distinct().withColumn("cluster", F.col("fact")), "labels")

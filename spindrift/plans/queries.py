@@ -97,7 +97,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 100 results with links of the wanted types, their links merged (the limit is the feature)."""
     wanted = ["quark", "aliyun", "magnet", "ed2k", "web"]
-    return links.merged(links.best(links.typed(_results(spark, sf_dir), wanted), 100)).select("normalized_url", "url", "link_type", F.array_join("sources", ",").alias("sources"))
+    return links.merged(links.best(_results(spark, sf_dir), 100, wanted)).select("normalized_url", "url", "link_type", F.array_join("sources", ",").alias("sources"))
 
 
 def link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def _candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as queries, their lines as candidates of suppliers."""
     one = lambda p, v: F.array(F.struct(F.lit(p).alias("provider"), v.cast("string").alias("value")))
     part = read(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query_title"), F.when(F.col("p_size") % 5 == 0, None).otherwise(F.lit(1992) + F.col("p_size") % 7).cast("int").alias("query_year"),
+        F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query_title"), T.normalize_title(F.col("p_name")).alias("query_normal"), F.when(F.col("p_size") % 5 == 0, None).otherwise(F.lit(1992) + F.col("p_size") % 7).cast("int").alias("query_year"),
         F.lit("en-US").alias("query_language"), F.when(F.col("p_size") % 3 == 0, one("Supp", F.col("p_size"))).otherwise(F.array().cast("array<struct<provider:string,value:string>>")).alias("query_ids"), "p_type", "p_brand",
     )
     line = read(spark, sf_dir, "lineitem").select(
@@ -146,8 +146,10 @@ def _candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: evidence, score and the best 12 candidates of every query (the cap is the feature)."""
-    best = rank.ranked(rank.scored(_candidate_pairs(spark, sf_dir)))
-    return best.select("query_id", "rank", "provider", "provider_id", "confidence_milli", "title_outcome", "year_outcome", "id_outcome", "language_outcome", F.array_join("reasons", ",").alias("reasons"))
+    shown = ("query_id", "provider", "provider_id", "confidence_milli", "title_outcome", "year_outcome", "id_outcome", "language_outcome")
+    # Only keys, score and outcomes go through the window; reasons are made for what it keeps.
+    best = rank.ranked(rank.outcomes(_candidate_pairs(spark, sf_dir)).select(*shown, "community"))
+    return rank.with_reasons(best).select(*shown, "rank", F.array_join("reasons", ",").alias("reasons"))
 
 
 def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

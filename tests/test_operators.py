@@ -52,12 +52,13 @@ def test_fusion_prefers_then_base_then_first(spark):
 
 def test_links_merge_and_group(spark):
     rows = [(1, "a", 5, 0, "https://PAN.QUARK.CN/s/Zk41?a=B#part2", "s2"), (2, "b", 4, 0, "https://pan.quark.cn/s/Zk41?a=B", "s1"), (2, "b", 4, 1, "magnet:?X", "s1"), (3, "c", 3, 0, " ", "s1")]
-    typed = links.typed(spark.createDataFrame(rows, "id long, title string, score int, place int, url string, source string"))
+    rows = spark.createDataFrame(rows, "id long, title string, score int, place int, url string, source string")
+    typed = links.typed(rows)
     got = {r.normalized_url: r for r in links.merged(typed).collect()}
     assert got["https://pan.quark.cn/s/Zk41?a=B"].sources == ["s1", "s2"]
     assert got["https://pan.quark.cn/s/Zk41?a=B"].url == "https://PAN.QUARK.CN/s/Zk41?a=B#part2"
     assert [r.link_type for r in links.grouped(links.merged(typed)).collect()] == ["quark", "magnet"]
-    assert links.best(typed, 1).count() == 1
+    assert links.best(rows, 1).count() == 1
 
 
 def test_breaker(spark):
