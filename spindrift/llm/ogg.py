@@ -7,7 +7,10 @@ lacing values, demultiplexes the logical streams and derives each packet's
 time from granule positions.  A page that fails its checksum, a gap in page
 numbers or a truncated packet raises ``ValueError``.
 
-A null text counts as an empty one: its payload is 64 zero bytes.
+Defined results: a null text counts as an empty one, its payload is 64 zero
+bytes; equal texts give equal values, repeated rows a row each; a very long text is
+stored whole, over as many pages as it needs; the table's other columns play no
+part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -195,7 +198,8 @@ def describe(decoded: Decoded) -> str:
     crossings = int(np.count_nonzero(high[1:] != high[:-1]))
     peak = int(np.bincount(x, minlength=256).argmax())
     last = max((t[-1][1] for t in decoded.times if t), default=0.0)
-    return f"streams={decoded.streams};pages={decoded.pages};packets={decoded.packets};samples={n};end_us={round(last * 1e6)};mean={total / n:.4f};power={squares / n:.2f};crossings={crossings};peak={peak}"
+    container = f"streams={decoded.streams};pages={decoded.pages};packets={decoded.packets};samples={n};end_us={round(last * 1e6)}"
+    return f"{container};mean={total / n:.4f};power={squares / n:.2f};crossings={crossings};peak={peak}"
 
 
 SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -216,6 +220,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             rows = [summary(t.encode()) for t in filled(batch.column(1)).to_pylist()]
             columns = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            arrays = (pa.array(c, t) for c, t in zip(columns, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")

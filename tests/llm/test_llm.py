@@ -391,16 +391,58 @@ def test_ogg_round_trip():
             ogg.decode(media[:-1])
 
 
+def slow_checksum(data):
+    crc = 0
+    for b in data:
+        crc ^= b << 24
+        for _ in range(8):
+            crc = ((crc << 1) ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+    return crc
+
+
+def plain_ogg(media):
+    """(serial, packet) in the order in which packets end, and the number of pages; read byte by byte."""
+    out, open_, at, n = [], collections.defaultdict(bytes), 0, 0
+    while at < len(media):
+        assert media[at : at + 5] == b"OggS\0"
+        serial = int.from_bytes(media[at + 14 : at + 18], "little")
+        segments = media[at + 27 : at + 27 + media[at + 26]]
+        body = at + 27 + len(segments)
+        end = body + sum(segments)
+        page = media[at:end]
+        assert slow_checksum(page[:22] + bytes(4) + page[26:]) == int.from_bytes(page[22:26], "little")
+        for size in segments:
+            open_[serial] += media[body : body + size]
+            body += size
+            if size < 255:
+                out.append((serial, open_.pop(serial, b"")))
+        at, n = end, n + 1
+    return out, n
+
+
+def test_ogg_stored_bytes_and_features_by_a_plain_reader(spark):
+    texts = ["", "short", "a" * 64, "é" * 3000, "".join(chr(33 + k % 90) for k in range(20_000))]
+    rows = ogg.media_columns(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    for r in rows:
+        payload = ogg.padded(texts[r.doc_id].encode())
+        media = ogg.encode(payload)
+        assert (r.media_sha256, r.media_bytes) == (hashlib.sha256(media).hexdigest(), len(media))
+        packets, n_pages = plain_ogg(media)
+        by = collections.defaultdict(list)
+        for serial, packet in packets:
+            by[serial].append(packet)
+        data = [own[1:] for _, own in sorted(by.items())]
+        assert b"".join(p for i in range(len(data[0])) for own in data if i < len(own) for p in own[i : i + 1]) == payload
+        n, ends = len(payload), [sum(map(len, own)) for own in data]
+        mean, power = sum(payload) / n, sum(x * x for x in payload) / n
+        crossings, counts = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:], strict=False)), collections.Counter(payload)
+        peak = min(x for x in counts if counts[x] == max(counts.values()))
+        packets_n = sum(map(len, data))
+        assert r.feature == f"streams=2;pages={n_pages};packets={packets_n};samples={n};end_us={round(max(ends) / ogg.RATE * 1e6)};mean={mean:.4f};power={power:.2f};crossings={crossings};peak={peak}"
+
+
 def test_ogg_checksum():
-    def slow(data):
-        crc = 0
-        for b in data:
-            crc ^= b << 24
-            for _ in range(8):
-                crc = ((crc << 1) ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
-        return crc
-
-    assert ogg.checksum(b"OggS page") == slow(b"OggS page")
+    assert ogg.checksum(b"OggS page") == slow_checksum(b"OggS page")
 
 
 def test_ogg_columns(docs, texts, nothing):
