@@ -2,7 +2,14 @@
 
 Every stage works on all that the one before kept; each result is written as
 Parquet and read again.  ``STAGES`` lists the stages in order; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``, whatever columns these are: the stages add
+none and overwrite none but ``text`` and ``n_chars``.
+
+Defined results: null texts count as empty and stay null until they are packed;
+empty and null texts are no near duplicates and stay; rows that repeat a kept
+doc_id leave one, rows without an id all stay; of equal copies the smallest
+doc_id stays; very long texts are worked on whole; an empty table gives an empty
+result, and without usable labels no document is toxic.
 """
 
 from __future__ import annotations
