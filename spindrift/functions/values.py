@@ -133,5 +133,36 @@ def json_strings(payload: Column, key: str) -> Column:
     return F.array_compact(F.transform(texts, lambda v: non_blank(F.try_variant_get(v, "$", "string"))))
 
 
+IDS = "array<struct<provider:string,value:string>>"
+
+
+def _scalar(v: Column) -> Column:
+    """A text or whole number of a variant as trimmed text, NULL where it is blank or of another kind."""
+    return F.when(F.schema_of_variant(v).isin("STRING", "BIGINT"), non_blank(F.try_variant_get(v, "$", "string")))
+
+
+def external_ids(payload: Column, aliases: dict[str, str], positive: tuple[str, ...] = ()) -> Column:
+    """(provider, value) structs of a payload's ids, distinct, in order.
+
+    ``external_ids`` may be an object (values: scalars or lists of them) or a list
+    of objects with a provider and a value, id or external_id; then come the
+    top-level members that ``aliases`` names with their providers.  Whole numbers
+    that are not above 0 are no ids of the ``positive`` providers.
+    """
+    root = F.try_parse_json(payload)
+    ids = F.try_variant_get(root, "$.external_ids", "variant")
+    pair = lambda p, v: F.struct(ascii_lower(non_blank(p)).alias("provider"), v.alias("value"))
+    many = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    by_name = F.flatten(F.transform(F.map_entries(F.try_variant_get(ids, "$", "map<string,variant>")), lambda e: F.transform(many(e["value"]), lambda v: pair(e["key"], _scalar(v)))))
+    member = lambda x, k: _scalar(F.try_variant_get(x, f"$.{k}", "variant"))
+    listed = F.transform(F.try_variant_get(ids, "$", "array<variant>"), lambda x: pair(member(x, "provider"), F.coalesce(member(x, "value"), member(x, "id"), member(x, "external_id"))))
+    top = F.array(*(pair(F.lit(p), _scalar(F.try_variant_get(root, f"$.{k}", "variant"))) for k, p in aliases.items()))
+    none = F.array().cast(IDS)
+    every = F.concat(F.coalesce(by_name, none), F.coalesce(listed, none), top.cast(IDS))
+    numeric = lambda x: x["provider"].isin(*positive) if positive else F.lit(False)
+    bad = lambda x: numeric(x) & F.coalesce(x["value"].try_cast("decimal(38,0)") <= 0, F.lit(False))
+    return F.array_distinct(F.filter(every, lambda x: x["provider"].isNotNull() & x["value"].isNotNull() & ~bad(x)))
+
+
 def payload_keys(payload: Column) -> Column:
     return F.coalesce(F.array_sort(F.json_object_keys(payload)), F.array().cast("array<string>"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import trimmed
+from spindrift.functions.text import search_title_variants, trimmed
 
 
 def first_direct(attempts: DataFrame, records: DataFrame, query: str = "query_id", key: str = "id", order: str = "attempt") -> DataFrame:
@@ -46,6 +46,30 @@ def union_by_variant(variants: DataFrame, key: list[str], order: list[str]) -> D
     return variants.groupBy(*key).agg(F.min(F.struct(*order, *columns)).alias("first")).select(*key, *(F.col(f"first.{c}").alias(c) for c in (*order, *columns)))
 
 
+def search_and_enrich(queries: DataFrame, index: DataFrame, detail: DataFrame, failed: DataFrame, most: int = 3) -> DataFrame:
+    """Records of each query's title variants, the best ``most`` of them enriched or degraded.
+
+    queries: query_id, title; index: search_title, id, score; detail: as in
+    ``enriched``; failed: variant texts whose search failed.  A query of which some
+    variants failed is partial; one of which all failed has the outcome search_failed.
+    """
+    variants = queries.select("query_id", F.posexplode(search_title_variants(F.col("title"))).alias("place", "variant"))
+    tried = variants.join(failed.select(F.col("variant").alias("f")).distinct(), F.col("variant") == F.col("f"), "left")
+    state = tried.groupBy("query_id").agg(F.count("*").alias("n"), F.count("f").alias("n_failed"))
+    hits = tried.where("f is null").join(index, F.col("variant") == F.col("search_title")).select("query_id", "id", "place", "score")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    top = union_by_variant(hits, ["query_id", "id"], ["place"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    found = enriched(top, detail).join(state.select("query_id", (F.col("n_failed") > 0).alias("partial")), "query_id")
+    none = state.where("n = n_failed").select("query_id", F.lit("search_failed").alias("outcome"), F.lit(True).alias("partial"))
+    return found.unionByName(none, allowMissingColumns=True)
+
+
+def with_known(commands: DataFrame, targets: DataFrame, key: str = "target_id") -> DataFrame:
+    """Adds known: whether a command's target is one of the targets."""
+    named = targets.select(F.col(key).alias("_known")).distinct()
+    return commands.join(named, F.col(key) == F.col("_known"), "left").withColumn("known", F.col("_known").isNotNull()).drop("_known")
+
+
 def distinct_targets(targets: DataFrame, key: str = "target_id", order: str = "ordinal") -> DataFrame:
     """Targets with ids that are not blank, the first of each id, in order."""
     there = targets.withColumn(key, trimmed(F.col(key))).where(F.col(key) != "")

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.functions.text import ascii_lower, trimmed
+
+from .presets import emitted_ids
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share, which ``spark.checkpoint.dir`` names.
@@ -55,6 +59,21 @@ def clusters(ids: DataFrame) -> DataFrame:
             return labels
 
 
+def identifiers(facts: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """(fact, id) rows for ``clusters``: a fact's own provider and id, and its external ids that some source emits.
+
+    facts: fact, provider, provider_id, ids (provider, value structs); capabilities:
+    id_provider, one row for each kind of id (empty: all count).  Providers count
+    without regard to case, external values too; blank ids do not count.
+    """
+    key = lambda kind, provider, value: F.concat_ws("\x1f", F.lit(kind), ascii_lower(trimmed(provider)), value)
+    own = trimmed(F.col("provider_id"))
+    named = facts.select("fact", F.when(own != "", key("own", F.col("provider"), own)).alias("id"))
+    outer = facts.select("fact", F.explode("ids").alias("x")).select("fact", ascii_lower(trimmed(F.col("x.provider"))).alias("id_provider"), ascii_lower(trimmed(F.col("x.value"))).alias("value")).where("value <> ''")
+    outer = emitted_ids(outer, capabilities)
+    return named.unionByName(outer.select("fact", key("id", F.col("id_provider"), F.col("value")).alias("id")))
+
+
 def shared_ids(facts: DataFrame) -> DataFrame:
     """Identifiers with several sources in a cluster; facts: (cluster, id_provider, id, provider)."""
     return facts.groupBy("cluster", "id_provider", "id").agg(F.countDistinct("provider").alias("source_count")).where("source_count > 1")

@@ -9,7 +9,7 @@ from spindrift.functions import html as H
 from spindrift.functions import text as T
 from spindrift.functions import urls as U
 from spindrift.functions import values as V
-from spindrift.operators import batch, fuse, links, lookups, planning, presets, rank
+from spindrift.operators import batch, fuse, links, lookups, planning, presets, rank, resolve
 from spindrift.sources import catalog, sinks
 from spindrift.sources import json_sources as J
 from spindrift.sources import page_sources as P
@@ -406,6 +406,56 @@ def written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.write_submitted(rows, scratch(spark, "written")).select("write_status", "write_reason", F.col("count").alias("n"))
 
 
+def provider_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as facts that share their own source's ids in pairs, and emitted external ids across the pairs."""
+    c, k = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    four = F.floor(k / 4).cast("string")
+    shared = F.when(k % 4 < 2, F.concat(F.lit("TT"), four)).otherwise(F.concat(F.lit(" tt-"), k.cast("string")))
+    ids = F.array(F.struct(F.lit("IMDB").alias("provider"), shared.alias("value")), F.struct(F.lit("other").alias("provider"), F.lit("same").alias("value")), F.struct(F.lit("imdb").alias("provider"), F.lit(" ").alias("value")))
+    facts = c.select(k.alias("fact"), F.when(k % 2 == 0, "P0").otherwise("p1").alias("provider"), F.when(k % 8 < 4, four).otherwise(F.concat(four, F.lit(" "))).alias("provider_id"), ids.alias("ids"))
+    return resolve.clusters(resolve.identifiers(facts, spark.createDataFrame([("imdb",)], "id_provider string")))
+
+
+def payload_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of payloads as objects, lists and top-level members."""
+    c, k = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    n = k.cast("string")
+    payload = (
+        F.when(k % 4 == 0, F.concat(F.lit('{"external_ids":{"IMDB":" tt'), n, F.lit('","tmdb":['), n, F.lit(',-1,"7",true]},"tmdb_id":0}')))
+        .when(k % 4 == 1, F.concat(F.lit('{"external_ids":[{"provider":" Tvdb ","id":'), n, F.lit('},{"provider":"imdb","value":" ","external_id":"x"},{"value":"lost"},7],"tmdb_id":"'), n, F.lit('"}')))
+        .when(k % 4 == 2, F.concat(F.lit('{"external_ids":"text","imdb_id":"tt'), n, F.lit('"}'))).otherwise("no json")
+    )
+    ids = V.external_ids(payload, {"tmdb_id": "tmdb", "imdb_id": "imdb"}, ("tmdb",))
+    return c.select("c_custkey", F.array_join(F.transform(ids, lambda x: F.concat_ws(":", x["provider"], x["value"])), "|").alias("ids"))
+
+
+def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sources of each state customers' settings assemble."""
+    c, k = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    on = F.when(k % 2 == 0, F.array(F.lit("tmdb"), F.lit("dmm"))).otherwise(F.array(F.lit("fixture")))
+    settings = c.select(k.alias("setting"), on.alias("enabled"), F.array(F.lit("fixture"), F.when(k % 3 == 0, "tmdb")).alias("usable"))
+    usable = settings.withColumn("usable", F.array_compact("usable"))
+    return catalog.assembled(catalog.catalog(spark), usable).groupBy("provider", "state").agg(F.count("*").alias("n"), F.min("ordinal").alias("ordinal"))
+
+
+def known_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commands to customers as devices, of which some are known."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("target_id"))
+    t = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("target_id"))
+    return lookups.with_known(o, t).groupBy("known").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+def variant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts searched for by the variants of their titles, the best three hits enriched or degraded."""
+    p = read(spark, sf_dir, "part")
+    title = F.concat(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" ("), F.col("p_brand"), F.lit(")"))).otherwise(""))
+    index = p.select(F.col("p_name").alias("search_title"), F.col("p_partkey").alias("id"), F.col("p_size").alias("score"))
+    detail = p.where("p_size > 20").select(F.col("p_partkey").alias("asked"), F.col("p_partkey").alias("id"), (F.col("p_size") % 5 == 0).alias("failed"))
+    failed = p.where("p_size % 10 = 4").select(title.alias("variant"))
+    out = lookups.search_and_enrich(p.select(F.col("p_partkey").alias("query_id"), title.alias("title")), index, detail, failed)
+    return out.select("query_id", "id", "rank", "outcome", "degraded_by", "partial")
+
+
 def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs' states after every request of a stream of enqueue, pause, resume, cancel and query."""
     from spindrift.streaming import stateful
@@ -423,5 +473,6 @@ QUERIES = {
         html_facts, html_links, page_lines, generic_page_candidates, search_results, page_candidates, official_candidates, titled_candidates, source_presets, default_preferences, request_policies, emitted_ids,
         breaker_replay, batch_reuse, batch_reports, batch_scrape, batch_resume, batch_failures, direct_lookups, external_lookups, enrichments, device_targets, source_order, field_evidence, fused_scores, artwork_preferences,
         native_projection, query_numbers, small_values, page_urls, link_sources, link_requests, grouped_links, cast_commands, endpoints, drift, payloads, fan_out, written_back, job_transitions,
+        provider_clusters, payload_ids, source_states, known_commands, variant_search,
     )
 }

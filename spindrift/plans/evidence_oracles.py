@@ -173,7 +173,19 @@ d AS (SELECT page_id, url, {_ABS} AS href, trim({_ENT.format('t')}) AS t, word,
 n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position)-1 AS place FROM d WHERE again=1)
 SELECT page_id, CAST(place AS INTEGER) AS position, href FROM n WHERE NOT contains(href,'/search') AND NOT contains(href,'result_published') AND (contains(upper({_WORD.format('t')}), upper({_WORD.format('word')})) OR contains(upper({_WORD.format('href')}), upper({_WORD.format('word')})))"""
 
+PROVIDER_CLUSTERS = "SELECT c_custkey AS fact, min(c_custkey) OVER (PARTITION BY c_custkey//4) AS cluster FROM customer"
+PAYLOAD_IDS = """SELECT c_custkey, CASE c_custkey%4 WHEN 0 THEN 'imdb:tt'||c_custkey||CASE WHEN c_custkey>0 AND c_custkey<>7 THEN '|tmdb:'||c_custkey ELSE '' END||'|tmdb:7' WHEN 1 THEN 'tvdb:'||c_custkey||'|imdb:x|tmdb:'||c_custkey WHEN 2 THEN 'imdb:tt'||c_custkey ELSE '' END AS ids FROM customer"""
+STATES = """WITH s AS (SELECT unnest(['theporndb','prestige','caribbean','1pondo','10musume','dmm','xcity','mgstage','javdb','fc2','jav321','fc2ppvdb','airav','javbus','avsox','javlibrary','fixture','tmdb','bangumi','browser_worker','douban','anilist']) AS provider, unnest(range(22)) AS ordinal)
+SELECT provider, CASE WHEN NOT (CASE WHEN c_custkey%2=0 THEN provider IN ('tmdb','dmm') ELSE provider='fixture' END) THEN 'disabled' WHEN provider='fixture' OR (provider='tmdb' AND c_custkey%3=0) THEN 'ready' ELSE 'unavailable' END AS state, count(*) AS n, CAST(min(ordinal) AS INTEGER) AS ordinal FROM s, customer GROUP BY 1, 2"""
+KNOWN = "SELECT coalesce(c_acctbal>0, FALSE) AS known, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders LEFT JOIN customer ON c_custkey=o_custkey GROUP BY 1"
+# The variants of an even size's title are the title, the name, and both without marks; of an odd size's the name alone.
+VARIANT = """WITH t AS (SELECT *, p_name||CASE WHEN p_size%2=0 THEN ' ('||p_brand||')' ELSE '' END AS title FROM part), f AS (SELECT DISTINCT title FROM t WHERE p_size%10=4),
+q AS (SELECT p_partkey AS query_id, p_name, p_size%2=0 AS two, title IN (SELECT title FROM f) AS part FROM t),
+h AS (SELECT q.query_id, p.p_partkey AS id, p.p_size, CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY p.p_size DESC, p.p_partkey) AS INTEGER) AS rank, part FROM q JOIN part p ON p.p_name=q.p_name)
+SELECT query_id, id, rank, CASE WHEN p_size>20 AND p_size%5<>0 THEN 'enriched' ELSE 'degraded' END AS outcome, CASE WHEN p_size<=20 THEN 'no_detail' WHEN p_size%5=0 THEN 'enrichment_failed' END AS degraded_by, part AS partial FROM h WHERE rank<=3"""
+
 ORACLES = {
+    "provider_clusters": PROVIDER_CLUSTERS, "payload_ids": PAYLOAD_IDS, "source_states": STATES, "known_commands": KNOWN, "variant_search": VARIANT,
     "html_facts": FACTS, "generic_page_candidates": GENERIC, "stream_breaker": BREAKER, "html_links": HTML_LINKS, "page_lines": LINES, "search_results": SEARCH, "page_candidates": PAGE_CANDIDATES, "official_candidates": OFFICIAL, "titled_candidates": TITLED, "source_presets": PRESETS, "default_preferences": PREFERENCES,
     "request_policies": POLICIES, "emitted_ids": EMITTED, "breaker_replay": BREAKER, "batch_reuse": REUSE, "batch_reports": REPORTS, "batch_scrape": SCRAPE, "batch_resume": RESUME, "batch_failures": FAILURES, "direct_lookups": DIRECT, "external_lookups": EXTERNAL,
     "enrichments": ENRICHMENTS, "device_targets": TARGETS, "source_order": SOURCE_ORDER, "field_evidence": EVIDENCE, "fused_scores": FUSED_SCORES, "artwork_preferences": ARTWORK, "native_projection": NATIVE, "query_numbers": NUMBERS, "small_values": SMALL,

@@ -52,6 +52,15 @@ def statuses(sources: DataFrame, disabled: list[str], route: Column, most: int |
     return marked.withColumn("status", F.coalesce("skip", F.when(over, "budget_exhausted").otherwise("selected"))).drop("skip")
 
 
+def assembled(sources: DataFrame, settings: DataFrame) -> DataFrame:
+    """Each setting's sources and their states: disabled, unavailable (enabled but not usable) or ready, in catalog order.
+
+    settings: setting, enabled and usable, lists of providers.  The catalog is a bounded table.
+    """
+    state = F.when(~F.array_contains("enabled", F.col("provider")), "disabled").when(~F.array_contains("usable", F.col("provider")), "unavailable").otherwise("ready")
+    return settings.join(F.broadcast(sources), how="cross").select("setting", "ordinal", "provider", state.alias("state"))
+
+
 def by_quality(sources: DataFrame, quality: str) -> DataFrame:
     """Preference list of a field group: quality falling, then catalog order."""
     listed = F.array_sort(F.collect_list(F.struct((-F.col(quality)).alias("q"), "ordinal", "provider")))
