@@ -119,8 +119,7 @@ def test_arrays(spark):
 
 def test_page_facts():
     page = '<html><head><title>T</title><meta property="og:title" content=" O  t "><link rel="canonical" href="/c"><meta property="og:image" content="//i/p.jpg"></head><body><h1>H</h1><p>Runtime: 95 min</p><p>Rating: 4.2</p><time datetime="2001-02-03">x</time><a href="/l">L</a><img src="i.png"><script>no</script></body></html>'
-    f = html.facts(page, "https://h/x/y")
-    assert f[:9] == ("O t", None, "2001-02-03", 2001, 95, "https://i/p.jpg", "https://h/c", 840, None)
-    assert f[9] == [{"url": "https://h/l", "text": "L"}] and f[10] == ["https://h/x/y/i.png"]
-    assert html.facts(None, None) == (None,) * 11
-    assert html.facts("", "")[0] is None
+    f = dict(zip(html.FOUND, html.found(page, "https://h/x/y"), strict=True))
+    assert (f["title"], f["overview"], f["date"], f["runtime"], f["score"], f["poster_urls"]) == ("O t", None, "2001-02-03", "95 min", "4.2", ["https://i/p.jpg"])
+    assert f["canonical_url"] == "https://h/c" and f["links"] == [{"url": "https://h/l", "text": "L"}] and f["images"] == ["https://h/x/y/i.png"]
+    assert html.found("", "")[0] is None

@@ -21,7 +21,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v or type(v).__name__ in ("NAType", "NaTType"):
+    if v is None or type(v).__name__ in ("NAType", "NaTType") or v != v:
         return "NULL"
     return str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
 
