@@ -332,13 +332,23 @@ def bands(members_: DataFrame, s: Settings) -> DataFrame:
     return members_.withColumn("band", F.floor(F.log(F.octet_length("x") / 7) / width).cast("long"))
 
 
+#: Parts into which the rows of one group are dealt where a join is on the group.
+_SALTS = 32
+
+
+def _salted(rows: DataFrame, few: DataFrame, key: list[str], by: Column) -> DataFrame:
+    """Rows joined to the few of their key, of which each part of the rows gets a copy: one group can be most rows."""
+    parts = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.hash(by), F.lit(_SALTS))).join(parts, [*key, "_salt"]).drop("_salt")
+
+
 def _blocks(rows: DataFrame, s: Settings, *kinds: str) -> DataFrame:
     """Adds block: each group, band (and kind) dealt by a hash into blocks of bounded rows and bytes."""
     key = ["group", "band", *kinds]
     size = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.sum(F.octet_length("x").cast("long")).alias("bytes"))
     n = F.greatest(F.ceil(F.col("rows") / s.block_rows), F.ceil(F.col("bytes") / s.block_bytes))
     few = F.greatest(F.ceil(F.col("rows") / s.pivots), F.ceil(F.col("bytes") / s.block_bytes))
-    dealt = rows.join(size.select(*key, n.cast("int").alias("blocks"), few.cast("long").alias("few")), key)
+    dealt = _salted(rows, size.select(*key, n.cast("int").alias("blocks"), few.cast("long").alias("few")), key, F.col("sig"))
     return dealt.withColumns({"block": F.pmod(F.hash("sig"), F.col("blocks")), "pivot": F.pmod(F.xxhash64("sig"), F.col("few")) == 0}).drop("few")
 
 
@@ -348,7 +358,7 @@ def first_round(members_: DataFrame, s: Settings) -> DataFrame:
     own = dealt.select(F.struct("group", "band", "block").alias("task"), "sig", "x")
     near = F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("at")
     blocks = dealt.select("group", F.col("band").alias("at"), "block").distinct()
-    pivots = dealt.where("pivot").select("group", "sig", "x", near).join(blocks, ["group", "at"])
+    pivots = dealt.where("pivot").select("group", "sig", "x", near).join(blocks, ["group", "at"])  # few rows on both sides
     return own.unionByName(pivots.select(F.struct("group", F.col("at").alias("band"), "block").alias("task"), "sig", "x"))
 
 
@@ -359,10 +369,10 @@ def second_round(members_: DataFrame, labels: DataFrame, s: Settings) -> DataFra
     each other.  The others' blocks meet all blocks of near sizes.
     """
     named = members_.join(labels, "sig")
-    top = named.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "label")).alias("top"))
-    rest = named.join(top, "group").withColumn("kind", (F.col("label") != F.col("top.label")).cast("int")).drop("top", "label")
-    open_ = rest.where("kind = 1").select("group").distinct()
-    dealt = _blocks(rest.join(open_, "group", "left_semi"), s, "kind").withColumn("own", F.struct("band", "kind", "block"))
+    several = named.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    rest = _salted(named, several.select("group", F.col("top.label").alias("settled")), ["group"], F.col("sig"))
+    rest = rest.withColumn("kind", (F.col("label") != F.col("settled")).cast("int")).drop("settled", "label")
+    dealt = _blocks(rest, s, "kind").withColumn("own", F.struct("band", "kind", "block"))
     blocks = dealt.select("group", "own").distinct()
     a, b = blocks.select("group", F.col("own").alias("a")), blocks.select("group", F.col("own").alias("b"))
     met = a.join(b, "group").where((F.col("a") <= F.col("b")) & ((F.col("a.kind") == 1) | (F.col("b.kind") == 1)) & (F.abs(F.col("a.band") - F.col("b.band")) <= 1))
