@@ -18,4 +18,42 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role||chr(10)||text||chr(1
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role='assistant'), '') AS loss, CAST(3+sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1}
+#: A layer of the search for each row, with whole strings: cost, edits and repaired text of the four states.
+_BYTES = "list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR),' ')||':'||coalesce(CAST(turn AS VARCHAR),' '), ''), lambda x: [CAST(unicode(x) AS BIGINT),0,0,0,0,0,0,0])"
+_CRC = f"xor(list_reduce(list_prepend(4294967295, flatten({_BYTES})), lambda c, x: xor(xor(c,x)>>1, 3988292384*(xor(c,x)&1))), 4294967295)"
+
+
+def _edited(state: str, cost: str, code: str, said: str = "''") -> str:
+    return f"{{'c':{state}.c+{cost},'a':{state}.a||'{code}','t':{state}.t||{said}}}"
+
+
+def _kept(state: str, role: str) -> str:
+    """A row that must read as ``role``: kept if its initial agrees, else re-roled; far where it has to go."""
+    own, other = f"chr(10)||role||':'||text", f"chr(10)||'{role}:'||text"
+    return f"CASE WHEN fault IN ('b','d') THEN {_edited(state, '1000000', '')} WHEN left(role,1)='{role[0]}' THEN {_edited(state, 'extra', 'K', own)} ELSE {_edited(state, '1+extra', 'R', other)} END"
+
+
+_FIRST = "list_sort([{}])[1]"
+_USER, _ASSISTANT = "chr(10)||'user:'", "chr(10)||'assistant:'"
+_RUN_U = _FIRST.format(", ".join(["u", *(_edited(q, "5", "I", _USER) for q in "esa")]))
+_RUN_A = _FIRST.format(f"a, {_edited('iu', '5', 'I', _ASSISTANT)}")
+OP11 = f"""WITH RECURSIVE k AS (
+  SELECT conv_id, turn, {_CRC} % 20 AS k, coalesce(role,' ') AS role, coalesce(text,' ') AS text FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN k=4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text,'.!?','') ELSE text END AS text
+  FROM k, LATERAL (SELECT unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))) AS n(n)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, regexp_replace(text,'[ \t\n\x0B\x0C\r]+$','') AS said, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(left(role,1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+r AS (SELECT *, CASE WHEN said='' THEN 'b' WHEN nth>1 THEN 'd' WHEN right(said,1) NOT IN ('.','!','?') THEN 't' ELSE '-' END AS fault FROM f),
+g AS (SELECT conv_id, CAST(coalesce(max(turn)-min(turn)+1-count(DISTINCT turn),0) AS BIGINT) AS gaps, count(*) FILTER (fault='b') AS blank, count(*) FILTER (fault='d') AS duplicate, count(*) FILTER (fault='t') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before||left(role,1) NOT IN ('su','ua','au')) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c':CAST(0 AS BIGINT),'a':'','t':''}} AS e, {{'c':CAST(1000000 AS BIGINT),'a':'','t':''}} AS s, {{'c':CAST(1000000 AS BIGINT),'a':'','t':''}} AS u, {{'c':CAST(1000000 AS BIGINT),'a':'','t':''}} AS a FROM g
+  UNION ALL
+  SELECT conv_id, i, {_edited('e', '2', 'D')}, {_FIRST.format(f"{_edited('s', '2', 'D')}, CASE WHEN left(role,1)='s' AND fault NOT IN ('b','d') THEN {_edited('e', 'extra', 'K', "chr(10)||role||':'||text")} ELSE {_edited('s', '1000000', '')} END")},
+    {_FIRST.format(", ".join([_edited('iu', '2', 'D'), *(_kept(q, 'user') for q in ('e', 's', 'ia'))]))}, {_FIRST.format(f"{_edited('ia', '2', 'D')}, {_kept('iu', 'assistant')}")}
+  FROM (SELECT *, {_RUN_A} AS ia FROM (SELECT w.conv_id, r.i, r.role, r.text, r.fault, CASE WHEN fault='t' THEN 5 ELSE 0 END AS extra, e, s, u, a, {_RUN_U} AS iu FROM w JOIN r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i=w.i+1))),
+z AS (SELECT w.conv_id, {_FIRST.format(f"e, a, {_edited('u', '5', 'I', _ASSISTANT)}, {_edited('s', '10', 'II', f'{_USER}||{_ASSISTANT}')}")} AS x FROM w JOIN g ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND w.i=g.n)
+SELECT c.conv_id, coalesce(gaps,0) AS gaps, coalesce(blank,0) AS blank, coalesce(duplicate,0) AS duplicate, coalesce(truncated,0) AS truncated, coalesce(illegal,0) AS illegal, CAST(coalesce(z.x.c,0) AS BIGINT) AS cost, coalesce(z.x.a,'') AS audit,
+  sha256(coalesce(substr(z.x.t,2),'')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN z ON c.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op11_conversation_repair": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compression, decontamination, language_model, near_duplicates, ogg, packing, pii, suffixes, toxicity
+from . import chat, compression, decontamination, language_model, near_duplicates, ogg, packing, pii, repair, suffixes, toxicity
 from .common import table
 
 
@@ -73,4 +73,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score(docs, compression.train(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op4_near_duplicates, op5_best_fit_packing, op6_suffix_array_dedup, op7_decontamination, op8_media_columns, op9_pseudonyms, op10_quality_classifier)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op4_near_duplicates, op5_best_fit_packing, op6_suffix_array_dedup, op7_decontamination, op8_media_columns, op9_pseudonyms, op10_quality_classifier, op11_conversation_repair)}
