@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compression, decontamination, language_model, near_duplicates, ogg, packing, pii, repair, suffixes, toxicity
-from .common import table
+from . import chat, compression, decontamination, language_model, near_duplicates, ogg, packing, pii, repair, suffixes, token_files, toxicity
+from .common import scratch, table
 
 
 def tokenizer_path() -> str:
@@ -78,4 +78,18 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op4_near_duplicates, op5_best_fit_packing, op6_suffix_array_dedup, op7_decontamination, op8_media_columns, op9_pseudonyms, op10_quality_classifier, op11_conversation_repair)}
+def word_tokenizer_path() -> str:
+    """The vocabulary of word ends that op12 writes ids of; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written as files of bit planes and read back."""
+    path = scratch(spark, "token-planes")
+    token_files.write(table(spark, sf_dir, "documents"), path, token_files.Settings(word_tokenizer_path()))
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op4_near_duplicates, op5_best_fit_packing, op6_suffix_array_dedup, op7_decontamination, op8_media_columns, op9_pseudonyms, op10_quality_classifier, op11_conversation_repair, op12_token_files)}
