@@ -56,4 +56,17 @@ SELECT c.conv_id, coalesce(gaps,0) AS gaps, coalesce(blank,0) AS blank, coalesce
   sha256(coalesce(substr(z.x.t,2),'')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN z ON c.conv_id IS NOT DISTINCT FROM z.conv_id"""
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op11_conversation_repair": OP11}
+#: All runs of one to three words within pieces, counted.
+OP13 = """WITH p AS (SELECT coalesce(lang,'und') AS lang, unnest(string_split_regex(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece,'[\\x20\\x09]+'), lambda x: x<>'') AS w FROM p),
+s AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, unnest(list_transform(range(1, len(w)-k+2), lambda i: array_to_string(w[i:i+k-1],' '))) AS phrase FROM w, (VALUES (1),(2),(3)) AS v(k) WHERE len(w)>=k) GROUP BY ALL HAVING count(*)>=10),
+q AS (SELECT *, string_split(phrase,' ') AS v FROM c WHERE k>1),
+u AS (SELECT lang, phrase, k, a, cut, array_to_string(v[1:cut],' ') AS head, array_to_string(v[cut+1:],' ') AS rest FROM q, (VALUES (1),(2)) AS x(cut) WHERE cut<k),
+f AS (SELECT u.*, h.a AS l, t.a AS r, CAST((CAST(1000000 AS HUGEINT)*u.a*u.a)//(CAST(h.a AS HUGEINT)*t.a) AS BIGINT) AS score FROM u JOIN c h ON h.lang=u.lang AND h.phrase=u.head JOIN c t ON t.lang=u.lang AND t.phrase=u.rest),
+b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut)=1),
+m AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, array_to_string(v[1:2],' ') AS phrase, a FROM q WHERE k=3 UNION ALL SELECT lang, array_to_string(v[2:3],' '), a FROM q WHERE k=3) GROUP BY lang, phrase)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN s ON s.lang=b.lang LEFT JOIN m ON m.lang=b.lang AND m.phrase=b.phrase WHERE longer IS NULL OR 100*longer<50*a QUALIFY rank<=2000"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op11_conversation_repair": OP11, "op13_collocations": OP13}

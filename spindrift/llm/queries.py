@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compression, decontamination, language_model, near_duplicates, ogg, packing, pii, repair, suffixes, token_files, toxicity
+from . import chat, compression, decontamination, language_model, near_duplicates, ogg, packing, phrases, pii, repair, suffixes, token_files, toxicity
 from .common import scratch, table
 
 
@@ -92,4 +92,9 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op4_near_duplicates, op5_best_fit_packing, op6_suffix_array_dedup, op7_decontamination, op8_media_columns, op9_pseudonyms, op10_quality_classifier, op11_conversation_repair, op12_token_files)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language (the limit is the feature), from counts over all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_model, op3_toxicity, op4_near_duplicates, op5_best_fit_packing, op6_suffix_array_dedup, op7_decontamination, op8_media_columns, op9_pseudonyms, op10_quality_classifier, op11_conversation_repair, op12_token_files, op13_collocations)}
