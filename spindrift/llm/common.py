@@ -68,8 +68,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     its smallest text.  The ids are chosen from the labels alone, in the order of
     a hash of the id, at most ``per_class`` of each class, so the choice is fixed
     and the broadcast of ids is bounded; of their texts those are taken, in that
-    order, with which a class stays within ``class_bytes`` bytes.  ``place`` is
-    that order.  Ids of any type are compared as text.
+    order, with which a class stays within ``class_bytes`` bytes.  A text of more
+    than a sixteenth of that takes no part, so that it keeps no other out.  ``place``
+    is that order.  Ids of any type are compared as text.
     """
     spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").cast("string").alias("id"), F.col(label).cast("int").alias("label"), fold(F.col("doc_id")).alias("fold"))
@@ -79,6 +80,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = spark.createDataFrame([tuple(r) for r in ids], "id string, label int, order long")
     texts = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.join(F.broadcast(chosen), "id").groupBy("id", "label", "order").agg(F.min("text").alias("text"))
+    texts = texts.where(F.octet_length("text") <= class_bytes // 16)
     so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy("order", "id"))  # at most per_class rows each
     sample = texts.withColumn("so_far", so_far).where(F.col("so_far") <= class_bytes)
     share = usable.agg(F.avg("label").alias("p")).first().p

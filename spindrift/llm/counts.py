@@ -23,13 +23,15 @@ def squeeze(x: np.ndarray) -> bytes:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Small numbers by byte planes, which compress better."""
-    return squeeze(np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T)
+    """Numbers by byte planes, which compress better: four planes, or eight where the largest needs them."""
+    width = 4 if not len(x) or int(x.max()) <= 0xFFFFFFFF else 8
+    return bytes([width]) + squeeze(np.ascontiguousarray(x.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T)
 
 
 def unplanes(blob: bytes) -> np.ndarray:
-    parts = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=0), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(parts.T).view("<u4").ravel()
+    width = blob[0]
+    parts = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(blob)[1:], max_output_size=0), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(parts.T).view(f"<u{width}").ravel()
 
 
 REQUEST = "bucket int, block long, keys binary, a binary, b binary"
@@ -61,13 +63,13 @@ def exchange(blocks: DataFrame, ask: Callable[[dict], tuple], buckets: int, name
         keys = np.zeros((sum(sizes), 8), np.uint8)
         keys[:, :width] = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint8).reshape(-1, width)
         unique, inverse = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-        a, b = (np.bincount(inverse, np.concatenate([unplanes(r[c]) for r in rows]), len(unique)).astype(np.int64) for c in "ab")
+        a, b = (_sums(inverse, np.concatenate([unplanes(r[c]) for r in rows]), len(unique)) for c in "ab")
         out: list[list] = [[] for _ in range(7)]
         at = 0
         for r, n in zip(rows, sizes, strict=True):
             own = inverse[at : at + n]
             at += n
-            for column, v in zip(out, (r["block"], r["bucket"], planes(np.minimum(a[own], 0xFFFFFFFF)), planes(np.minimum(b[own], 0xFFFFFFFF)), 0, 0, 0), strict=True):
+            for column, v in zip(out, (r["block"], r["bucket"], planes(a[own]), planes(b[own]), 0, 0, 0), strict=True):
                 column.append(v)
         for column, v in zip(out, (-1, rows[0]["bucket"], b"", b"", int(a.sum()), int(b.sum()), int(np.count_nonzero(a + b))), strict=True):
             column.append(v)
@@ -77,5 +79,12 @@ def exchange(blocks: DataFrame, ask: Callable[[dict], tuple], buckets: int, name
     return store(asked.groupBy("bucket").applyInArrow(answer, ANSWER), name)
 
 
+def _sums(inverse: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of integers by key."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, inverse, n.astype(np.int64))
+    return out
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)

@@ -49,8 +49,8 @@ MAGIC, FOOTER = b"BITPLAN1", "<QQ8s"
 MANIFEST = "_manifest.json"
 #: Ids of one block.
 BLOCK_IDS = 1 << 16
-#: Words that a worker remembers, and the longest such word in bytes.
-REMEMBERED, LONGEST = 1_000_000, 64
+#: Words of one of the two generations that a worker remembers, and the longest such word in bytes.
+REMEMBERED, LONGEST = 120_000, 64
 
 
 def drops_white_space(spec: dict) -> bool:
@@ -78,7 +78,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.by_words = drops_white_space({k: v for k, v in json.load(f).items() if k != "model"})
+        # Words seen of late, and those of the generation before: what is asked for again moves up.
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
@@ -88,16 +90,20 @@ class Encoder:
             return self.whole(text)
         words = text.split()
         new = set(words).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = set(words)
-            short = [w for w in new if len(w) <= LONGEST]
-            for word, found in zip(short, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in short], add_special_tokens=False), strict=True):
+        if len(self.known) + len(new) > REMEMBERED:
+            self.older, self.known, new = self.known, {}, set(words)
+        learn = []
+        for word in new:
+            if word in self.older:
+                self.known[word] = self.older[word]
+            elif len(word) <= LONGEST:
+                learn.append(word)
+        for lo in range(0, len(learn), 1000):
+            part = learn[lo : lo + 1000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 self.known[word] = np.array(found.ids, "<u4").tobytes()
-            if len(short) < len(new):
-                return b"".join([self.known[w] if len(w) <= LONGEST else self.whole(w) for w in words])
-        return b"".join(map(self.known.__getitem__, words))
+        get = self.known.get
+        return b"".join([get(w) if len(w) <= LONGEST else self.whole(w) for w in words])
 
 
 @lru_cache(maxsize=2)
@@ -338,8 +344,8 @@ def register(spark: SparkSession) -> None:
 class Settings:
     tokenizer: str
     end_id: int = 1
-    #: "bit" or "byte".
-    planes: str = "bit"
+    #: "bit" or "byte"; byte planes of this vocabulary's ids take 1.34 bytes an id, bit planes 1.55.
+    planes: str = "byte"
     block: int = BLOCK_IDS
 
 

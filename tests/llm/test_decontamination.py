@@ -17,17 +17,27 @@ def hashed(text):
     return words.words(*common.raw(pa.array([text], pa.string())), words.PUNCTUATED)[0]
 
 
+def plain_score(a, b, s):
+    """Smith-Waterman, a row at a time: the best score of any local alignment."""
+    above, best = [0] * (len(b) + 1), 0
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, above[j] + (s.match if x == y else s.mismatch), above[j + 1] + s.gap, row[j] + s.gap))
+        above, best = row, max(best, max(row))
+    return best
+
+
 def brute(docs, items, s):
-    """Best alignment over whole documents, for every pair of a document and an item."""
-    out = {}
+    """Best alignment over whole documents, for every pair of a document and an item that share a word."""
+    out, known = {}, {d: hashed(t).tolist() for d, t in docs.items() if t}
     for i, item in items.items():
-        a = hashed(item)
-        if len(a):
-            full = sorted(((d, hashed(t)) for d, t in docs.items() if t), key=lambda x: len(x[1]))
-            for k in range(0, len(full), 40):
-                for (d, _), (best, _, _) in zip(full[k : k + 40], decontamination.align(a, [h for _, h in full[k : k + 40]], s), strict=True):
-                    if best >= s.least_score(len(a)):
-                        out[d, i] = best / (s.match * len(a))
+        a = hashed(item).tolist()
+        for d, b in known.items():
+            if a and len(a) + sum(x in set(a) for x in b) and s.match * min(len(a), sum(x in set(a) for x in b)) >= s.least_score(len(a)):
+                best = plain_score(a, b, s)
+                if best >= s.least_score(len(a)):
+                    out[d, i] = best / (s.match * len(a))
     return out
 
 

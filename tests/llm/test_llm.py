@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import chat, common, compression, language_model, near_duplicates, ogg, packing, pii, queries, suffixes, toxicity, words
+from spindrift.llm import chat, common, compression, counts, decontamination, language_model, near_duplicates, ogg, packing, pii, queries, suffixes, toxicity, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, count string, value string"
 FOLD = lambda i: zlib.crc32(str(i).encode()) % 5
@@ -57,6 +57,27 @@ def nothing(spark):
 LABELS = "doc_id long, quality int, toxic int"
 
 
+def test_counts_beyond_32_bits_are_exact(spark):
+    """A key's total above 2^32 comes back whole, as does a small one beside it."""
+    many = 0xFFFFFFFF
+    blocks = spark.createDataFrame([(k,) for k in range(3)], "block long").repartition(3)
+    ask = lambda row: (np.array([5 << 40, 9 << 50], np.uint64), np.array([many, 1], np.int64), np.array([many * 4, 0], np.int64))
+    found = [r for r in counts.exchange(blocks, ask, 1, "wide", 8).collect() if r.block >= 0]
+    assert [counts.unplanes(bytes(r.a)).tolist() for r in found] == [[3 * many, 3]] * 3
+    assert [counts.unplanes(bytes(r.b)).tolist() for r in found] == [[12 * many, 0]] * 3
+
+
+def test_an_oversized_labelled_text_keeps_no_other_out(spark):
+    rows = [(i, "word " * 8) for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], LABELS)
+    usual = {r.text for r in common.labelled_sample(docs, labels, "quality", 100, 16 * 400)[0].collect()}
+    first = common.labelled_sample(docs, labels, "quality", 100, 16 * 400)[0].orderBy("place").first().place.id
+    larger = docs.withColumn("text", F.when(F.col("doc_id").cast("string") == first, F.repeat(F.lit("big "), 5000)).otherwise(F.col("text")))
+    kept = common.labelled_sample(larger, labels, "quality", 100, 16 * 400)[0].collect()
+    assert usual == {r.text for r in kept} and len(kept) == common.labelled_sample(docs, labels, "quality", 100, 16 * 400)[0].count() - 1
+
+
 def test_language_model_tells_words_of_close_hashes_apart(spark):
     a, b = "2df8a100", "5ffd2800"  # equal in the first 48 bits of their hashes
     h, _, _, _ = words.words(*common.raw(pa.array([f"{a} {b}"])))

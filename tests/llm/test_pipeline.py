@@ -28,3 +28,11 @@ def test_edge_rows(spark, tmp_path, rows):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert (got.count() == 0) == (not rows)
+
+
+def test_a_leaked_row_without_an_id_goes(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, item, "en", "s", 1), (None, "quite another text", "en", "s", 1), (None, None, "en", "s", 0), (4, item, "en", "s", 1), (5, "clean", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_contaminated(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "quite another text"), (5, "clean")]
