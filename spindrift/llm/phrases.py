@@ -59,8 +59,8 @@ class Settings:
     cover: int = 50
     #: Phrases of each language that are returned.
     top: int = 2000
-    #: Bytes of text in a block.
-    block: int = 4 << 20
+    #: Most bytes of text in a block: tables of the words' hashes are as long as the power of two above.
+    block: int = (2 << 20) - 1
     most_slots: int = 1 << 29
     #: Slots of one bucket of the sketch.
     bucket_slots: int = 1 << 20
@@ -110,15 +110,15 @@ def blocks(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[tu
         langs, texts = batch.column(0).to_pylist(), filled(batch.column(1)).cast(pa.large_binary())
         for lang, text in zip(langs, texts, strict=True):
             for part, again in cut(text.as_py(), settings.block, settings.most_words - 1):
+                if size[lang] and size[lang] + len(part) > settings.block:
+                    yield full(lang)
                 held.setdefault(lang, []).append(part)
                 size[lang] += len(part) + 1
                 words = again.translate(bytes(LOWER)).split()
                 for n in range(1, len(words) + 1):
                     for k in range(len(words) - n + 1):
                         twice.setdefault(lang, Counter())[b" ".join(words[k : k + n])] += 1
-                if size[lang] >= settings.block:
-                    yield full(lang)
-                elif size.total() >= 2 * settings.block:
+                if size.total() >= 2 * settings.block:
                     yield full(size.most_common(1)[0][0])
     for lang in list(held):
         yield full(lang)
