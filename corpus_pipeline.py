@@ -7,8 +7,8 @@ none and overwrite none but ``text`` and ``n_chars``.
 
 Defined results: null texts count as empty and stay null until they are packed;
 empty and null texts are no near duplicates and stay; rows that repeat a kept
-doc_id leave one, rows without an id all stay; of equal copies the smallest
-doc_id stays; very long texts are worked on whole; an empty table gives an empty
+doc_id leave one, rows without an id stay unless a stage rejects their text; of
+equal copies the smallest doc_id stays; very long texts are worked on whole; an empty table gives an empty
 result, and without usable labels no document is toxic.
 """
 
@@ -37,10 +37,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copied or edited passage of the benchmark."""
-    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
-    leaked = store(found.select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    """Documents without a copied or edited passage of the benchmark; rows without an id are told by their texts."""
+    told = F.coalesce(F.concat(F.lit("id:"), F.col("doc_id").cast("string")), F.concat(F.lit("text:"), F.sha2("text", 256)), F.lit("empty"))
+    found = decontamination.leaks(docs.select(told.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaked = store(found.select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
+    return docs.join(leaked, told == F.col("leaked"), "left_anti").select(docs.columns)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
