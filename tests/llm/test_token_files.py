@@ -27,9 +27,9 @@ def expected(rows, path, end):
 
 def odd_texts():
     rng = random.Random(3)
-    letters = list("abzAZé漢ñΣσİ'’0189.,!?-_<|>$́  \u001c\u0085﻿\U0001f600") + [" ", "\t", "\n", "\x0b", "\x0c", "\r"] * 2
+    letters = list("abzAZ½é漢ñΣσİ'’0189.,!?-_<|>$́  \u001c\u0085﻿\U0001f600") + [" ", "\t", "\n", "\x0b", "\x0c", "\r"] * 2
     out = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 60))) for _ in range(300)]
-    return [*out, None, "", " \n", "a<|endoftext|>b <|startoftext|>", "<|endof text|>", "e ́", "x" * 5000, "it's we'll 's 'S", "ΑΣ ΑΣ.", "word " * 3000]
+    return [*out, None, "", " \n", "a<|endoftext|>b <|startoftext|>", "<|endof text|>", "e ́", "x" * 5000, "it's we'll 's 'S", "ΑΣ ΑΣ.", "word " * 3000, "The THE the. the, the.. \"the\". <|EndOfText|> <|endoftext|>.", "½ a½b ½½", "end. End! end!? it's. 'S."]
 
 
 @pytest.fixture(scope="module")
