@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import policies
+
 # The fields of a record in the order in which their sources are listed.
 FIELDS = ("title", "original_title", "sort_title", "overview", "release_date", "runtime_minutes", "tagline", "genres", "tags", "ratings", "images", "credits", "collections", "studios", "external_ids")
 
@@ -33,27 +35,11 @@ def chosen_sources(facts: DataFrame, fused_rows: DataFrame, fields: list[str]) -
 def fused(facts: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
     """One row for each cluster: every field by its preferred providers, else base, else first fact.
 
-    fields: field -> providers in order of preference (empty: base only).  One
-    aggregation takes all fields: the value with the least (preference, arrival).
+    fields: field -> providers in order of preference (empty: base only): the policy
+    of all clusters, as rows.
     """
-    base = ["provider", "provider_id"]
-    order = F.struct((-F.col("confidence_milli")).alias("c"), "provider", "provider_id")
-    aggregates = [F.min(order).alias("base"), F.count("*").alias("n_facts")]
-    for field, providers in fields.items():
-        value = F.col(field)
-        rank: Column = F.lit(len(providers) + 1)
-        for k in range(len(providers) - 1, -1, -1):
-            rank = F.when(F.col("provider") == providers[k], k).otherwise(rank)
-        preferred = F.when(value.isNotNull() & (rank <= len(providers)), F.struct(rank.alias("rank"), "arrival", value.alias("value")))
-        first = F.when(value.isNotNull(), F.struct("arrival", value.alias("value")))
-        aggregates += [F.min(preferred).alias(f"p_{field}"), F.min(first).alias(f"f_{field}"), F.min(F.struct((-F.col("confidence_milli")).alias("c"), "provider", "provider_id", value.alias("value"))).alias(f"b_{field}")]
-    out = facts.groupBy("cluster").agg(*aggregates)
-    picked = []
-    for field, providers in fields.items():
-        own = F.col(f"b_{field}.value")
-        several = F.coalesce(F.col(f"p_{field}.value"), own, F.col(f"f_{field}.value")) if providers else own
-        picked.append(F.when(F.col("n_facts") > 1, several).otherwise(own).alias(field))
-    return out.select("cluster", "n_facts", *(F.col(f"base.{c}").alias(c) for c in base), *picked)
+    values = policies.fused_values(facts.withColumn("policy", F.lit(policies.DEFAULT)), policies.preference_rows(facts, fields), list(fields))
+    return policies.records(values, {f: facts.schema[f].dataType.simpleString() for f in fields})
 
 
 def best_artwork(art: DataFrame, key: str = "cluster") -> DataFrame:

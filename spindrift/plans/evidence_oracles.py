@@ -103,15 +103,15 @@ SELECT target_id, arg_min(name, (late, o)) AS name, arg_min(origin, (late, o)) A
 SOURCE_ORDER = "SELECT n_nationkey, row_number() OVER (ORDER BY n_regionkey DESC, n_nationkey) AS place FROM nation"
 
 _L = "l AS (SELECT l_orderkey AS cluster, l_linenumber AS a, 'p'||(l_partkey%3) AS provider, CAST(l_partkey AS VARCHAR) AS pid, CAST(l_partkey%1000 AS INTEGER) AS conf, {fields} FROM lineitem), b AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY conf DESC, provider, pid{tie}) AS br, count(*) OVER (PARTITION BY cluster) AS n FROM l)"
-EVIDENCE = "WITH " + _L.format(fields="CASE WHEN l_quantity>20 THEN CAST(trunc(l_quantity) AS INTEGER) END AS runtime, CASE WHEN l_tax>0.04::DOUBLE THEN l_returnflag END AS flag", tie=", runtime NULLS FIRST") + """,
+EVIDENCE = "WITH " + _L.format(fields="CASE WHEN l_quantity>20 THEN CAST(trunc(l_quantity) AS INTEGER) END AS runtime, CASE WHEN l_tax>0.04::DOUBLE THEN l_returnflag END AS flag", tie=", a, runtime NULLS FIRST") + """,
 c AS (SELECT cluster, max(n) AS n, min(runtime) FILTER (br=1) AS base_runtime, arg_min(runtime, (CASE provider WHEN 'p2' THEN 0 ELSE 1 END, a, runtime)) FILTER (runtime IS NOT NULL AND provider IN ('p2','p1')) AS pref, arg_min(runtime, (a, runtime)) FILTER (runtime IS NOT NULL) AS first FROM b GROUP BY cluster),
-f AS (SELECT cluster, flag FROM (SELECT cluster, flag, row_number() OVER (PARTITION BY cluster ORDER BY conf DESC, provider, pid, flag NULLS FIRST) AS k FROM b) WHERE k=1),
+f AS (SELECT cluster, flag FROM (SELECT cluster, flag, row_number() OVER (PARTITION BY cluster ORDER BY conf DESC, provider, pid, a, flag NULLS FIRST) AS k FROM b) WHERE k=1),
 v AS (SELECT cluster, 'runtime' AS field, CAST(CASE WHEN n>1 THEN coalesce(pref, base_runtime, first) ELSE base_runtime END AS VARCHAR) AS value FROM c UNION ALL SELECT cluster, 'flag', flag FROM f),
 o AS (SELECT v.cluster, v.field, arg_min(b.provider, (b.a, b.provider)) AS provider FROM v JOIN b ON b.cluster=v.cluster AND CASE v.field WHEN 'runtime' THEN CAST(b.runtime AS VARCHAR) ELSE b.flag END=v.value WHERE v.value IS NOT NULL GROUP BY v.cluster, v.field)
 SELECT p_partkey AS id, 'title:p0:'||p_partkey||CASE WHEN p_size%3<>0 THEN '|overview:p0:'||p_partkey ELSE '' END||CASE WHEN p_size>25 THEN '|runtime_minutes:p0:'||p_partkey ELSE '' END||CASE WHEN p_size%2=0 THEN '|genres:p0:'||p_partkey ELSE '' END AS fields FROM part
 UNION ALL SELECT -1, field||':'||provider||':'||count(*) FROM o GROUP BY field, provider"""
-FUSED_SCORES = "WITH " + _L.format(fields="CASE WHEN l_linenumber%2=0 THEN l_returnflag END AS title, CAST(year(l_shipdate) AS INTEGER) AS year", tie="") + """,
-bt AS (SELECT cluster, title FROM (SELECT cluster, title, row_number() OVER (PARTITION BY cluster ORDER BY conf DESC, provider, pid, title NULLS FIRST) AS k FROM b) WHERE k=1), by_ AS (SELECT cluster, year FROM (SELECT cluster, year, row_number() OVER (PARTITION BY cluster ORDER BY conf DESC, provider, pid, year) AS k FROM b) WHERE k=1),
+FUSED_SCORES = "WITH " + _L.format(fields="CASE WHEN l_linenumber%2=0 THEN l_returnflag END AS title, CAST(year(l_shipdate) AS INTEGER) AS year", tie=", a") + """,
+bt AS (SELECT cluster, title FROM (SELECT cluster, title, row_number() OVER (PARTITION BY cluster ORDER BY conf DESC, provider, pid, a, title NULLS FIRST) AS k FROM b) WHERE k=1), by_ AS (SELECT cluster, year FROM (SELECT cluster, year, row_number() OVER (PARTITION BY cluster ORDER BY conf DESC, provider, pid, a, year) AS k FROM b) WHERE k=1),
 c AS (SELECT b.cluster, max(n) AS n, min(provider) FILTER (br=1) AS provider, min(pid) FILTER (br=1) AS provider_id, arg_min(b.title, (a, b.title)) FILTER (b.title IS NOT NULL AND provider='p1') AS pt, arg_min(b.title, (a, b.title)) FILTER (b.title IS NOT NULL) AS ft,
  arg_min(b.year, (CASE provider WHEN 'p2' THEN 0 ELSE 1 END, a, b.year)) FILTER (provider IN ('p2','p0')) AS py FROM b GROUP BY b.cluster),
 t AS (SELECT c.cluster, provider, provider_id, CASE WHEN n>1 THEN coalesce(pt, bt.title, ft) ELSE bt.title END AS title, CASE WHEN n>1 THEN coalesce(py, by_.year) ELSE by_.year END AS year FROM c JOIN bt USING (cluster) JOIN by_ USING (cluster))

@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from spindrift.plans import evidence, evidence_oracles, oracles, queries, record_oracles, records
+from spindrift.plans import evidence, evidence_oracles, oracles, queries, record_oracles, records, request_oracles, requests
 
-ORACLES = oracles.ORACLES | record_oracles.ORACLES | evidence_oracles.ORACLES
-QUERIES = queries.QUERIES | records.QUERIES | evidence.QUERIES
+ORACLES = oracles.ORACLES | record_oracles.ORACLES | evidence_oracles.ORACLES | request_oracles.ORACLES
+QUERIES = queries.QUERIES | records.QUERIES | evidence.QUERIES | requests.QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
