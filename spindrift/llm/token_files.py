@@ -24,6 +24,7 @@ first; other columns are ignored; an empty table is a dataset without shards.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import posixpath
@@ -75,6 +76,17 @@ def drops_white_space(spec: dict) -> bool:
     return blank and plain and safe and set(kinds) <= {"NFC", "Replace", "Lowercase"} and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
 
 
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
+def byte_letters() -> str:
+    """The printable character that stands for each byte in byte-level vocabularies: its own where it has one, else the next from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    names = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return "".join(names[b] for b in range(256))
+
+
 class Encoder:
     """Little-endian 32-bit token ids of UTF-8 texts."""
 
@@ -89,6 +101,10 @@ class Encoder:
         # Words that differ in case alone are one, but for texts that an added token could be in.
         self.folds = any(s.get("type") == "Lowercase" for s in (spec.get("normalizer") or {}).get("normalizers", []))
         self.added = [t["content"].lower().encode() for t in spec.get("added_tokens", [])]
+        # Characters that stand for bytes, where the model is given those of runs of letters.
+        pieces = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        runs_of_letters = self.by_words and self.folds and [p["type"] for p in pieces] == ["Split", "ByteLevel"] and not pieces[1].get("add_prefix_space") and r"[\p{L}]+" in pieces[0]["pattern"]["Regex"].split("|")
+        self.model, self.letters = self.tokenizer.model, byte_letters() if runs_of_letters else None
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         # Words seen of late, and those of the generation before: what is asked for again moves up.
@@ -114,13 +130,32 @@ class Encoder:
             elif len(word) <= LONGEST:
                 if sign in word:
                     self.known[word] = self.whole(word)
+                elif self.letters is not None and (one := self._word(word)) is not None:
+                    self.known[word] = one
                 else:
                     learn.append(word)
         for lo in range(0, len(learn), TOGETHER):
             part = learn[lo : lo + TOGETHER]
             self.known.update(zip(part, self._ids(part), strict=True))
-        get = self.known.get
-        return b"".join([get(w) if len(w) <= LONGEST else self.whole(w) for w in words])
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:  # words too long to be remembered
+            return b"".join([self.known[w] if len(w) <= LONGEST else self.whole(w) for w in words])
+
+    def _word(self, word: bytes) -> bytes | None:
+        """Ids of a word of small Latin letters: one piece, which the model takes as it is; None for other words."""
+        if word.isalpha() and word.islower():  # ASCII letters alone stand for themselves
+            text = word.decode()
+        else:
+            shown = word.decode("utf-8", "replace")
+            if not (shown.isalpha() and shown == shown.lower() and max(shown) < "\u0250"):
+                return None
+            text = codecs.charmap_decode(word, "strict", self.letters)[0]
+        return self.model_ids(text)
+
+    def model_ids(self, text: str) -> bytes:
+        found = self.model.tokenize(text)
+        return _PACKED[len(found)](*[t.id for t in found]) if len(found) < len(_PACKED) else np.array([t.id for t in found], "<u4").tobytes()
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]
