@@ -58,6 +58,20 @@ DETAIL_KNOWN = tuple(label for labels in DETAIL.values() for label in labels)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+# Fixed values of HTML: a start tag ends open elements of these names, unless one of the others lies between.
+_PARTS = frozenset("table td th tr tbody thead tfoot caption section article main aside nav header footer form fieldset figure blockquote body html".split())
+_SCOPE = frozenset("table td th caption button object template html".split())
+ENDED = {
+    "li": (frozenset(["li"]), _PARTS | {"ul", "ol", "menu", "dl"}), "dt": (frozenset(["dt", "dd"]), _PARTS | {"ul", "ol", "dl"}), "dd": (frozenset(["dt", "dd"]), _PARTS | {"ul", "ol", "dl"}),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])), "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
+    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "tr": (frozenset(["td", "th", "tr", "caption"]), frozenset(["table"])),
+    **{t: (frozenset(["td", "th", "tr", "caption", "tbody", "thead", "tfoot"]), frozenset(["table"])) for t in ("tbody", "thead", "tfoot")},
+}
+# Fixed values of HTML: elements that end an open paragraph, and those that may stand before the body.
+BLOCKS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd".split())
+HEAD = frozenset("html head title meta link script style base noscript template".split())
+
+
 class Element:
     """A node: name, attributes, parent and the pieces of text below it."""
 
@@ -77,25 +91,63 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements: list[Element] = []
         self.open: list[Element] = []
+        self.body: Element | None = None
         self.feed(html)
         self.close()
 
-    def handle_starttag(self, tag, attrs):
-        element = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.open[-1] if self.open else None)
+    def _end(self, names: frozenset[str], bounds: frozenset[str]) -> None:
+        """Close the outermost open element of these names above the first bound."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k].name in bounds:
+                break
+            if self.open[k].name in names:
+                cut = k
+                while cut and self.open[cut - 1].name in names:
+                    cut -= 1
+                del self.open[cut:]
+                break
+
+    def _begin_body(self, attributes: dict | None = None) -> None:
+        """The body begins with its tag, or without one where something stands that no head can have."""
+        self.open = [e for e in self.open if e.name == "html"][:1]
+        self.body = Element("body", attributes or {}, self.open[-1] if self.open else None)
+        self.elements.append(self.body)
+        self.open.append(self.body)
+
+    def _start(self, tag: str, attrs: list, empty: bool) -> None:
+        attributes = {k: v or "" for k, v in reversed(attrs)}
+        if tag == "body":
+            if self.body is None:
+                self._begin_body(attributes)
+            return
+        if self.body is None and tag not in HEAD and not any(e.name in ("noscript", "template") for e in self.open):
+            self._begin_body()
+        if tag in BLOCKS:
+            self._end(frozenset(["p"]), _SCOPE)
+        if tag in ENDED:
+            self._end(*ENDED[tag])
+        element = Element(tag, attributes, self.open[-1] if self.open else None)
         self.elements.append(element)
-        if tag not in VOID:
+        if tag not in VOID and not empty:
             self.open.append(element)
 
+    def handle_starttag(self, tag, attrs):
+        self._start(tag, attrs, False)
+
     def handle_startendtag(self, tag, attrs):
-        self.elements.append(Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.open[-1] if self.open else None))
+        self._start(tag, attrs, True)
 
     def handle_endtag(self, tag):
+        if tag in ("body", "html"):  # what follows still belongs to the body
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k].name == tag:
                 del self.open[k:]
                 return
 
     def handle_data(self, data):
+        if self.body is None and data.strip() and all(e.name in ("html", "head") for e in self.open):
+            self._begin_body()
         for element in self.open:
             element.pieces.append(data)
 
@@ -264,12 +316,12 @@ def detail(html: str | None, url: str | None) -> tuple:
     poster = page.first_attribute('meta[property="og:image"]', "content") or page.first_attribute(".poster img, .cover img, .package img, .movie-image img, .main-image img, article img, main img", "src")
     poster = absolute(base, poster) if poster else None
     pictures = page.image_urls('.sample img, .gallery img, .preview img, .sample-box img, a[href*="sample"], a[href*="gallery"]', base)
-    moving = lambda u: re.search(r"\.(?:mp4|m3u8|webm)(?:[?#].*)?$", u.lower())
-    media = [absolute(base, e.attributes.get("src") or e.attributes.get("href") or "") for e in page.select("video[src], source[src], a[href]")]
+    moving = lambda u: re.search(r"\.(?:mp4|m3u8|webm)(?:$|\?)", u.lower())
+    media = [e.attributes.get("src", e.attributes.get("href", "")).strip() for e in page.select('video source, source[type*="video"], a[href]')]
     return (
         title, value("number"), body, overview, value("release_date"), value("runtime"), value("maker"), value("label"), value("series"), value("director"),
         page.first_text(".score, .rating, .review") or value("rating"), value("wanted"), list(actors), list(tags), poster,
-        [u for u in pictures if u != poster and not moving(u)], next((u for u in media if moving(u)), None),
+        [u for u in pictures if u != poster and not moving(u)], next((absolute(base, u) for u in media if moving(u)), None),
     )
 
 

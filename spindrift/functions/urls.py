@@ -51,14 +51,14 @@ def host(c: Column) -> Column:
 
 
 def type_of(low: Column, name: Column) -> Column:
-    """The class of an address in lower case, whose host is ``name``."""
-    out = F.when(low.startswith("magnet:?"), "magnet").when(low.startswith("ed2k://"), "ed2k").when(name.isNull(), "other")
-    for kind, hosts in HOSTS.items():
-        test = F.lit(False)
-        for suffix in hosts:
-            test = test | (name == suffix) | name.endswith(f".{suffix}")
-        out = out.when(test, kind)
-    return out.otherwise("web")
+    """The class of an address in lower case, whose host is ``name``.
+
+    Hosts are looked up by their last two and last three labels, which is as many
+    as any of HOSTS has.
+    """
+    table = F.create_map(*(F.lit(x) for kind, hosts in HOSTS.items() for h in hosts for x in (h, kind)))
+    known = F.coalesce(*(F.try_element_at(table, F.substring_index(name, ".", -n)) for n in (2, 3)))
+    return F.when(low.startswith("magnet:?"), "magnet").when(low.startswith("ed2k://"), "ed2k").when(name.isNull(), "other").otherwise(F.coalesce(known, F.lit("web")))
 
 
 def link_type(c: Column) -> Column:
@@ -119,10 +119,16 @@ def query_value(c: Column, key: str) -> Column:
 
 
 def last_segment(c: Column) -> Column:
-    """The last path segment that is neither empty nor a page's fixed name."""
-    path = F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"^.*?://[^/]*", "")
+    """The last segment, the host included, that is neither empty nor a page's fixed name; query and fragment do not count."""
+    path = F.regexp_replace(c, r"[?#].*$", "")
     return F.try_element_at(F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.isin("index.html", "detail")), F.lit(-1))
 
 
+def page_id(c: Column) -> Column:
+    """What an address names: its value of ``id``, else its last segment."""
+    return F.coalesce(query_value(c, "id"), last_segment(c))
+
+
 def is_video_url(c: Column) -> Column:
-    return ascii_lower(c).rlike(r"\.(?:mp4|m3u8|webm)(?:[?#].*)?$")
+    """An address that ends with a video's extension or has one before its query."""
+    return ascii_lower(c).rlike(r"\.(?:mp4|m3u8|webm)(?:$|\?)")

@@ -6,7 +6,7 @@ one id have in common.  Only the aggregations shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import ascii_lower, trimmed
@@ -36,10 +36,41 @@ def best(rows: DataFrame, limit: int, link_types: list[str] | None = None, most:
     return typed(rows.join(F.broadcast(results.select("id")), "id", "left_semi"), link_types)  # at most ``most`` rows
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """One row for each normalized URL: what its first link says, and all its sources, sorted."""
-    first = F.min(F.struct((-F.col("score")).alias("s"), "title", "id", "place", "url", "link_type")).alias("first")
-    return rows.groupBy("normalized_url").agg(first, F.array_sort(F.collect_set("source")).alias("sources")).select("normalized_url", "first.url", "first.link_type", "sources")
+#: What a merged link takes from its first link, where the rows have it.
+TOLD = ("url", "link_type", "password", "note", "title")
+
+
+def merged(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each normalized URL (of each key): what its first link says, and all its sources, sorted.
+
+    The first link is that of the best result: score, title, id, then its place there.
+    """
+    told = [c for c in TOLD if c in rows.columns and c != "title"]
+    first = F.min(F.struct((-F.col("score")).alias("s"), "title", "id", "place", *told)).alias("first")
+    return rows.groupBy(*keys, "normalized_url").agg(first, F.array_sort(F.collect_set("source")).alias("sources")).select(*keys, "normalized_url", *(f"first.{c}" for c in told), "sources")
+
+
+def search(rows: DataFrame, requests: DataFrame, most: int = 100) -> DataFrame:
+    """Merged links of the best results of every request.
+
+    rows: request, provider, id, title, score, place, url, source and, if they are
+    there, password and note: the links of all sources' results; requests: request,
+    sources and link_types (empty: all), limit (held between 1 and ``most``).
+
+    A request's sources are asked, links of its types remain, results that have one
+    are ordered by score, title and id, and the first ``limit`` of them give their
+    links, merged by normalized URL.  No request needs more than ``most`` results, so
+    every task passes on that many of a request at most, however many it has.
+    """
+    asked = rows.join(requests.select("request", "sources", "link_types"), "request").where(source_requested(F.col("sources"), F.col("provider")))
+    wanted = lambda df: df.where((F.size("link_types") == 0) | F.array_contains("link_types", F.col("link_type")))
+    results = wanted(typed(asked)).groupBy("request", "score", "title", "id").agg(F.count("*").alias("n_links"))
+    order = Window.partitionBy("request").orderBy(F.col("score").desc(), "title", "id")
+    ranked = results.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    limits = requests.select("request", F.greatest(F.lit(1), F.least(F.col("limit"), F.lit(most))).alias("limit"))
+    best = ranked.join(limits, "request").where("rank <= limit").select("request", "id", "score", "title")
+    chosen = asked.join(best, ["request", "id", "score", "title"], "left_semi")
+    return merged(wanted(typed(chosen)), "request")
 
 
 def grouped(links: DataFrame) -> DataFrame:

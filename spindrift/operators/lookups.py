@@ -16,12 +16,14 @@ def first_direct(attempts: DataFrame, records: DataFrame, query: str = "query_id
 
 
 def by_external_id(queries: DataFrame, *tables: DataFrame, on: str = "external_id", kind: str = "kind") -> DataFrame:
-    """The entity that an external id leads to: in the first table that has it, else the next."""
+    """The entity that an external id leads to, with its kind: in the first table that has it, else the next.
+
+    Of several rows of an id the least entity, and of that the least kind, counts.
+    """
     out = queries
     for i, t in enumerate(tables):
-        first = t.groupBy(on).agg(F.min("entity").alias(f"entity_{i}"), F.first(kind).alias(f"kind_{i}"))
-        out = out.join(first, on, "left")
-    pick = lambda name: F.coalesce(*(F.col(f"{name}_{i}") for i in range(len(tables)))).alias(name)
+        out = out.join(t.groupBy(on).agg(F.min(F.struct("entity", F.col(kind).alias("kind"))).alias(f"found_{i}")), on, "left")
+    pick = lambda name: F.coalesce(*(F.col(f"found_{i}.{name}") for i in range(len(tables)))).alias(name)
     return out.select(*queries.columns, pick("entity"), pick("kind"))
 
 

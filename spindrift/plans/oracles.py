@@ -153,7 +153,7 @@ def _kind(u: str) -> str:
 _CLOUD = ",".join(f"'{x}'" for x in HOSTS)
 _LOWURL = _lower(_trim("url"))
 URLS = rf"""WITH u AS (SELECT page_id AS id, url, 'web' AS source FROM pages UNION ALL SELECT -s_suppkey, {_linked('s_suppkey')}, CASE WHEN s_suppkey%3=0 THEN 'Fixture:x' ELSE 'live' END FROM supplier),
-k AS (SELECT *, {_kind('url')} AS link_type, list_filter(string_split(regexp_replace(regexp_replace({_trim('url')},'[?#].*$',''),'^.*?://[^/]*',''),'/'), lambda x: x<>'' AND x NOT IN ('index.html','detail')) AS parts FROM u)
+k AS (SELECT *, {_kind('url')} AS link_type, list_filter(string_split(regexp_replace({_trim('url')},'[?#].*$',''),'/'), lambda x: x<>'' AND x NOT IN ('index.html','detail')) AS parts FROM u)
 SELECT id, {_normal('url')} AS normalized_url, coalesce({_host(_LOWURL)},'-') AS host, link_type,
  CASE WHEN {_lower("split_part(source,':',1)")}='fixture' AND link_type IN ({_CLOUD}) THEN 'reachable' WHEN link_type IN ('magnet','ed2k','other') THEN 'unsupported' ELSE 'unknown' END AS health,
  regexp_matches({_LOWURL},'^(?:magnet:[?]|ed2k://|https?://)') AS exact,
@@ -234,7 +234,7 @@ STREAM_HISTORY = "WITH r AS (SELECT user_id AS provider, event_id, row_number()
 STREAM_JOBS = "SELECT user_id::VARCHAR||':'||event_type AS job_key, event_id AS request_id, CASE WHEN event_id=min(event_id) OVER w THEN 'accepted' ELSE 'already_exists' END AS outcome, 'job-'||min(event_id) OVER w AS job_ref FROM events WINDOW w AS (PARTITION BY user_id, event_type)"
 REUSE = "SELECT o_orderkey AS item_index, CASE WHEN min(o_orderkey) OVER w < o_orderkey THEN min(o_orderkey) OVER w ELSE -1 END AS reused_from FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderpriority)"
 PAGE = "WITH n AS (SELECT CAST(row_number() OVER (ORDER BY n_nationkey)-1 AS INTEGER) AS item_index, n_name FROM nation) SELECT * FROM n WHERE item_index BETWEEN 8 AND 19"
-PRESENCE = rf"""WITH p AS (SELECT url, nullif(regexp_extract(url,'(?s)^.*?utm_source=([^/?#&]*)',1),'') AS utm_source, list_filter(string_split(regexp_replace(regexp_replace(url,'[?#].*$',''),'^.*?://[^/]*',''),'/'), lambda x: x<>'' AND x NOT IN ('index.html','detail'))[-1] AS last_segment, nullif(regexp_extract(html,'(?:^|\s)(\d{{4}}-\d{{2}}\S\d{{2}})',1),'') AS release_date FROM pages)
+PRESENCE = rf"""WITH p AS (SELECT url, nullif(regexp_extract(url,'(?s)^.*?utm_source=([^/?#&]*)',1),'') AS utm_source, list_filter(string_split(regexp_replace(url,'[?#].*$',''),'/'), lambda x: x<>'' AND x NOT IN ('index.html','detail'))[-1] AS last_segment, nullif(regexp_extract(html,'(?:^|\s)(\d{{4}}-\d{{2}}\S\d{{2}})',1),'') AS release_date FROM pages)
 """ + " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS present, count(*)-count({c}) AS missing FROM p" for c in ("url", "utm_source", "last_segment", "release_date"))
 TEMPLATES = """SELECT event_id, CASE event_id%6 WHEN 1 THEN 'unclosed' WHEN 2 THEN 'empty' WHEN 3 THEN 'unknown' WHEN 4 THEN 'unclosed' ELSE 'ok' END AS status,
  CASE event_id%6 WHEN 0 THEN event_type||' '||event_id||' by '||user_id||': '||CASE WHEN props IS NULL OR len(json_keys(props))=0 THEN 'none' ELSE array_to_string(list_sort(json_keys(props)),', ') END WHEN 5 THEN 'attempt 1 $1 '||chr(92)||' end' ELSE '-' END AS rendered FROM events"""

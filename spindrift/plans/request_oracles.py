@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import _SRC, _norm
+from .oracles import _SRC, _kind, _linked, _norm, _normal
 
 #: Preferences of the policies that keys modulo 5 name, among the sources that occur; "other" stands for sources that do not.
 _POLICY = """pol AS (SELECT * FROM (VALUES (0,'title','dmm',0),(0,'title','javdb',1),(0,'overview','fc2',0),(0,'release_date','javdb',0),(0,'release_date','other',1),
@@ -63,4 +63,15 @@ x AS (SELECT *, CAST(row_number() OVER (PARTITION BY request ORDER BY c DESC, pr
 SELECT request, rank, provider, provider_id, {", ".join(_TYPES)}, n_facts, sources, c AS confidence_milli,
  'base:base:250'||CASE t WHEN 'exact' THEN ',title:exact:360' WHEN 'normalized' THEN ',title:normalized:320' WHEN 'mismatch' THEN ',title:mismatch:-160' ELSE '' END||CASE y WHEN 'exact' THEN ',year:exact:180' WHEN 'mismatch' THEN ',year:mismatch:-120' ELSE '' END||CASE l WHEN 'exact' THEN ',language:exact:40' WHEN 'mismatch' THEN ',language:mismatch:0' ELSE '' END||CASE WHEN community>0 THEN ',community_score:boost:'||community ELSE '' END AS reasons FROM x WHERE rank<=12"""
 
-ORACLES = {"policy_fusion": POLICY_FUSION, "request_statuses": REQUEST_STATUSES, "answers": ANSWERS}
+_SHIFTED = _linked("{k}").replace("{k}::VARCHAR", "({k}%40)::VARCHAR")
+LINK_SEARCHES = f"""WITH o AS (SELECT o_custkey AS request, o_orderkey AS id, o_orderpriority AS title, CAST(floor(o_totalprice) AS INTEGER)%50 AS score FROM orders),
+l AS (SELECT o.*, 0 AS place, trim({_SHIFTED.format(k="id")}) AS url, 'desk' AS provider, NULL AS password, 'order '||id AS note FROM o
+  UNION ALL SELECT o.*, l_linenumber, trim({_SHIFTED.format(k="l_partkey")}), 'line'||l_suppkey%4, CASE WHEN l_quantity>25 THEN 'pw'||l_partkey END, 'note '||l_suppkey FROM lineitem JOIN o ON o.id=l_orderkey),
+k AS (SELECT *, {_normal("url")} AS normalized_url, {_kind("url")} AS link_type FROM l),
+w AS (SELECT k.*, greatest(1, least(100, request%7-1)) AS lim FROM k JOIN customer ON c_custkey=request WHERE (request%3=2 OR provider='desk' OR request%3=1 AND provider='line2') AND (request%4>1 OR request%4=0 AND link_type IN ('quark','magnet','web') OR request%4=1 AND link_type='other')),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, title, id) AS rank FROM (SELECT DISTINCT request, lim, score, title, id FROM w)) WHERE rank<=lim),
+s AS (SELECT w.* FROM w SEMI JOIN b ON b.request=w.request AND b.id=w.id),
+f AS (SELECT *, row_number() OVER (PARTITION BY request, normalized_url ORDER BY score DESC, title, id, place, url, link_type, password NULLS FIRST, note) AS nth FROM s)
+SELECT request, normalized_url, max(url) FILTER (nth=1) AS url, max(link_type) FILTER (nth=1) AS link_type, max(password) FILTER (nth=1) AS password, max(note) FILTER (nth=1) AS note, string_agg(DISTINCT provider, ',' ORDER BY provider) AS sources FROM f GROUP BY request, normalized_url"""
+
+ORACLES = {"policy_fusion": POLICY_FUSION, "request_statuses": REQUEST_STATUSES, "answers": ANSWERS, "link_searches": LINK_SEARCHES}

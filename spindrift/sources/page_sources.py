@@ -111,7 +111,7 @@ def candidates(asked: DataFrame, parsed: DataFrame, s: Site) -> DataFrame:
     pictures = F.transform(d("backdrop_urls"), lambda u: F.struct(F.lit("backdrop").alias("kind"), u.alias("url"))).cast(ART)
     return _candidates(
         rows, s.provider,
-        provider_id=F.concat(F.lit(f"{s.provider}:"), F.coalesce(U.last_segment(F.col("target")), F.col("av"))), title=F.col("title"), sort_title=F.col("av"), overview=d("overview"),
+        provider_id=F.concat(F.lit(f"{s.provider}:"), F.coalesce(U.page_id(F.col("target")), F.col("av"))), title=F.col("title"), sort_title=F.col("av"), overview=d("overview"),
         release_date=date, release_year=V.first_year(date), runtime_minutes=V.first_integer(d("runtime")), genres=non_empty(d("tags")), tags=F.concat(labelled(d("actors"), "actor"), makers),
         score_milli=H.rating(d("rating")), votes=V.first_integer(d("wanted")), external_ids=external_ids(("av_number", F.col("av")), (f"{s.provider}_url", F.col("target"))),
         artwork=F.concat(artwork(("poster", d("poster_url"))), pictures, artwork(("trailer", d("trailer_url")))), outcome=F.concat(F.lit("page_"), F.col("how")),
