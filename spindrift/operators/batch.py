@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def page(items: DataFrame, cursor: int, size: int, most: int = 12) -> DataFrame:
     """Items with an index from the cursor on, 1 to ``most`` of them."""
@@ -19,12 +21,9 @@ def first_occurrence(items: DataFrame, *key: str) -> DataFrame:
     return joined.withColumn("reused_from", F.when(F.col("first_index") < F.col("item_index"), F.col("first_index"))).drop("first_index")
 
 
-def consecutive_failures(executions: DataFrame, source: str = "provider", order: str = "item_index") -> DataFrame:
-    """Adds the failures in a row up to each execution: a success starts a new island."""
-    w = Window.partitionBy(source).orderBy(order)
-    island = F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w)
-    found = executions.withColumn("island", island)
-    return found.withColumn("in_a_row", F.sum(F.col("failed").cast("int")).over(Window.partitionBy(source, "island").orderBy(order))).drop("island")
+def consecutive_failures(executions: DataFrame, source: str = "provider", order: str = "item_index", parts: int | None = None) -> DataFrame:
+    """Adds the failures in a row up to each execution; a source's rows are dealt over many tasks."""
+    return scan.streaks(executions, source, order, "failed", parts)
 
 
 def last_attempts(events: DataFrame, source: str, order: str, keep: int = 20) -> DataFrame:
@@ -92,29 +91,48 @@ class Breaker:
         return "failed"
 
 
-def replay(executions: DataFrame, threshold: int = THRESHOLD, cooldown: int = COOLDOWN) -> DataFrame:
+def replay(executions: DataFrame, threshold: int = THRESHOLD, cooldown: int = COOLDOWN, parts: int | None = None) -> DataFrame:
     """What the breaker would have done at each execution, by source and in item order.
 
-    executions: provider, item_index (counts the run's scraped items), failed,
-    reason, retry_class.  A source's executions stream through one task in
-    order: its state depends on all before, in constant memory.
+    executions: provider, item_index (counts the run's scraped items; once a source),
+    failed, reason, retry_class.  A breaker has few states: failures below the
+    threshold, or a cooldown of so many items with the failures that began it.  So a
+    source's rows are a parallel scan (``scan.replayed``), however many they are.
+    Without a threshold or cooldown failures only add up: a block then either sets
+    their count or adds to it.
     """
-
-    def run(batches):
-        state, provider = Breaker(), None
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                if r.provider != provider:
-                    state, provider = Breaker(), r.provider
-                did = state.step(int(r.item_index), bool(r.failed), r.reason, r.retry_class, threshold, cooldown)
-                rows.append((r.provider, r.item_index, did, state.count(int(r.item_index)), state.left(int(r.item_index))))
-            yield pd.DataFrame(rows, columns=["provider", "item_index", "outcome", "consecutive_failures", "cooldown_remaining"])
-
-    kind = executions.schema["provider"].dataType.simpleString()
-    index = executions.schema["item_index"].dataType.simpleString()
-    dealt = executions.select("provider", "item_index", "failed", "reason", "retry_class").repartition("provider").sortWithinPartitions("provider", "item_index")
-    return dealt.mapInPandas(run, f"provider {kind}, item_index {index}, outcome string, consecutive_failures int, cooldown_remaining int")
+    rows = executions.select("provider", "item_index", "failed", "reason", "retry_class")
+    said = "outcome string, consecutive_failures int, cooldown_remaining int"
+    if threshold <= 0 or cooldown <= 0:
+        added = lambda known, s: (0, s[1] + known[1, 0][1]) if known[1, 0][0] else known[1, 0]
+        counted = lambda r, state, did: (did, state[1], 0)
+        return scan.replayed(rows, "provider", "item_index", lambda item: [(0, 0), (1, 0)], _uncooled, counted, said, lambda state, item: state, parts, added)
+    opened = [(f, None) for f in range(threshold)]
+
+    def starts(item: int) -> list[tuple]:
+        return opened + [(f, item + left) for left in range(cooldown) for f in {1, threshold}]
+
+    def at(state: tuple, item: int) -> tuple:
+        return (0, None) if state[1] is not None and state[1] < item else state
+
+    def step(state: tuple, r) -> tuple:
+        own = Breaker(*state)
+        did = own.step(int(r.item_index), bool(r.failed), r.reason, r.retry_class, threshold, cooldown)
+        return (own.failures, own.until), did
+
+    def told(r, state: tuple, did: str) -> tuple:
+        own = Breaker(*state)
+        return did, own.count(int(r.item_index)), own.left(int(r.item_index))
+
+    return scan.replayed(rows, "provider", "item_index", starts, step, told, said, at, parts)
+
+
+def _uncooled(state: tuple, r) -> tuple:
+    """A step of a breaker that never opens; state: whether the count is one above an unknown one, and the count."""
+    own = Breaker(state[1])
+    did = own.step(int(r.item_index), bool(r.failed), r.reason, r.retry_class, 0, 0)
+    goes_on = did == "failed" and own.kind not in ("operator_action", "permanent")
+    return (state[0] if goes_on else 0, own.failures), did
 
 
 def reuse(items: DataFrame, cached: DataFrame | None = None, most: int = 128) -> DataFrame:
