@@ -59,6 +59,34 @@ def clusters(ids: DataFrame) -> DataFrame:
             return labels
 
 
+def extended(labels: DataFrame, pairs: DataFrame, new: DataFrame) -> DataFrame:
+    """Labels that change when facts arrive: (fact, cluster) of the new facts and of old ones whose cluster is another now.
+
+    labels: (fact, cluster) so far; pairs: (fact, id) so far; new: (fact, id) that
+    arrive, of new facts or of old ones.  Only clusters that a new row touches, by
+    its fact or its id, take part: each stands as one node for all its facts, so the
+    rounds run over the new rows and the touched clusters alone.
+    """
+    arrived = stored(new.where("id is not null").select("fact", "id").distinct(), "new-pairs")
+    named = stored(new.select("fact").distinct(), "new-facts")
+    known = labels.join(named, "fact", "left_semi")
+    by_id = pairs.join(arrived.select("id").distinct(), "id", "left_semi").join(labels, "fact").select(F.col("cluster").alias("node"), "id").distinct()
+    # An old fact among the new rows is its cluster; a new fact is itself.
+    own = arrived.join(known, "fact", "left").select(F.coalesce("cluster", "fact").alias("node"), "id")
+    alone = named.join(known, "fact", "left").select(F.coalesce("cluster", "fact").alias("node"))
+    lone_id = F.concat(F.lit("\x1fown\x1f"), F.col("node").cast("string")).alias("id")
+    edges = own.unionByName(by_id).select("node", F.concat(F.lit("id"), F.col("id").cast("string")).alias("id")).unionByName(alone.select("node", lone_id))
+    moved = stored(clusters(edges.select(F.col("node").alias("fact"), "id")), "moved")
+    changed = labels.join(moved.where("fact <> cluster").select(F.col("fact").alias("was"), F.col("cluster").alias("now")), F.col("cluster") == F.col("was")).select("fact", F.col("now").alias("cluster"))
+    fresh = named.join(known, "fact", "left_anti").join(moved, "fact").select("fact", "cluster")
+    return stored(changed.unionByName(fresh), "changed-labels")
+
+
+def merged_labels(labels: DataFrame, changed: DataFrame) -> DataFrame:
+    """The labels after a change."""
+    return labels.join(changed.select("fact"), "fact", "left_anti").unionByName(changed)
+
+
 def identifiers(facts: DataFrame, capabilities: DataFrame) -> DataFrame:
     """(fact, id) rows for ``clusters``: a fact's own provider and id, and its external ids that some source emits.
 

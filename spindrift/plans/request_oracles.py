@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .oracles import _SRC, _kind, _linked, _norm, _normal
+from .evidence_oracles import PAGE_CANDIDATES
+from .oracles import _SRC, CLUSTERS, _kind, _linked, _norm, _normal
 
 #: Preferences of the policies that keys modulo 5 name, among the sources that occur; "other" stands for sources that do not.
 _POLICY = """pol AS (SELECT * FROM (VALUES (0,'title','dmm',0),(0,'title','javdb',1),(0,'overview','fc2',0),(0,'release_date','javdb',0),(0,'release_date','other',1),
@@ -74,4 +75,24 @@ s AS (SELECT w.* FROM w SEMI JOIN b ON b.request=w.request AND b.id=w.id),
 f AS (SELECT *, row_number() OVER (PARTITION BY request, normalized_url ORDER BY score DESC, title, id, place, url, link_type, password NULLS FIRST, note) AS nth FROM s)
 SELECT request, normalized_url, max(url) FILTER (nth=1) AS url, max(link_type) FILTER (nth=1) AS link_type, max(password) FILTER (nth=1) AS password, max(note) FILTER (nth=1) AS note, string_agg(DISTINCT provider, ',' ORDER BY provider) AS sources FROM f GROUP BY request, normalized_url"""
 
-ORACLES = {"policy_fusion": POLICY_FUSION, "request_statuses": REQUEST_STATUSES, "answers": ANSWERS, "link_searches": LINK_SEARCHES}
+#: What is read back: submitted rows of both epochs, once.
+WRITTEN_ROWS = "SELECT c_custkey, c_name AS submission, c_custkey%2 AS epoch FROM customer WHERE c_custkey%10<>0 AND c_acctbal>0 AND c_mktsegment<>'BUILDING'"
+ALL_HISTORY = """SELECT string_agg(event_id, ',' ORDER BY event_id) AS event_ids, string_agg(user_id, ',' ORDER BY event_id) AS providers, string_agg(event_type, ',' ORDER BY event_id) AS statuses FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 20)"""
+
+
+def _flow(provider: str, fallback: bool = True, searched: bool = True) -> str:
+    """The candidates of a source of pages by another provider, without a fallback or without a search page."""
+    sql = PAGE_CANDIDATES.replace("javdb", provider)
+    if not fallback:
+        sql = sql.replace("WHEN route='censored' AND p_size%5=0 THEN 'fallback' WHEN route='censored' THEN 'search'", "WHEN route='censored' AND p_size%5<>0 THEN 'search'")
+    return sql if searched else sql.replace("WHEN route='censored' AND p_size%5=0 THEN 'fallback' WHEN route='censored' THEN 'search'", "")
+
+
+RENDERED, NUMBERED = _flow("airav", fallback=False), f"SELECT * FROM ({_flow('jav321')}) UNION ALL SELECT * FROM ({_flow('fc2ppvdb', searched=False)})"
+
+OFFICIAL_FIELDS = PAGE_CANDIDATES.replace("javdb", "caribbean").replace("WHEN route='censored' AND p_size%5=0 THEN 'fallback' WHEN route='censored' THEN 'search'", "WHEN route='censored' THEN 'detail'")
+
+ORACLES = {
+    "policy_fusion": POLICY_FUSION, "request_statuses": REQUEST_STATUSES, "answers": ANSWERS, "link_searches": LINK_SEARCHES, "written_rows": WRITTEN_ROWS, "cluster_batches": CLUSTERS, "stream_all_history": ALL_HISTORY,
+    "rendered_candidates": RENDERED, "numbered_candidates": NUMBERED, "official_fields": OFFICIAL_FIELDS,
+}

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators import answer, links, policies, presets
-from spindrift.sources import catalog
+from spindrift.functions import html as H
+from spindrift.operators import answer, links, policies, presets, resolve
+from spindrift.sources import catalog, sinks
+from spindrift.sources import page_sources as P
 
-from .queries import _link
-from .records import read
+from .evidence import _own_pages
+from .queries import _facts, _link, _stream
+from .records import flat, read
 
 
 def _choice(key: Column, *values: str | None) -> Column:
@@ -90,4 +93,63 @@ def link_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.search(rows, asked).select("request", "normalized_url", "url", "link_type", "password", "note", F.array_join("sources", ",").alias("sources"))
 
 
-QUERIES = {f.__name__: f for f in (policy_fusion, request_statuses, answers, link_searches)}
+def written_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guarded writes of customers' records in epochs, each sent twice: what is read back is there once."""
+    path, k = resolve.scratch(spark, "written"), F.col("c_custkey")
+    c = read(spark, sf_dir, "customer")
+    rows = sinks.guarded(c, k % 10 != 0, F.col("c_mktsegment") != "BUILDING", F.when(F.col("c_acctbal") > 0, F.col("c_name"))).select("c_custkey", "submission", "write_status")
+    for epoch in (0, 1, 1, 0):
+        sinks.write_once(rows.where(k % 2 == epoch), path, epoch)
+    return sinks.written(spark, path, "c_custkey long, submission string").select("c_custkey", "submission", "epoch")
+
+
+def cluster_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' clusters when the documents arrive in three batches; only touched clusters are labelled anew."""
+    facts = _facts(spark, sf_dir)
+    ids = facts.select("fact", F.explode(F.array("whole", "last")).alias("id")).where("id is not null")
+    pairs = resolve.stored(ids.distinct(), "all-pairs")
+    of = lambda k: pairs.where(F.col("fact") % 3 == k)
+    labels = resolve.clusters(of(0))
+    for k in (1, 2):
+        labels = resolve.stored(resolve.merged_labels(labels, resolve.extended(labels, pairs.where(F.col("fact") % 3 < k), of(k))), "labels")
+    return labels
+
+
+def stream_all_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 20 attempts over all providers, from a stream (the bound is the feature)."""
+    from spindrift.streaming import history
+
+    with history.with_store(spark):
+        out = _stream(spark, sf_dir, "all-history", lambda e: history.attempt_history(e.select(F.col("user_id").alias("provider"), "event_id", F.col("event_type").alias("status")), 20), "update")
+    return out.select(F.array_join("event_ids", ",").alias("event_ids"), F.array_join("providers", ",").alias("providers"), F.array_join("statuses", ",").alias("statuses"))
+
+
+def _flow(spark: SparkSession, sf_dir: str, s: P.Site) -> DataFrame:
+    """Candidates of a source of pages, over search and detail pages that parts describe."""
+    pages, queries = _own_pages(spark, sf_dir)
+    listed = P.result_links(pages.where(F.col("url").contains("/search")).select("url", H.page_texts("html", "url")["links"].alias("links")))
+    return flat(P.candidates(P.targets(queries, listed, s), P.details(pages), s))
+
+
+def rendered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rendered search page that is never read as a detail page."""
+    return _flow(spark, sf_dir, P.site("rendered_search", "https://site.example", "airav", search="/search?q={}", routes=("censored",)))
+
+
+def numbered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of one kind of number each: one that is searched, and one with detail pages alone; all fields of their candidates."""
+    searched = _flow(spark, sf_dir, P.site("jav321", "https://site.example", search="/search?q={}"))
+    alone = _flow(spark, sf_dir, P.site("fc2ppvdb", "https://site.example", detail="/v/{}", id_form="[0-9]+", routes=("none",)))
+    return searched.unionByName(alone)
+
+
+def official_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of the candidates of a source whose detail pages are asked by number, without a search."""
+    pages, queries = _own_pages(spark, sf_dir)
+    s = P.site("official", "https://site.example", "caribbean", detail="/v/{}", routes=("censored",), id_form="[0-9]+")
+    by_key = queries.withColumn("number", F.when(F.col("number").isNotNull(), F.col("query_id").cast("string")))
+    none = spark.createDataFrame([], "url string, position int, href string, text string")
+    return flat(P.candidates(P.targets(by_key, none, s), P.details(pages), s))
+
+
+QUERIES = {f.__name__: f for f in (policy_fusion, request_statuses, answers, link_searches, written_rows, cluster_batches, stream_all_history, rendered_candidates, numbered_candidates, official_fields)}

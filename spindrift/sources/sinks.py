@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.values import is_retryable_status
@@ -56,6 +59,46 @@ def write_submitted(rows: DataFrame, path: str) -> DataFrame:
     return rows.groupBy("write_status", "write_reason").count()
 
 
+COMMITS = "epoch long, attempt string"
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """(epoch, attempt): which write of each epoch counts."""
+    try:
+        return spark.read.schema(COMMITS).option("recursiveFileLookup", True).parquet(f"{path}/commits")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMITS)
+
+
+def write_once(rows: DataFrame, path: str, epoch: int) -> bool:
+    """Writes an epoch's submitted rows, unless that epoch is written already; says whether it did.
+
+    The rows of an attempt go to a folder of their own; then one small file names the
+    attempt that counts.  A run that ends between the two leaves rows that no commit
+    names, and the epoch is written again; one that ends after it changes nothing
+    when it is repeated.  For streams, call it in ``foreachBatch``.  One writer at a time.
+    """
+    spark = rows.sparkSession
+    if not commits(spark, path).where(F.col("epoch") == epoch).isEmpty():
+        return False
+    attempt = uuid.uuid4().hex
+    rows.where("write_status = 'submitted'").write.parquet(f"{path}/rows/epoch={epoch}/attempt={attempt}")
+    commit(spark, path, epoch, attempt)
+    return True
+
+
+def commit(spark: SparkSession, path: str, epoch: int, attempt: str) -> None:
+    spark.createDataFrame([(epoch, attempt)], COMMITS).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/of={epoch}")
+
+
+def written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all committed epochs, with epoch; schema: that of the rows.  Folders of other attempts are pruned by the join."""
+    rows = spark.read.schema(f"{schema}, {COMMITS}").parquet(f"{path}/rows")
+    return rows.join(commits(spark, path), ["epoch", "attempt"], "left_semi").drop("attempt")
+
+
 def fan_out(sends: DataFrame, order: str = "ordinal") -> DataFrame:
     """What sending each event to its providers in order does: the first failure ends the event's sending.
 
