@@ -1,6 +1,7 @@
 """Decontamination against alignments of all documents with all items."""
 
 import random
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,25 +18,29 @@ def hashed(text):
     return words.words(*common.raw(pa.array([text], pa.string())), words.PUNCTUATED)[0]
 
 
-def plain_score(a, b, s):
-    """Smith-Waterman, a row at a time: the best score of any local alignment."""
+@lru_cache(maxsize=None)
+def plain_score(a, b, match, mismatch, gap):
+    """Smith-Waterman, a cell at a time: the best score of any local alignment."""
     above, best = [0] * (len(b) + 1), 0
     for x in a:
-        row = [0]
+        row, last = [0], 0
         for j, y in enumerate(b):
-            row.append(max(0, above[j] + (s.match if x == y else s.mismatch), above[j + 1] + s.gap, row[j] + s.gap))
+            score = above[j] + (match if x == y else mismatch)
+            last = max(score, above[j + 1] + gap, last + gap, 0) if score > 0 or last or above[j + 1] else 0
+            row.append(last)
         above, best = row, max(best, max(row))
     return best
 
 
 def brute(docs, items, s):
     """Best alignment over whole documents, for every pair of a document and an item that share a word."""
-    out, known = {}, {d: hashed(t).tolist() for d, t in docs.items() if t}
+    out, known = {}, {d: tuple(hashed(t).tolist()) for d, t in docs.items() if t}
     for i, item in items.items():
-        a = hashed(item).tolist()
+        a = tuple(hashed(item).tolist())
+        own = set(a)
         for d, b in known.items():
-            if a and len(a) + sum(x in set(a) for x in b) and s.match * min(len(a), sum(x in set(a) for x in b)) >= s.least_score(len(a)):
-                best = plain_score(a, b, s)
+            if a and s.match * min(len(a), sum(x in own for x in b)) >= s.least_score(len(a)):  # else no alignment can score enough
+                best = plain_score(a, b, s.match, s.mismatch, s.gap)
                 if best >= s.least_score(len(a)):
                     out[d, i] = best / (s.match * len(a))
     return out
