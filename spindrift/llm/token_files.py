@@ -76,6 +76,7 @@ def drops_white_space(spec: dict) -> bool:
     return blank and plain and safe and set(kinds) <= {"NFC", "Replace", "Lowercase"} and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
 
 
+PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _PACKED = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
@@ -105,6 +106,7 @@ class Encoder:
         pieces = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         runs_of_letters = self.by_words and self.folds and [p["type"] for p in pieces] == ["Split", "ByteLevel"] and not pieces[1].get("add_prefix_space") and r"[\p{L}]+" in pieces[0]["pattern"]["Regex"].split("|")
         self.model, self.letters = self.tokenizer.model, byte_letters() if runs_of_letters else None
+        self.plain_pieces = bool(runs_of_letters) and {r"[\p{N}]", r"[^\s\p{L}\p{N}]+"} <= set(pieces[0]["pattern"]["Regex"].split("|"))
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         # Words seen of late, and those of the generation before: what is asked for again moves up.
@@ -132,6 +134,9 @@ class Encoder:
                     self.known[word] = self.whole(word)
                 elif self.letters is not None and (one := self._word(word)) is not None:
                     self.known[word] = one
+                elif self.letters is not None and self.plain_pieces and word.isascii() and word.islower() and b"'" not in word and not any(t in word for t in self.added):
+                    # Letters, single digits and runs of signs are pieces of their own.
+                    self.known[word] = b"".join(map(self._piece, PIECES.findall(word)))
                 else:
                     learn.append(word)
         for lo in range(0, len(learn), TOGETHER):
@@ -142,6 +147,12 @@ class Encoder:
         except KeyError:  # words too long to be remembered
             return b"".join([self.known[w] if len(w) <= LONGEST else self.whole(w) for w in words])
 
+    def _piece(self, piece: bytes) -> bytes:
+        found = self.known.get(piece) or self.older.get(piece)
+        if found is None:
+            found = self.known[piece] = self.model_ids(codecs.charmap_decode(piece, "strict", self.letters)[0])
+        return found
+
     def _word(self, word: bytes) -> bytes | None:
         """Ids of a word of small Latin letters: one piece, which the model takes as it is; None for other words."""
         if word.isalpha() and word.islower():  # ASCII letters alone stand for themselves

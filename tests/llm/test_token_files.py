@@ -29,7 +29,7 @@ def odd_texts():
     rng = random.Random(3)
     letters = list("abzAZ½é漢ñΣσİ'’0189.,!?-_<|>$́  \u001c\u0085﻿\U0001f600") + [" ", "\t", "\n", "\x0b", "\x0c", "\r"] * 2
     out = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 60))) for _ in range(300)]
-    return [*out, None, "", " \n", "a<|endoftext|>b <|startoftext|>", "<|endof text|>", "e ́", "x" * 5000, "it's we'll 's 'S", "ΑΣ ΑΣ.", "word " * 3000, "The THE the. the, the.. \"the\". <|EndOfText|> <|endoftext|>.", "½ a½b ½½", "end. End! end!? it's. 'S.", "straße Öl öl garçon ñandú ªº ŉ ĳ ǆ ǅ ﬁ ß ÿ ſ İ ı µ", "cafe\u0301 ÀÉ àé"]
+    return [*out, None, "", " \n", "a<|endoftext|>b <|startoftext|>", "<|endof text|>", "e ́", "x" * 5000, "it's we'll 's 'S", "ΑΣ ΑΣ.", "word " * 3000, "The THE the. the, the.. \"the\". <|EndOfText|> <|endoftext|>.", "½ a½b ½½", "end. End! end!? it's. 'S.", "straße Öl öl garçon ñandú ªº ŉ ĳ ǆ ǅ ﬁ ß ÿ ſ İ ı µ", "cafe\u0301 ÀÉ àé", "x.y.. a1b22 $9 (end) \"q\", a-b_c --z \u001ca\u007fb <|x|> 'tis o'k it's. 12:30"]
 
 
 @pytest.fixture(scope="module")
