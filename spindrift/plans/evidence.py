@@ -14,7 +14,7 @@ from spindrift.sources import catalog, sinks
 from spindrift.sources import json_sources as J
 from spindrift.sources import page_sources as P
 
-from .records import flat, read
+from .records import flat, read, spread
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,15 +30,15 @@ def html_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pages(spark, sf_dir).select("page_id", H.page_texts("html", "url")["links"].alias("links"))
+    p = _pages(spark, sf_dir).select("page_id", H.page_texts("html", "url", "links")["links"].alias("links"))
     return p.select("page_id", F.explode("links").alias("x")).select("page_id", "x.url", "x.text")
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled lines, images and the snapshot text of pages that parts describe."""
-    p = read(spark, sf_dir, "part")
+    p = spread(read(spark, sf_dir, "part"), "p_partkey")
     html = F.concat(F.lit("<body><ul><li>Maker： "), F.col("p_brand"), F.lit("</li><li>Size: "), F.col("p_size").cast("string"), F.lit("</li></ul><img src='/i.jpg'><a href='/x'><img src=\"//c.example/j.jpg\"></a></body>"))
-    f = p.select("p_partkey", H.page_texts(html, F.lit("https://h.example/a/b")).alias("f"))
+    f = p.select("p_partkey", H.page_texts(html, F.lit("https://h.example/a/b"), "lines", "images", "body").alias("f"))
     lines = F.array_join(F.transform("f.lines", lambda x: F.concat(x["label"], F.lit("="), x["value"])), "|")
     return f.select("p_partkey", lines.alias("lines"), F.array_join("f.images", "|").alias("images"), H.snapshot_text(F.concat(F.lit(" "), F.col("f.body"), F.lit(" \n"))).alias("text"))
 
@@ -53,14 +53,14 @@ def generic_page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every page's links, those that a search for its second link's word finds."""
-    p = _pages(spark, sf_dir).select("page_id", "url", H.page_texts("html", "url")["links"].alias("links"))
+    p = _pages(spark, sf_dir).select("page_id", "url", H.page_texts("html", "url", "links")["links"].alias("links"))
     found = P.result_links(p).join(p.select("url", "page_id", F.get("links", F.lit(1))["text"].alias("word")), "url")
     return found.where(H.mentions(F.col("text"), F.col("href"), F.col("word"))).select("page_id", "position", "href")
 
 
 def _own_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Search and detail pages of a site that parts describe, and queries to it."""
-    p, key = read(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    p, key = spread(read(spark, sf_dir, "part"), "p_partkey"), F.col("p_partkey").cast("string")
     number = F.concat(F.lit("ABC-"), (F.col("p_partkey") + 100_000).cast("string"))
     base = F.lit("https://site.example")
     detail = F.concat(
@@ -83,7 +83,7 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source of rendered pages: direct address, direct id, search, and the search page itself as a fallback."""
     pages, queries = _own_pages(spark, sf_dir)
     s = P.site("javdb", "https://site.example")
-    links_ = P.result_links(pages.where(F.col("url").contains("/search")).select("url", H.page_texts("html", "url")["links"].alias("links")))
+    links_ = P.result_links(pages.where(F.col("url").contains("/search")).select("url", H.page_texts("html", "url", "links")["links"].alias("links")))
     return flat(P.candidates(P.targets(queries, links_, s), P.details(pages), s))
 
 
@@ -100,7 +100,7 @@ def official_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def titled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source that is searched by title and enriches its first results."""
     pages, queries = _own_pages(spark, sf_dir)
-    links_ = P.result_links(pages.where(F.col("url").contains("/search")).select("url", H.page_texts("html", "url")["links"].alias("links")))
+    links_ = P.result_links(pages.where(F.col("url").contains("/search")).select("url", H.page_texts("html", "url", "links")["links"].alias("links")))
     q = queries.where("number is not null").withColumn("query_title", F.col("number"))
     out = P.search_then_detail(q, links_, P.details(pages), "douban", F.concat(F.lit("https://site.example/search?q="), F.col("number")))
     return out.select("query_id", "provider_id", "title", "release_date", "runtime_minutes", "score_milli")
@@ -284,7 +284,7 @@ def native_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog numbers of payloads from their members in order, and titles that a number replaces."""
-    p, z, k = read(spark, sf_dir, "part"), F.col("p_size"), F.col("p_partkey").cast("string")
+    p, z, k = spread(read(spark, sf_dir, "part"), "p_partkey"), F.col("p_size"), F.col("p_partkey").cast("string")
     n = F.lpad(k, 4, "1")
     payload = F.to_json(F.struct(F.when(z % 5 == 0, F.concat(F.lit("abc-"), n)).alias("av_number"), F.when(z % 3 == 0, F.concat(F.lit("XYZ-"), n)).alias("number"), F.when(z % 2 == 0, F.concat(F.lit("/d/QRS-"), n, F.lit(".mkv"))).alias("path"), F.when(z % 7 != 0, F.when(z % 4 == 0, "movie.1080p").otherwise(F.col("p_name"))).alias("title")))
     members = ("av_number", "number", "file_name", "filename", "path", "title", "name")
@@ -418,7 +418,7 @@ def provider_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of payloads as objects, lists and top-level members."""
-    c, k = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k = spread(read(spark, sf_dir, "customer"), "c_custkey"), F.col("c_custkey")
     n = k.cast("string")
     payload = (
         F.when(k % 4 == 0, F.concat(F.lit('{"external_ids":{"IMDB":" tt'), n, F.lit('","tmdb":['), n, F.lit(',-1,"7",true]},"tmdb_id":0}')))

@@ -127,7 +127,7 @@ def stream_all_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _flow(spark: SparkSession, sf_dir: str, s: P.Site) -> DataFrame:
     """Candidates of a source of pages, over search and detail pages that parts describe."""
     pages, queries = _own_pages(spark, sf_dir)
-    listed = P.result_links(pages.where(F.col("url").contains("/search")).select("url", H.page_texts("html", "url")["links"].alias("links")))
+    listed = P.result_links(pages.where(F.col("url").contains("/search")).select("url", H.page_texts("html", "url", "links")["links"].alias("links")))
     return flat(P.candidates(P.targets(queries, listed, s), P.details(pages), s))
 
 

@@ -98,3 +98,30 @@ def test_render_urls(spark):
     cases = {"https://h/x": None, "HTTPS://h": None, " ": "missing_url", "nothing": "invalid_render_url", "file:///x": "invalid_render_url_scheme", "http://u@h/": "invalid_render_url_credentials", "http://h/a@b": None, "https://": "invalid_render_url"}
     got = {r.u: r.f for r in spark.createDataFrame([(u,) for u in cases], "u string").select("u", planning.render_url_fault(F.col("u")).alias("f")).collect()}
     assert got == cases
+
+
+def test_selectors_test_only_elements_that_can_match(monkeypatch):
+    """A page's cost does not grow with selectors times elements."""
+    tested = []
+    simple = H._simple
+    monkeypatch.setattr(H, "_simple", lambda part: lambda e: tested.append(part) or simple(part)(e))
+    H.matcher.cache_clear()
+    try:
+        p = H.Page("<div>" * 5 + '<a class="x y" href="/genre/1">g</a>' + "</div>" * 5 + '<p class="score">1</p>')
+        assert [e.name for e in p.select('.y, a[href*="genre"], p')] == ["a", "p"] and len(tested) == 1
+    finally:
+        H.matcher.cache_clear()
+
+
+def test_named_texts_alone_are_read(spark):
+    df = spark.createDataFrame([(PAGE, "https://h.example/"), (None, "u")], "html string, url string")
+    got = df.select(H.page_texts("html", "url", "links", "title").alias("f"))
+    assert got.schema["f"].dataType.names == ["links", "title"]
+    first, none = (r.f for r in got.collect())
+    assert first.title == "A Long" and first.links[0].text == "Drama, War" and (none.links, none.title) == (None, None)
+
+
+def test_rows_of_a_small_file_are_spread(spark):
+    from spindrift.plans.records import spread
+
+    assert spread(spark.range(1000).coalesce(1), "id").rdd.getNumPartitions() == 16
