@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_lower, non_blank, trimmed
+from .text import ascii_lower, bound, non_blank, trimmed
 
 
 def first_iso_date(c: Column) -> Column:
@@ -114,9 +114,8 @@ def without(values: Column, selected: Column) -> Column:
 
 def json_text(payload: Column, key: str) -> Column:
     """A string member, trimmed, NULL where blank or of another kind."""
-    v = F.try_variant_get(F.try_parse_json(payload), f"$.{key}", "string")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), f"$.{key}", "variant"))
-    return F.when(kind == "STRING", non_blank(v))
+    member = F.try_variant_get(F.try_parse_json(payload), f"$.{key}", "variant")
+    return bound(member, lambda v: F.when(F.schema_of_variant(v) == "STRING", non_blank(F.try_variant_get(v, "$", "string"))))
 
 
 def json_scalar(payload: Column, key: str) -> Column:
