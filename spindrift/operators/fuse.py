@@ -36,9 +36,9 @@ def fused(facts: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
     """One row for each cluster: every field by its preferred providers, else base, else first fact.
 
     fields: field -> providers in order of preference (empty: base only): the policy
-    of all clusters, as rows.
+    of all clusters.
     """
-    values = policies.fused_values(facts.withColumn("policy", F.lit(policies.DEFAULT)), policies.preference_rows(facts, fields), list(fields))
+    values = policies.fused_by(facts, fields)
     return policies.records(values, {f: facts.schema[f].dataType.simpleString() for f in fields})
 
 

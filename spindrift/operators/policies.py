@@ -39,23 +39,11 @@ def field_policies(requests: DataFrame, default: DataFrame, fields: list[str]) -
     return told.select("request", "policy"), rows
 
 
-def preference_rows(df: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
-    """One policy for all, from field -> providers in order of preference."""
-    rows = [(DEFAULT, field, source, k) for field, sources in fields.items() for k, source in reversed(list(enumerate(sources)))]
-    return df.sparkSession.createDataFrame(rows, "policy string, field string, source string, rank long")
-
-
 def _variant(df: DataFrame, field: str) -> Column:
     nested = isinstance(df.schema[field].dataType, ArrayType | MapType | StructType)
     return F.to_variant_object(F.col(field)) if nested else F.col(field).cast("variant")
 
 
-def cells(facts: DataFrame, fields: list[str], keys: tuple[str, ...]) -> DataFrame:
-    """One row for each fact and field, the value as a variant; absent values stay as rows."""
-    values = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), _variant(facts, f).alias("value")) for f in fields))).alias("x")
-    return facts.select("policy", *keys, "provider", "provider_id", "arrival", "confidence_milli", values).select("*", "x.field", "x.value").drop("x")
-
-
 def fused_values(facts: DataFrame, rows: DataFrame, fields: list[str], keys: tuple[str, ...] = ("cluster",)) -> DataFrame:
     """(keys, field, n_facts, base, value, provider): every field of every cluster under its facts' policy.
 
@@ -65,22 +53,54 @@ def fused_values(facts: DataFrame, rows: DataFrame, fields: list[str], keys: tup
     where the policy names sources for the field, the first fact's that has one.  The
     base is the fact with the greatest confidence, then least provider, id and arrival.
 
-    Cells meet the preferences of their policy and field, which are as many as a
-    policy names: a small table is broadcast by the planner from its measured size, a
-    large one is joined by key, and what a common policy and field make hot is split
-    by adaptive execution.  The rest is one aggregation that combines before its shuffle.
+    Cells meet the preferences of their policy and field: a small table is broadcast by
+    the planner from its measured size, a large one is joined by key, and what a common
+    policy and field make hot is split by adaptive execution.  Where facts come with
+    their preferences, or all have the same, ``chosen_values`` joins nothing.
     """
     # Joined by one key of both, so that each side has a shuffle of its own: only such sides are split.
     at = F.concat_ws("\x1f", "policy", "field").alias("at")
     listed = rows.groupBy("policy", "field").agg(F.map_from_entries(F.collect_list(F.struct("source", "rank"))).alias("ranks")).select(at, "ranks")
-    joined = cells(facts, fields, keys).select("*", at).join(listed, "at", "left")
-    rank = F.try_element_at("ranks", F.col("provider"))
+    values = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), _variant(facts, f).alias("value")) for f in fields))).alias("x")
+    cells = facts.select("policy", *keys, "provider", "provider_id", "arrival", "confidence_milli", values).select("*", "x.*").drop("x")
+    joined = cells.select("*", at).join(listed, "at", "left")
+    return _best(joined.withColumns({"rank": F.try_element_at("ranks", F.col("provider")), "is_listed": F.col("ranks").isNotNull()}), keys)
+
+
+def with_listed(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds listed, what each row's policy prefers: field -> source -> rank (NULL: nothing)."""
+    own = rows.groupBy("policy", "field").agg(F.map_from_entries(F.collect_list(F.struct("source", "rank"))).alias("ranks"))
+    listed = own.groupBy("policy").agg(F.map_from_entries(F.collect_list(F.struct("field", "ranks"))).alias("listed"))
+    return df.join(listed, "policy", "left")
+
+
+def fused_by(facts: DataFrame, preferred: dict[str, list[str]], keys: tuple[str, ...] = ("cluster",)) -> DataFrame:
+    """``fused_values`` under one policy for all facts, which is a part of the plan: nothing is joined."""
+    ranks = {f: F.create_map(*(x for k, s in enumerate(dict.fromkeys(sources)) for x in (F.lit(s), F.lit(k).cast("long")))) for f, sources in preferred.items() if sources}
+    none = F.lit(None).cast("map<string,map<string,bigint>>")
+    listed = F.create_map(*(x for f, r in ranks.items() for x in (F.lit(f), r))) if ranks else none
+    return chosen_values(facts, listed, list(preferred), keys)
+
+
+def chosen_values(facts: DataFrame, listed: Column, fields: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """Every field's value of every cluster; listed: field -> source -> rank of a fact's policy."""
+    # A fact's own place among its policy's sources, for all fields, so that cells carry a number and no map.
+    ranks = F.array(*(F.try_element_at(F.try_element_at(listed, F.lit(f)), F.col("provider")).alias(f) for f in fields))
+    named = F.array(*(F.coalesce(F.map_contains_key(listed, F.lit(f)), F.lit(False)) for f in fields))
+    placed = facts.select(*keys, "provider", "provider_id", "arrival", "confidence_milli", ranks.alias("_ranks"), named.alias("_named"), *(_variant(facts, f).alias(f"_v{i}") for i, f in enumerate(fields)))
+    values = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_v{i}").alias("value"), F.get("_ranks", F.lit(i)).alias("rank"), F.get("_named", F.lit(i)).alias("is_listed")) for i, f in enumerate(fields)))).alias("x")
+    joined = placed.select(*keys, "provider", "provider_id", "arrival", "confidence_milli", values).select("*", "x.*").drop("x")
+    return _best(joined, keys)
+
+
+def _best(joined: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row for each cluster and field of cells with their source's rank."""
     said, text = F.struct("value", "provider"), F.col("value").cast("string").alias("text")  # the text only settles ties
     there = F.col("value").isNotNull()
     base = F.struct((-F.col("confidence_milli")).alias("c"), "provider", "provider_id", "arrival", text)
-    preferred = F.when(there & rank.isNotNull(), F.struct(rank.alias("rank"), F.col("arrival"), text))
+    preferred = F.when(there & F.col("rank").isNotNull(), F.struct("rank", "arrival", text))
     found = joined.groupBy(*keys, "field").agg(
-        F.count("*").alias("n_facts"), F.min(base).alias("base"), F.max(F.col("ranks").isNotNull()).alias("is_listed"),
+        F.count("*").alias("n_facts"), F.min(base).alias("base"), F.max("is_listed").alias("is_listed"),
         F.min_by(said, base).alias("own"), F.min_by(said, preferred).alias("best"), F.min_by(said, F.when(there, F.struct("arrival", text))).alias("first"),
     )
     own = F.when(F.col("own.value").isNotNull(), F.col("own"))

@@ -35,9 +35,9 @@ def policy_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = read(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("request"), F.col("o_orderpriority").alias("cluster"), _choice(k, *SOURCES).alias("provider"), F.lpad(k.cast("string"), 12, "0").alias("provider_id"), k.alias("arrival"), (k % 97).cast("int").alias("confidence_milli"),
         F.when(k % 3 != 0, F.concat(F.lit("t"), k.cast("string"))).alias("title"), F.when(k % 2 == 0, F.concat(F.col("o_orderstatus"), k.cast("string"))).alias("overview"), F.when(k % 7 > 2, (k % 200).cast("int")).alias("runtime_minutes"), F.when(k % 5 != 1, F.col("o_orderdate").cast("date")).alias("release_date"),
-    ).join(assigned, "request")
+    ).join(policies.with_listed(assigned, rows), "request")
     keys = ("request", "cluster")
-    out = policies.records(policies.fused_values(facts, rows, list(fields), keys), fields, keys)
+    out = policies.records(policies.chosen_values(facts, F.col("listed"), list(fields), keys), fields, keys)
     return out.select("request", "cluster", F.col("n_facts").cast("bigint").alias("n_facts"), "provider", "provider_id", "title", "overview", "runtime_minutes", F.col("release_date").cast("string").alias("release_date"))
 
 

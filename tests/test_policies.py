@@ -91,3 +91,11 @@ def test_a_policy_that_most_facts_share_is_split(spark):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert "skew=true" in plan and len(rows_) == 5000
+
+
+def test_one_policy_for_all_joins_nothing(spark):
+    """Cells of one policy are not dealt by field, where each field would be one task's."""
+    facts = spark.range(100).selectExpr("id % 10 cluster", "concat('s', id % 3) provider", "'x' provider_id", "id arrival", "1 confidence_milli", "id title")
+    out = fuse.fused(facts, {"title": ["s2", "s1", "s2"]})
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.cluster: r.title for r in out.collect()} == {c: min(i for i in range(c, 100, 10) if i % 3 == 2) for c in range(10)}
