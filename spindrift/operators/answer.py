@@ -28,14 +28,20 @@ def answers(requests: DataFrame, candidates: DataFrame, statuses: DataFrame, ass
     Entities never reach over requests, so a request is part of every identifier; the
     labels are found together for all requests.
     """
-    selected = statuses.where("status = 'selected'").select("request", "provider")
-    found = candidates.join(selected, ["request", "provider"], "left_semi").withColumn("fact", F.concat_ws("\x1f", "request", F.lpad(F.col("arrival").cast("string"), 12, "0"), "provider", "provider_id"))
-    ids = resolve.identifiers(found, capabilities).join(found.select("fact", "request"), "fact").select("fact", F.concat_ws("\x1f", "request", "id").alias("id"))
-    labels = resolve.clusters(ids)
-    facts = found.join(labels, "fact").join(requests, "request").join(assigned, "request")
-    scored = rank.outcomes(facts.withColumn("titles", F.array("title", "original_title"))).select("request", "cluster", "policy", "provider", "provider_id", "arrival", "confidence_milli", "ids", *FIELDS)
+    # A request's sources are as many as the catalog has; by request alone the candidates keep their partitions.
+    selected = statuses.where("status = 'selected'").groupBy("request").agg(F.collect_set("provider").alias("_selected"))
+    found = candidates.join(selected, "request").where(F.array_contains("_selected", F.col("provider"))).drop("_selected")
+    found = resolve.stored(found.withColumn("fact", F.concat_ws("\x1f", "request", F.lpad(F.col("arrival").cast("string"), 12, "0"), "provider", "provider_id")), "found")
+    own = resolve.identifiers(found.select(F.struct("request", "fact").alias("fact"), "provider", "provider_id", "ids"), capabilities)
+    labels = resolve.clusters(own.select("fact.fact", F.concat_ws("\x1f", "fact.request", "id").alias("id")))
+    # Preferences come with the request, so its cells are not dealt by policy.
+    asked = requests.join(policies.with_listed(assigned, rows), "request")
+    facts = found.join(labels, "fact").join(asked, "request")
+    scored = rank.outcomes(facts.withColumn("titles", F.array("title", "original_title"))).select("request", "cluster", "listed", "provider", "provider_id", "arrival", "confidence_milli", "ids", *FIELDS)
     keys = ("request", "cluster")
-    fused = policies.records(policies.fused_values(scored, rows, list(FIELDS), keys), FIELDS, keys)
+    # Dealt once as facts: their cells, the records and what is joined to them keep these partitions.
+    scored = scored.repartition(*keys)
+    fused = policies.records(policies.chosen_values(scored, F.col("listed"), list(FIELDS), keys), FIELDS, keys)
     # The base fact's identifiers stay with the record; sources are those of the entity's facts.
     base = F.min_by("ids", F.struct((-F.col("confidence_milli")).alias("c"), "provider", "provider_id", "arrival"))
     about = scored.groupBy(*keys).agg(base.alias("ids"), F.array_sort(F.collect_set("provider")).alias("sources"))

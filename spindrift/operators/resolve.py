@@ -44,8 +44,18 @@ def clusters(ids: DataFrame) -> DataFrame:
     that very many facts have is reduced by partial aggregation; in the joins that
     follow it meets one row of the other side, and adaptive execution splits it.
     """
-    pairs = stored(ids.where("id is not null").select("fact", "id").distinct(), "id-pairs")
-    labels = stored(ids.select("fact").distinct().withColumn("cluster", F.col("fact")), "labels")
+    every = ids.where("id is not null").select("fact", "id")
+    ends = every.groupBy("id").agg(F.min("fact").alias("near"), F.max("fact").alias("far")).where("near < far").select("id")
+    pairs = stored(every.join(ends, "id").select("fact", "id").distinct(), "id-pairs")
+    # Facts that share no identifier are clusters of their own, and take no part in the rounds.
+    alone = ids.select("fact").distinct()
+    labels = _labelled(pairs)
+    return stored(alone.join(labels, "fact", "left").select("fact", F.coalesce("cluster", "fact").alias("cluster")), "labels")
+
+
+def _labelled(pairs: DataFrame) -> DataFrame:
+    """(fact, cluster) of the facts in stored (fact, id) pairs."""
+    labels = stored(pairs.select("fact").distinct().withColumn("cluster", F.col("fact")), "labels")
     while True:
         by_id = pairs.join(labels, "fact").groupBy("id").agg(F.min("cluster").alias("near"))
         near = pairs.join(by_id, "id").groupBy("fact").agg(F.min("near").alias("near"))

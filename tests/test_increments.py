@@ -97,3 +97,15 @@ def test_a_stream_batch_that_is_replayed(spark, tmp_path):
     run("lost")  # a checkpoint that was lost sends the same epoch again
     assert read(spark, path) == [(0, 0), (2, 0)]
     assert sinks.commits(spark, path).where(F.col("epoch") == 0).count() == 1
+
+
+def test_facts_that_share_nothing_take_no_part_in_the_rounds(spark, monkeypatch):
+    from spindrift.operators import resolve
+
+    sizes = {}
+    stored = resolve.stored
+    monkeypatch.setattr(resolve, "stored", lambda df, name: sizes.setdefault(name, []).append(df.count()) or stored(df, name))
+    rows = [(k, f"own{k}") for k in range(50)] + [(3, "x"), (7, "x"), (7, "y"), (9, "y"), (60, None)]
+    got = {r.fact: r.cluster for r in resolve.clusters(spark.createDataFrame(rows, "fact long, id string")).collect()}
+    assert got == {k: 3 if k in (3, 7, 9) else k for k in (*range(50), 60)}
+    assert sizes["id-pairs"] == [4] and set(sizes["labels"][:-1]) == {3}
