@@ -48,6 +48,21 @@ def union_by_variant(variants: DataFrame, key: list[str], order: list[str]) -> D
     return variants.groupBy(*key).agg(F.min(F.struct(*order, *columns)).alias("first")).select(*key, *(F.col(f"first.{c}").alias(c) for c in (*order, *columns)))
 
 
+def leading(index: DataFrame, most: int) -> DataFrame:
+    """The rows of an index (search_title, id, score) that can be among a query's best ``most``.
+
+    An id with one title has one score, so of a title's ids only the best can be among
+    any query's best, in whichever variant it is met.  An id with several titles counts
+    by its first variant; such ids all stay.
+    """
+    own = index.groupBy("search_title", "id").agg(F.min("score").alias("score"))
+    titles = own.groupBy("id").agg(F.min("search_title").alias("a"), F.max("search_title").alias("b"))
+    told = own.join(titles, "id").select("search_title", "id", "score", (F.col("a") < F.col("b")).alias("several"))
+    order = Window.partitionBy("search_title").orderBy(F.col("score").desc(), "id")
+    best = told.where("not several").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+    return best.unionByName(told.where("several")).select("search_title", "id", "score")
+
+
 def search_and_enrich(queries: DataFrame, index: DataFrame, detail: DataFrame, failed: DataFrame, most: int = 3) -> DataFrame:
     """Records of each query's title variants, the best ``most`` of them enriched or degraded.
 
@@ -58,7 +73,7 @@ def search_and_enrich(queries: DataFrame, index: DataFrame, detail: DataFrame, f
     variants = queries.select("query_id", F.posexplode(search_title_variants(F.col("title"))).alias("place", "variant"))
     tried = variants.join(failed.select(F.col("variant").alias("f")).distinct(), F.col("variant") == F.col("f"), "left")
     state = tried.groupBy("query_id").agg(F.count("*").alias("n"), F.count("f").alias("n_failed"))
-    hits = tried.where("f is null").join(index, F.col("variant") == F.col("search_title")).select("query_id", "id", "place", "score")
+    hits = tried.where("f is null").join(leading(index, most), F.col("variant") == F.col("search_title")).select("query_id", "id", "place", "score")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     top = union_by_variant(hits, ["query_id", "id"], ["place"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     found = enriched(top, detail).join(state.select("query_id", (F.col("n_failed") > 0).alias("partial")), "query_id")

@@ -109,3 +109,19 @@ def test_facts_that_share_nothing_take_no_part_in_the_rounds(spark, monkeypatch)
     got = {r.fact: r.cluster for r in resolve.clusters(spark.createDataFrame(rows, "fact long, id string")).collect()}
     assert got == {k: 3 if k in (3, 7, 9) else k for k in (*range(50), 60)}
     assert sizes["id-pairs"] == [4] and set(sizes["labels"][:-1]) == {3}
+
+
+def test_a_title_that_many_share_meets_its_best_alone(spark):
+    from spindrift.operators import lookups
+
+    rows = [("t", k, k % 50) for k in range(200)] + [("u (x)", 7, 99), ("u", 300, 98), ("u", 7, 1), ("t", 400, 60), ("u (x)", 400, 70), ("u", 301, 5)]
+    index = spark.createDataFrame(rows, "search_title string, id long, score int")
+    kept = lookups.leading(index, 3)
+    assert kept.count() == 10 and kept.where("search_title = 't'").count() == 5  # the best three, and ids 7 and 400 of several titles
+    queries = spark.createDataFrame([(1, "t"), (2, "u (x)")], "query_id long, title string")
+    detail = spark.createDataFrame([], "asked long, id long, failed boolean")
+    out = lookups.search_and_enrich(queries, index, detail, spark.createDataFrame([], "variant string"))
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {1: [400, 49, 99], 2: [7, 300, 400]}
