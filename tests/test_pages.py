@@ -125,3 +125,9 @@ def test_rows_of_a_small_file_are_spread(spark):
     from spindrift.plans.records import spread
 
     assert spread(spark.range(1000).coalesce(1), "id").rdd.getNumPartitions() == 16
+
+
+def test_results_of_a_batch_are_held_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(H, "ROWS_HELD", 3)
+    df = spark.range(20).coalesce(1).selectExpr("id", "concat('<h1>', id, '</h1>') html").select("id", H.page_texts("html", F.lit("u"), "title").alias("f"))
+    assert {r.id: r.f.title for r in df.collect()} == {k: str(k) for k in range(20)}
