@@ -54,7 +54,8 @@ def generic_page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every page's links, those that a search for its second link's word finds."""
     p = _pages(spark, sf_dir).select("page_id", "url", H.page_texts("html", "url", "links")["links"].alias("links"))
-    found = P.result_links(p).join(p.select("url", "page_id", F.get("links", F.lit(1))["text"].alias("word")), "url")
+    # A page's word goes with its own links: several pages can have one address.
+    found = P.result_links(p.withColumn("word", F.get("links", F.lit(1))["text"]), "page_id", "word")
     return found.where(H.mentions(F.col("text"), F.col("href"), F.col("word"))).select("page_id", "position", "href")
 
 

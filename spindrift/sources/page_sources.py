@@ -58,9 +58,9 @@ def _filled(site_: Site, template: str, value: Column) -> Column:
     return F.concat(F.lit(site_.base.rstrip("/") + before), T.percent_encode(value), F.lit(after))
 
 
-def result_links(pages: DataFrame) -> DataFrame:
-    """(url, position, href, text) of the links that a search page can list; pages: (url, links)."""
-    links = pages.select("url", F.posexplode("links").alias("position", "x")).select("url", "position", F.col("x.url").alias("href"), F.col("x.text").alias("text"))
+def result_links(pages: DataFrame, *told: str) -> DataFrame:
+    """(url, position, href, text) of the links that a search page can list, with what else is told of the page; pages: (url, links, told)."""
+    links = pages.select("url", *told, F.posexplode("links").alias("position", "x")).select("url", *told, "position", F.col("x.url").alias("href"), F.col("x.text").alias("text"))
     return links.where(H.is_result_link(F.col("href")))
 
 

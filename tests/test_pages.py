@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import html as H
 from spindrift.functions import values as V
 from spindrift.operators import batch, planning, presets
+from spindrift.plans import evidence
 from spindrift.sources import catalog, sinks
 from spindrift.sources import json_sources as J
 
@@ -131,3 +132,10 @@ def test_results_of_a_batch_are_held_in_parts(spark, monkeypatch):
     monkeypatch.setattr(H, "ROWS_HELD", 3)
     df = spark.range(20).coalesce(1).selectExpr("id", "concat('<h1>', id, '</h1>') html").select("id", H.page_texts("html", F.lit("u"), "title").alias("f"))
     assert {r.id: r.f.title for r in df.collect()} == {k: str(k) for k in range(20)}
+
+
+def test_search_results_of_pages_with_one_address(spark, tmp_path):
+    page = lambda path: f'<body><a href="/a">first</a><a href="/{path}">red</a></body>'
+    spark.createDataFrame([(1, "https://h.example/x", page("one")), (2, "https://h.example/x", page("two")), (3, "https://h.example/y", page("one"))], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = evidence.search_results(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "https://h.example/one"), (2, 1, "https://h.example/two"), (3, 1, "https://h.example/one")]
