@@ -85,7 +85,7 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, queries = _own_pages(spark, sf_dir)
     s = P.site("javdb", "https://site.example")
     links_ = P.result_links(pages.where(F.col("url").contains("/search")).select("url", H.page_texts("html", "url", "links")["links"].alias("links")))
-    return flat(P.candidates(P.targets(queries, links_, s), P.details(pages), s))
+    return flat(P.candidates(P.targets(queries, links_, s), pages, s))
 
 
 def official_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def official_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = P.site("official", "https://site.example", "caribbean", detail="/v/{}", routes=("censored",), id_form="[0-9]+")
     by_key = queries.withColumn("number", F.when(F.col("number").isNotNull(), F.col("query_id").cast("string")))
     none = pages.limit(0).select("url", F.lit(0).alias("position"), F.lit("").alias("href"), F.lit("").alias("text"))
-    out = P.candidates(P.targets(by_key, none, s), P.details(pages), s)
+    out = P.candidates(P.targets(by_key, none, s), pages, s)
     return out.groupBy("outcome").agg(F.count("*").alias("n"), F.min("query_id").alias("first_id"), F.sum("query_id").alias("ids"))
 
 
@@ -103,7 +103,7 @@ def titled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, queries = _own_pages(spark, sf_dir)
     links_ = P.result_links(pages.where(F.col("url").contains("/search")).select("url", H.page_texts("html", "url", "links")["links"].alias("links")))
     q = queries.where("number is not null").withColumn("query_title", F.col("number"))
-    out = P.search_then_detail(q, links_, P.details(pages), "douban", F.concat(F.lit("https://site.example/search?q="), F.col("number")))
+    out = P.search_then_detail(q, links_, pages, "douban", F.concat(F.lit("https://site.example/search?q="), F.col("number")))
     return out.select("query_id", "provider_id", "title", "release_date", "runtime_minutes", "score_milli")
 
 

@@ -9,21 +9,13 @@ from spindrift.functions import html as H
 from spindrift.functions import text as T
 from spindrift.functions import values as V
 from spindrift.sources import json_sources as J
-from spindrift.sources import page_sources as P
+from spindrift.sources.page_sources import spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """The rows dealt by a key over four tasks a core, ahead of work that is heavy for each row.
-
-    A table of few bytes is read by one task or two, however many rows it has.
-    """
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
-
-
 def _pairs(c: str, a: str, b: str) -> Column:
     return F.array_join(F.transform(c, lambda x: F.concat(x[a], F.lit("="), x[b])), "|")
 

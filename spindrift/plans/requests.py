@@ -128,7 +128,7 @@ def _flow(spark: SparkSession, sf_dir: str, s: P.Site) -> DataFrame:
     """Candidates of a source of pages, over search and detail pages that parts describe."""
     pages, queries = _own_pages(spark, sf_dir)
     listed = P.result_links(pages.where(F.col("url").contains("/search")).select("url", H.page_texts("html", "url", "links")["links"].alias("links")))
-    return flat(P.candidates(P.targets(queries, listed, s), P.details(pages), s))
+    return flat(P.candidates(P.targets(queries, listed, s), pages, s))
 
 
 def rendered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ def official_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = P.site("official", "https://site.example", "caribbean", detail="/v/{}", routes=("censored",), id_form="[0-9]+")
     by_key = queries.withColumn("number", F.when(F.col("number").isNotNull(), F.col("query_id").cast("string")))
     none = spark.createDataFrame([], "url string, position int, href string, text string")
-    return flat(P.candidates(P.targets(by_key, none, s), P.details(pages), s))
+    return flat(P.candidates(P.targets(by_key, none, s), pages, s))
 
 
 QUERIES = {f.__name__: f for f in (policy_fusion, request_statuses, answers, link_searches, written_rows, cluster_batches, stream_all_history, rendered_candidates, numbered_candidates, official_fields)}

@@ -1,7 +1,7 @@
 """Page sources: rendered pages held as (url, html) become candidate records.
 
-A page is parsed once, in a pass of its own; which page answers a query is
-decided by joins on addresses.  Fetching and rendering pages is no part of this.
+Which page answers a query is decided by joins on addresses; the pages that
+answer one are parsed after them.  Fetching and rendering pages is no part of this.
 """
 
 from __future__ import annotations
@@ -19,6 +19,14 @@ from spindrift.functions import values as V
 from .json_sources import ART, STRINGS, _candidates, artwork, external_ids, non_empty
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by a key over four tasks a core, ahead of work that is heavy for each row.
+
+    A table of few bytes is read by one task or two, however many rows it has.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 @dataclass(frozen=True)
 class Site:
     """How a source answers a query: templates hold {} for the number or id; routes: what it serves (empty: all)."""
@@ -92,15 +100,20 @@ def targets(queries: DataFrame, links: DataFrame, s: Site) -> DataFrame:
     return out.where("how <> 'search'").unionByName(found.select(out.columns))
 
 
-def details(pages: DataFrame) -> DataFrame:
-    """(url, d) of detail pages; pages: (url, html)."""
-    return pages.select("url", H.detail_texts("html", "url").alias("d"))
+def detailed(asked: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds d, what the target says as a detail page, to queries whose target there is; pages: (url, html).
+
+    Only pages that a query has as its target are parsed, over all cores: the join would
+    else be left with few tasks, as its rows are small.
+    """
+    asked, pages = spread(asked, "target"), spread(pages, "url")
+    return asked.join(pages, asked.target == pages.url).withColumn("d", H.detail_texts("html", "url")).drop("html")
 
 
-def candidates(asked: DataFrame, parsed: DataFrame, s: Site) -> DataFrame:
-    """Candidates of queries whose target page there is; asked: from ``targets``; parsed: from ``details``."""
+def candidates(asked: DataFrame, pages: DataFrame, s: Site) -> DataFrame:
+    """Candidates of queries whose target page there is; asked: from ``targets``; pages: (url, html)."""
     d = lambda f: F.col(f"d.{f}")
-    rows = asked.join(parsed, asked.target == parsed.url)
+    rows = detailed(asked, pages)
     # Tokens, the numbers in them and the choice among those in a projection each: each names the one before many times.
     said = {"t_number": d("number"), "t_title": d("title"), "t_target": F.col("target"), "t_body": d("body")}
     rows = rows.withColumns({t: T.filename_tokens(c) for t, c in said.items()}).withColumns({t: T.catalog_number(F.col(t))["number"] for t in said})
@@ -118,12 +131,12 @@ def candidates(asked: DataFrame, parsed: DataFrame, s: Site) -> DataFrame:
     )
 
 
-def search_then_detail(queries: DataFrame, links: DataFrame, parsed: DataFrame, provider: str, search_of: Column, most: int = 3) -> DataFrame:
+def search_then_detail(queries: DataFrame, links: DataFrame, pages: DataFrame, provider: str, search_of: Column, most: int = 3) -> DataFrame:
     """A source that is searched by title: the first ``most`` results' pages each give a candidate."""
     asked = queries.withColumn("search_url", search_of)
     hits = asked.join(links, asked.search_url == links.url).select("query_id", "query_title", "position", F.col("href").alias("target"))
     first = hits.groupBy("query_id", "query_title").agg(F.slice(F.array_sort(F.collect_set(F.struct("position", "target"))), 1, most).alias("hits"))
-    rows = first.select("query_id", "query_title", F.explode("hits").alias("hit")).select("query_id", "query_title", "hit.target").join(parsed, F.col("target") == F.col("url"))
+    rows = detailed(first.select("query_id", "query_title", F.explode("hits").alias("hit")).select("query_id", "query_title", "hit.target"), pages)
     title = F.coalesce(F.col("d.title"), F.col("query_title"))
     date = F.coalesce(F.col("d.release_date"), V.first_iso_date(F.col("d.body")))
     return _candidates(

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from spindrift.functions import html as H
 from spindrift.functions import values as V
 from spindrift.operators import batch, planning, presets
-from spindrift.plans import evidence
+from spindrift.plans import evidence, requests
 from spindrift.sources import catalog, sinks
 from spindrift.sources import json_sources as J
+from spindrift.sources import page_sources
 
 PAGE = """<html><head><meta name="description" content=" Plain  words. "><meta property="og:description" content="other">
 <meta property="og:image" content="/img/a.png"><link rel="canonical" href="/film/9"><title>Late / Title</title></head>
@@ -139,3 +140,27 @@ def test_search_results_of_pages_with_one_address(spark, tmp_path):
     spark.createDataFrame([(1, "https://h.example/x", page("one")), (2, "https://h.example/x", page("two")), (3, "https://h.example/y", page("one"))], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = evidence.search_results(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, 1, "https://h.example/one"), (2, 1, "https://h.example/two"), (3, 1, "https://h.example/one")]
+
+
+def test_pages_are_parsed_once_after_the_exchanges(spark):
+    plans = {q: query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for q, query in (evidence.QUERIES | requests.QUERIES).items() if q in ("html_links", "page_candidates", "rendered_candidates", "titled_candidates", "official_fields")}
+    evaluated = lambda plan: len([x for x in plan.split("Initial Plan")[-1].splitlines() if "ArrowEvalPython" in x.split("[")[0]])
+    # One for links and one for the pages that answer.
+    assert {q: evaluated(plan) for q, plan in plans.items()} == {"html_links": 1, "page_candidates": 2, "rendered_candidates": 2, "titled_candidates": 2, "official_fields": 1}
+
+
+def test_only_pages_that_answer_are_parsed(spark):
+    pages = spark.createDataFrame([("https://h.example/v/1", "<h1>One</h1>"), ("https://h.example/v/2", None)], "url string, html string")
+    asked = spark.createDataFrame([(1, "https://h.example/v/1"), (2, "https://h.example/v/1"), (3, "https://h.example/v/3")], "query_id int, target string")
+    got = page_sources.detailed(asked, pages)
+    assert sorted((r.query_id, r.d.title) for r in got.collect()) == [(1, "One"), (2, "One")]
+    assert got.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_plain_pages_are_read_as_others(monkeypatch):
+    told = lambda html: [(e.name, e.attributes, e.parent and e.parent.name, e.pieces) for e in H.Page(html).elements]
+    texts = ["a<p class='x y' title=\"\">b &amp; c<br/>d</p></p>e", "<li>1<li>2</ul> &copy", "<script>if (a > b) '</p>'</script>", "<P>x</P>", "<a href='a&amp;b'>x", "<td id=q>x</td>", "<p>1 < 2</p>", "<!-- <p> --><p>x", "<h1>", "plain", "</p class='x'>y", "<title>a &lt; b</title>"]
+    got = [told(x) for x in texts]
+    assert [H.Page(x)._plain(x) for x in texts] == [True, True, False, False, False, False, False, False, True, False, False, False]
+    monkeypatch.setattr(H.Page, "_plain", lambda self, html: False)
+    assert got == [told(x) for x in texts]
