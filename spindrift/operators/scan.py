@@ -77,14 +77,18 @@ def replayed(rows: DataFrame, source: str, order: str, starts: Callable[[int], l
             out.append((key[0], part, first, [list(map(_number, s)) for s in classes], [list(map(_number, e)) for e in classes.values()]))
         yield pd.DataFrame(out, columns=["source", "part", "first", "before", "after"])
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for r in pdf.sort_values("part").itertuples(index=False):
-            known = {_state(b): _state(a) for b, a in zip(r.before, r.after, strict=True)}
-            state = at(next(iter(known)) if state is None else state, int(r.first))
-            out.append((r.source, r.part, list(map(_number, state))))
-            state = apply(known, state)
-        return pd.DataFrame(out, columns=["source", "part", "state"])
+    def compose(batches):
+        # Blocks of a source lie together, in order.
+        key, state = None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                known = {_state(b): _state(a) for b, a in zip(r.before, r.after, strict=True)}
+                state = at(next(iter(known)) if key != (r.source,) else state, int(r.first))
+                key = (r.source,)
+                out.append((r.source, r.part, list(map(_number, state))))
+                state = apply(known, state)
+            yield pd.DataFrame(out, columns=["source", "part", "state"])
 
     def replay(batches):
         key, state = None, None
@@ -100,7 +104,9 @@ def replayed(rows: DataFrame, source: str, order: str, starts: Callable[[int], l
 
     ordered = dealt.repartition("part").sortWithinPartitions("part", source, order)
     summaries = ordered.mapInPandas(summarise, f"source {kind}, part int, first long, before array<array<long>>, after array<array<long>>")
-    states = summaries.groupBy("source").applyInPandas(compose, f"source {kind}, part int, state array<long>")
+    # Dealt over a fixed number of tasks: summaries are small, so their groups would be left to one.
+    by_source = summaries.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "source").sortWithinPartitions("source", "part")
+    states = by_source.mapInPandas(compose, f"source {kind}, part int, state array<long>")
     begun = dealt.join(states.withColumnRenamed("source", source), [source, "part"]).repartition(source, "part").sortWithinPartitions(source, "part", order)
     return begun.mapInPandas(replay, f"{source} {kind}, {order} {index}, {schema}")
 

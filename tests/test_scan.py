@@ -63,3 +63,9 @@ def test_one_source_with_a_million_items_lies_in_many_tasks(spark):
         assert got.select("task").distinct().count() >= 3 and got.count() == 100_000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_sources_are_composed_in_many_tasks(spark):
+    many = spark.range(4000).selectExpr("concat('s', id % 500) provider", "id item_index", "id % 3 <> 0 failed", "cast(null as string) reason", "'retryable' retry_class")
+    plan = batch.replay(many)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "hashpartitioning(source#" in plan and f", {4 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in plan
