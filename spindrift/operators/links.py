@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from spindrift.functions.text import ascii_lower, trimmed
 from spindrift.functions.urls import LINK_TYPES, host, normalized, type_of, without_fragment
 
+from .resolve import stored
+
 
 def typed(rows: DataFrame, link_types: list[str] | None = None) -> DataFrame:
     """Adds normalized_url and link_type; links of other types, and results without links, are gone."""
@@ -33,7 +35,9 @@ def best(rows: DataFrame, limit: int, link_types: list[str] | None = None, most:
     wanted = F.max(F.col("link_type").isin(*link_types) if link_types else F.lit(True)).alias("wanted")
     found = typed(rows).groupBy("score", "title", "id").agg(wanted).where("wanted")
     results = found.orderBy(F.col("score").desc(), "title", "id").limit(max(1, min(limit, most)))
-    return typed(rows.join(F.broadcast(results.select("id")), "id", "left_semi"), link_types)  # at most ``most`` rows
+    chosen = rows.join(F.broadcast(results.select("id")), "id", "left_semi")  # at most ``most`` results
+    # Written, as the filter on the type would else be pushed below the join and type every link anew, with each step repeated.
+    return typed(stored(chosen, "best"), link_types)
 
 
 #: What a merged link takes from its first link, where the rows have it.

@@ -94,3 +94,9 @@ def test_guarded(spark):
     df = spark.createDataFrame([(1, True, True), (2, False, True), (3, True, False)], "id int, valid boolean, allowed boolean")
     got = sinks.guarded(df, F.col("valid"), F.col("allowed"), F.when(F.col("id") < 4, F.lit("{}"))).orderBy("id").collect()
     assert [r.write_status for r in got] == ["submitted", "failed", "failed"]
+
+
+def test_best_types_the_chosen_links_alone(spark):
+    rows = spark.createDataFrame([(1, "a", 5, 0, "https://a.example/x", "s"), (1, "a", 5, 1, "magnet:?x", "s"), (2, "b", 9, 0, "ed2k://y", "s")], "id int, title string, score int, place int, url string, source string")
+    got = links.best(rows, 1, ["web"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and [(r.id, r.url) for r in got.collect()] == [(1, "https://a.example/x")]
