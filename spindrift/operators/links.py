@@ -71,9 +71,11 @@ def search(rows: DataFrame, requests: DataFrame, most: int = 100) -> DataFrame:
     results = wanted(typed(asked)).groupBy("request", "score", "title", "id").agg(F.count("*").alias("n_links"))
     order = Window.partitionBy("request").orderBy(F.col("score").desc(), "title", "id")
     ranked = results.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    limits = requests.select("request", F.greatest(F.lit(1), F.least(F.col("limit"), F.lit(most))).alias("limit"))
-    best = ranked.join(limits, "request").where("rank <= limit").select("request", "id", "score", "title")
-    chosen = asked.join(best, ["request", "id", "score", "title"], "left_semi")
+    limits = requests.select("request", F.greatest(F.lit(1), F.least(F.col("limit"), F.lit(most))).alias("limit"), "link_types")
+    best = ranked.join(limits, "request").where("rank <= limit").select("request", "id", "score", "title", "link_types")
+    # A result is there once, so this is a semi join; as one it would be pushed below the choice of sources, and all links be shuffled.
+    # Types come with the results, so that only their links are typed.
+    chosen = asked.drop("link_types").join(best, ["request", "id", "score", "title"])
     return merged(wanted(typed(chosen)), "request")
 
 

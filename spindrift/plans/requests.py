@@ -87,9 +87,11 @@ def link_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = F.when(k % 4 == 0, texts("quark", "magnet", "web")).when(k % 4 == 1, texts("other")).otherwise(texts())
     asked = c.select(k.alias("request"), F.when(k % 3 == 0, texts("DESK")).when(k % 3 == 1, texts("desk", "line2")).otherwise(texts()).alias("sources"), types.alias("link_types"), (k % 7 - 1).cast("int").alias("limit"))
     orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("request"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), (F.floor("o_totalprice") % 50).cast("int").alias("score"))
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("place"), _link(F.col("l_partkey") % 40, F.col("l_partkey")).alias("url"), F.concat(F.lit("line"), F.col("l_suppkey") % 4).alias("provider"), F.when(F.col("l_quantity") > 25, F.concat(F.lit("pw"), F.col("l_partkey"))).alias("password"), F.concat(F.lit("note "), F.col("l_suppkey")).alias("note"))
+    # What a link says is made after the join, which moves keys alone.
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("place"), "l_partkey", "l_suppkey", (F.col("l_quantity") > 25).alias("guarded")).join(orders, "id")
+    lines = lines.select("request", "id", "title", "score", "place", _link(F.col("l_partkey") % 40, F.col("l_partkey")).alias("url"), F.concat(F.lit("line"), F.col("l_suppkey") % 4).alias("provider"), F.when(F.col("guarded"), F.concat(F.lit("pw"), F.col("l_partkey"))).alias("password"), F.concat(F.lit("note "), F.col("l_suppkey")).alias("note"))
     own = orders.select("*", F.lit(0).alias("place"), _link(F.col("id") % 40, F.col("id")).alias("url"), F.lit("desk").alias("provider"), F.lit(None).cast("string").alias("password"), F.concat(F.lit("order "), F.col("id")).alias("note"))
-    rows = own.unionByName(lines.join(orders, "id")).withColumn("source", F.col("provider"))
+    rows = own.unionByName(lines).withColumn("source", F.col("provider"))
     return links.search(rows, asked).select("request", "normalized_url", "url", "link_type", "password", "note", F.array_join("sources", ",").alias("sources"))
 
 

@@ -100,3 +100,13 @@ def test_best_types_the_chosen_links_alone(spark):
     rows = spark.createDataFrame([(1, "a", 5, 0, "https://a.example/x", "s"), (1, "a", 5, 1, "magnet:?x", "s"), (2, "b", 9, 0, "ed2k://y", "s")], "id int, title string, score int, place int, url string, source string")
     got = links.best(rows, 1, ["web"])
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and [(r.id, r.url) for r in got.collect()] == [(1, "https://a.example/x")]
+
+
+def test_search_shuffles_links_of_asked_sources_alone(spark, tmp_path):
+    rows = spark.createDataFrame([(1, p, 7, "t", 3, k, f"https://{p}.example/{k}", p) for k, p in enumerate("aab")], "request int, provider string, id int, title string, score int, place int, url string, source string")
+    asked = spark.createDataFrame([(1, ["A"], ["web"], 5)], "request int, sources array<string>, link_types array<string>, limit int")
+    rows.write.parquet(f"{tmp_path}/rows")
+    asked.write.parquet(f"{tmp_path}/asked")
+    got = links.search(spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/asked"))
+    assert "LeftSemi" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.url for r in got.collect()) == ["https://a.example/0", "https://a.example/1"]
