@@ -84,7 +84,7 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source of rendered pages: direct address, direct id, search, and the search page itself as a fallback."""
     pages, queries = _own_pages(spark, sf_dir)
     s = P.site("javdb", "https://site.example")
-    links_ = P.result_links(pages.where(F.col("url").contains("/search")).select("url", H.page_texts("html", "url", "links")["links"].alias("links")))
+    links_ = P.searched_links(queries, pages.where(F.col("url").contains("/search")), s)
     return flat(P.candidates(P.targets(queries, links_, s), pages, s))
 
 

@@ -72,12 +72,8 @@ def result_links(pages: DataFrame, *told: str) -> DataFrame:
     return links.where(H.is_result_link(F.col("href")))
 
 
-def targets(queries: DataFrame, links: DataFrame, s: Site) -> DataFrame:
-    """Adds how (direct_url, direct_id, detail, search, fallback) and target, the page that answers a query.
-
-    queries: query_id, direct_url, direct_id, number, route.  A query with
-    several matching results takes the first on the page.
-    """
+def _routed(queries: DataFrame, s: Site) -> DataFrame:
+    """Adds how (direct_url, direct_id, detail, search) and target (NULL: a search comes first) to queries that the source serves."""
     served = F.lit(True) if not s.routes else F.col("route").isin(*s.routes)
     good_id = F.when(F.col("direct_id").rlike(f"^(?:{s.id_form})$"), F.col("direct_id"))
     numbered = F.col("number").isNotNull() & served
@@ -87,10 +83,30 @@ def targets(queries: DataFrame, links: DataFrame, s: Site) -> DataFrame:
         F.when(F.col("how") == "direct_url", U.absolute_url(F.lit(s.base), F.col("direct_url"))).when(F.col("how") == "direct_id", _filled(s, s.detail, F.col("direct_id")))
         .when(F.col("how") == "detail", _filled(s, s.detail, F.col("number")))
     )
-    out = queries.withColumn("how", how).where("how is not null").withColumn("target", target)
+    return queries.withColumn("how", how).where("how is not null").withColumn("target", target)
+
+
+def _searches(routed: DataFrame, s: Site) -> DataFrame:
+    return routed.where("how = 'search'").withColumn("search_url", _filled(s, s.search, F.col("number")))
+
+
+def searched_links(queries: DataFrame, pages: DataFrame, s: Site) -> DataFrame:
+    """What ``result_links`` gives for the search pages that a query asks for; others are not parsed. pages: (url, html)."""
+    asked = spread(_searches(_routed(queries, s), s).select("search_url"), "search_url")
+    pages = spread(pages, "url").join(asked, F.col("url") == asked.search_url, "left_semi")
+    return result_links(pages.select("url", H.page_texts("html", "url", "links")["links"].alias("links")))
+
+
+def targets(queries: DataFrame, links: DataFrame, s: Site) -> DataFrame:
+    """Adds how (direct_url, direct_id, detail, search, fallback) and target, the page that answers a query.
+
+    queries: query_id, direct_url, direct_id, number, route.  A query with
+    several matching results takes the first on the page.
+    """
+    out = _routed(queries, s)
     if s.search is None:
         return out
-    asked = out.where("how = 'search'").withColumn("search_url", _filled(s, s.search, F.col("number")))
+    asked = _searches(out, s)
     hits = asked.join(links, asked.search_url == links.url).where(H.mentions(F.col("text"), F.col("href"), F.col("number")))
     first = hits.groupBy("query_id").agg(F.min(F.struct("position", "href")).alias("hit")).select(F.col("query_id").alias("q"), F.col("hit.href").alias("href"))
     found = asked.join(first, F.col("query_id") == F.col("q"), "left")
@@ -114,10 +130,10 @@ def candidates(asked: DataFrame, pages: DataFrame, s: Site) -> DataFrame:
     """Candidates of queries whose target page there is; asked: from ``targets``; pages: (url, html)."""
     d = lambda f: F.col(f"d.{f}")
     rows = detailed(asked, pages)
-    # Tokens, the numbers in them and the choice among those in a projection each: each names the one before many times.
-    said = {"t_number": d("number"), "t_title": d("title"), "t_target": F.col("target"), "t_body": d("body")}
-    rows = rows.withColumns({t: T.filename_tokens(c) for t, c in said.items()}).withColumns({t: T.catalog_number(F.col(t))["number"] for t in said})
-    rows = rows.withColumns({"av": F.coalesce(*said, "number"), "title": F.coalesce(d("title"), F.col("number"))}).where("av is not null and title is not null")
+    # The texts are read for a number in turn, up to the first that has one; a filter instead of a generator would read them once more.
+    said = (T.catalog_number(T.filename_tokens(c))["number"] for c in (d("number"), d("title"), F.col("target"), d("body")))
+    named = F.struct(F.coalesce(*said, "number").alias("av"), F.coalesce(d("title"), F.col("number")).alias("title"))
+    rows = rows.select("*", F.inline(F.filter(F.array(named), lambda x: x["av"].isNotNull() & x["title"].isNotNull())))
     date = F.coalesce(d("release_date"), V.first_iso_date(d("body")))
     labelled = lambda c, k: F.transform(c, lambda v: F.concat(F.lit(f"{k}:"), v))
     makers = F.array_compact(F.array(*(F.when(d(k).isNotNull(), F.concat(F.lit(f"{k}:"), d(k))) for k in ("maker", "label", "series", "director"))))

@@ -1,6 +1,7 @@
 """Pages: selectors, the recipe, detail pages and payloads, on small literal inputs."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -164,3 +165,50 @@ def test_plain_pages_are_read_as_others(monkeypatch):
     assert [H.Page(x)._plain(x) for x in texts] == [True, True, False, False, False, False, False, False, True, False, False, False]
     monkeypatch.setattr(H.Page, "_plain", lambda self, html: False)
     assert got == [told(x) for x in texts]
+
+
+def test_pages_of_one_site_share_a_layout(monkeypatch):
+    """Selectors are tested once for pages that differ in texts and addresses alone, not for each page."""
+    tested = []
+    simple = H._simple
+    monkeypatch.setattr(H, "_simple", lambda part: lambda e: tested.append(part) or simple(part)(e))
+    monkeypatch.setattr(H, "_layouts", {})
+    H.matcher.cache_clear()
+    page = lambda text, path: f'<main><p class="x">{text}</p><div class="y"><a href="{path}">{text}</a></div></main>'
+    try:
+        told = lambda *of: [e.attributes["href"] + e.text() for e in H.Page(page(*of)).select('.y a, a[href*="star"]')]
+        assert told("one", "/v/1") == ["/v/1one"]
+        once = len(tested)
+        assert told("two &amp; a", "/v/2") == ["/v/2two & a"] and len(tested) == once
+        # A word that a selector looks for, an attribute's value and a text that begins the body make another layout.
+        picked = lambda html, selector: [e.text() for e in H.Page(html).select(selector)]
+        assert [picked(page("t", path), 'a[href*="star"]') for path in ("/v/1", "/star/1", "/v/2")] == [[], ["t"], []]
+        assert [picked(f'<b class="{c}">t</b>', ".y") for c in "xyx"] == [[], ["t"], []]
+        assert [picked(f"{text}<meta name='a'><p>t</p>", "body") for text in (" ", "x", " ")] == [["t"], ["x t"], ["t"]]
+        # No shape has this value: the selector is tested for each page.
+        assert [picked(page("t", path), 'a[href="/v/2"]') for path in ("/v/1", "/v/2")] == [[], ["t"]]
+    finally:
+        H.matcher.cache_clear()
+
+
+def test_layouts_are_bounded(monkeypatch):
+    monkeypatch.setattr(H, "_layouts", {})
+    for k in range(3 * H.LAYOUTS):
+        assert [e.text() for e in H.Page("<p>" * (k + 1) + "t").select("p")][-1] == "t"
+    H.Page("<p>t</p>" * H.LAYOUT_TAGS)
+    assert len(H._layouts) == H.LAYOUTS and max(len(tags) for tags, _ in H._layouts) <= H.LAYOUT_TAGS
+
+
+def test_only_search_pages_that_are_asked_are_parsed(spark):
+    s = page_sources.site("javdb", "https://h.example")
+    pages = spark.createDataFrame([(f"https://h.example/search?q={n}", f"<a href='/v/{n}'>{n}</a>") for n in ("A-1", "B-2", "C-3")], "url string, html string")
+    queries = spark.createDataFrame([(1, None, None, "A-1", "censored"), (2, None, None, "A-1", "censored"), (3, None, None, "B-2", "fc2"), (4, "/v/9", None, "C-3", "censored")], "query_id int, direct_url string, direct_id string, number string, route string")
+    assert [(r.position, r.href, r.text) for r in page_sources.searched_links(queries, pages, s).collect()] == [(0, "https://h.example/v/A-1", "A-1")]
+
+
+def test_a_candidates_number_is_looked_for_up_to_the_first_text_that_has_one(spark):
+    for query in (evidence.page_candidates, requests.rendered_candidates):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        (body,) = re.finditer(r"substring_index\(d#\d+\.body", plan)
+        # In the generator's one coalesce, and in no projection or filter of its own.
+        assert re.findall(r"Project \[|Filter \(|Generate inline", plan[: body.start()])[-1] == "Generate inline"
