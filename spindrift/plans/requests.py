@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.functions import html as H
 from spindrift.operators import answer, links, policies, presets, resolve
 from spindrift.sources import catalog, sinks
 from spindrift.sources import page_sources as P
@@ -129,7 +128,7 @@ def stream_all_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _flow(spark: SparkSession, sf_dir: str, s: P.Site) -> DataFrame:
     """Candidates of a source of pages, over search and detail pages that parts describe."""
     pages, queries = _own_pages(spark, sf_dir)
-    listed = P.result_links(pages.where(F.col("url").contains("/search")).select("url", H.page_texts("html", "url", "links")["links"].alias("links")))
+    listed = P.searched_links(queries, pages.where(F.col("url").contains("/search")), s) if s.search else None
     return flat(P.candidates(P.targets(queries, listed, s), pages, s))
 
 
