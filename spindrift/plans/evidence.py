@@ -46,9 +46,8 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generic_page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that queries name, by text or by recipe."""
     p = _pages(spark, sf_dir)
-    parsed = p.select("url", H.page_texts("html", "url").alias("f")).dropDuplicates(["url"])
-    q = p.select(F.col("page_id").alias("query_id"), F.lit("asked").alias("query_title"), F.lit("en").alias("query_language"), F.when(F.col("page_id") % 2 == 0, "recipe").otherwise("text").alias("kind"), F.col("url").alias("source_url"))
-    return P.generic(q, parsed).select("query_id", "provider_id", "title", "original_title", "outcome", F.col("overview").isNotNull().alias("has_overview"), "language")
+    q = p.select(F.col("page_id").alias("query_id"), F.lit("asked").alias("query_title"), F.lit("en").alias("query_language"), F.when(F.col("page_id") % 2 == 0, "recipe").otherwise("text").alias("kind"), F.col("url").alias("source_url"), H.page_texts("html", "url").alias("f"))
+    return P.generic(q).select("query_id", "provider_id", "title", "original_title", "outcome", F.col("overview").isNotNull().alias("has_overview"), "language")
 
 
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:

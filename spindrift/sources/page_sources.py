@@ -162,12 +162,12 @@ def search_then_detail(queries: DataFrame, links: DataFrame, pages: DataFrame, p
     )
 
 
-def generic(queries: DataFrame, parsed: DataFrame) -> DataFrame:
+def generic(rows: DataFrame) -> DataFrame:
     """Pages named by a query's own ids: kind text gives a text candidate, kind recipe one by the generic recipe.
 
-    queries: query_id, query_title, query_language, kind, source_url; parsed: (url, f) with f from ``page_texts``.
+    rows: query_id, query_title, query_language, kind, source_url, and f from ``page_texts`` of the page that was
+    rendered for the query: an address alone does not tell it, as two renderings of one address can differ.
     """
-    rows = queries.join(parsed, queries.source_url == parsed.url)
     f = H.recipe(F.col("f"))
     by_recipe = F.col("kind") == "recipe"
     only = lambda c: F.when(by_recipe, c)

@@ -143,6 +143,13 @@ def test_search_results_of_pages_with_one_address(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(1, 1, "https://h.example/one"), (2, 1, "https://h.example/two"), (3, 1, "https://h.example/one")]
 
 
+def test_generic_candidates_of_pages_with_one_address(spark, tmp_path):
+    rows = [(1, "https://h.example/x", "<h1>One</h1><p>a</p>"), (2, "https://h.example/x", "<h1>Two</h1>"), (3, "https://h.example/x", "<h1>Three</h1>"), (4, "https://h.example/x", "<p>none</p>"), (5, "https://h.example/y", "<h1>&quot;a&quot; &amp</h1>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = evidence.generic_page_candidates(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.title) for r in got) == [(1, "One"), (2, "Two"), (3, "Three"), (4, "asked"), (5, '"a" &')]
+
+
 def test_pages_are_parsed_once_after_the_exchanges(spark):
     plans = {q: query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for q, query in (evidence.QUERIES | requests.QUERIES).items() if q in ("html_links", "page_candidates", "rendered_candidates", "titled_candidates", "official_fields")}
     evaluated = lambda plan: len([x for x in plan.split("Initial Plan")[-1].splitlines() if "ArrowEvalPython" in x.split("[")[0]])
