@@ -39,6 +39,13 @@ def test_recipe_columns(spark):
     assert (got.release_date, got.release_year, got.runtime_minutes, got.score_milli, got.vote_count) == ("2003-04-05", 2003, 97, 750, 1)
 
 
+def test_a_sign_that_begins_no_tag_stays_in_its_text():
+    title = lambda text: H.found(f"<head><script>a</script></head><body><h1>{text}</h1>", "u", ("title",))[0]
+    assert [title(x) for x in ("i<3u", "a < 3 &amp; b", "5<", "<3", "x<!-- c -->y", "x<br>y")] == ["i<3u", "a < 3 & b", "5<", "<3", "x y", "x y"]
+    # Text ahead of the body's tag begins it, and the last text of a page has no tag after it.
+    assert [H.found(x, "u", ("body",))[0] for x in (" <3<p>a<4", "<script>1</script>2<3")] == ["<3 a<4", "2<3"]
+
+
 def test_selectors():
     p = H.Page('<div class="a b"><p><a href="xgenrey" rel="t">1</a></p></div><a class="a">2</a><img class="poster" src="">')
     picked = lambda s: [e.name for e in p.select(s)]
